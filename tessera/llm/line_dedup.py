@@ -63,8 +63,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     found = stored(rows.select("doc_id", "text_key", "text").mapInArrow(_hash_lines(least), _LINES), "lines")
     lines = found.select("doc_id", "text_key", F.explode("lines").alias("line")).select("doc_id", "text_key", "line.place", "line.line")
     frequent = lines.groupBy("line").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= documents)
+    # As a table of its own, so that the join's shuffle of a very frequent line can be split.
+    frequent = stored(frequent.select("line", "keeper"), "frequent-lines")
     dropped = (
-        lines.join(frequent.select("line", "keeper"), "line")
+        lines.join(frequent, "line")
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
         .agg(F.collect_set("place").alias("places"))
