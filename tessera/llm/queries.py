@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, token_store
 from tessera.llm.decontaminate import contamination
 from tessera.llm.exact_dedup import exact_groups
+from tessera.llm.jaccard_join import similar_components
 from tessera.llm.langid import languages
 from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.quality import quality_scores
@@ -36,6 +37,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -59,7 +64,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op3_line_dedup, op7_quality, op8_language, op9_exact_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op3_line_dedup, op4_jaccard_join, op7_quality, op8_language, op9_exact_dedup, op10_bpe)}
 
 OP1_SQL = r"""
 WITH words AS (
