@@ -28,10 +28,10 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+def stored(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, any executor may be lost."""
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

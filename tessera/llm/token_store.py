@@ -2,10 +2,12 @@
 
 Layout of a store folder:
 
-- `chunks/`: Parquet rows (digest, data).  A document's id stream is cut where a
+- `chunks/kind=once` and `chunks/kind=shared`: Parquet rows (digest, data).  A document's id stream is cut where a
   rolling hash of its last ids meets a condition, so equal passages give equal
   chunks wherever they stand; every distinct chunk is stored once under its
-  digest.  `data` holds little-endian ids of `id_bytes` bytes.
+  digest.  `data` holds little-endian ids of `id_bytes` bytes.  Chunks that
+  can't have a twin are written where they arise (`once`), others wait in
+  `kind=pending` and are shuffled on their digest (`shared`).
 - `recipes/`: one row per document in ascending doc_id order: file part,
   position in the corpus' id stream, number of ids, chunk digests in order and
   the root of their Merkle tree.
@@ -271,15 +273,17 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None =
         spec = spark.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     encoded = rows.mapInArrow(_encode_task(spec, end_id, id_bytes), _ENCODED).withColumn("row", F.monotonically_increasing_id())
-    encoded = stored(encoded, "encoded")
+    encoded = stored(encoded, "encoded", "zstd")
 
     used = encoded.select(F.explode("digests").alias("digest"))
     repeated = stored(used.groupBy("digest").count().where("count > 1").select("digest"), "repeated-chunks")
     repeated = repeated.mapInArrow(_halves, "half long")
     bitmap = spark.sparkContext.broadcast(hash_filter(repeated, "half", filter_bits(repeated.count())))
-    packed = stored(encoded.select("ids", "sizes", "digests").mapInArrow(_pack(bitmap, id_bytes), "digest binary, data binary, repeated boolean"), "packed")
-    packed.where("not repeated").select("digest", "data").write.parquet(f"{path}/chunks")
-    packed.where("repeated").select("digest", "data").dropDuplicates(["digest"]).write.mode("append").parquet(f"{path}/chunks")
+    packed = encoded.select("ids", "sizes", "digests").mapInArrow(_pack(bitmap, id_bytes), "digest binary, data binary, repeated boolean")
+    kind = F.when(F.col("repeated"), F.lit("pending")).otherwise(F.lit("once"))
+    packed.select("digest", "data", kind.alias("kind")).write.partitionBy("kind").parquet(f"{path}/chunks", compression="zstd")
+    pending = spark.read.schema("digest binary, data binary, kind string").parquet(f"{path}/chunks").where("kind = 'pending'")
+    pending.select("digest", "data").dropDuplicates(["digest"]).write.parquet(f"{path}/chunks/kind=shared", compression="zstd")
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     recipes = encoded.select("doc_id", "n_tokens", "row", "root", "sizes", "digests").repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row")
@@ -337,6 +341,10 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc.astype(np.int64))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
+def _chunks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("digest binary, data binary, kind string").parquet(f"{path}/chunks").where("kind <> 'pending'").select("digest", "data")
+
+
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read from a store and verified.
 
@@ -344,7 +352,7 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     """
     recipes = spark.read.parquet(f"{path}/recipes")
     id_bytes = (spark.read.parquet(f"{path}/manifest").select("id_bytes").first() or [2])[0]
-    chunks = spark.read.parquet(f"{path}/chunks").select("digest", "data").mapInArrow(_checked(id_bytes), "digest binary, n long, crc long")
+    chunks = _chunks(spark, path).mapInArrow(_checked(id_bytes), "digest binary, n long, crc long")
     used = recipes.select("row", F.posexplode("digests").alias("place", "digest"))
     own = used.join(chunks, "digest").groupBy("row").agg(F.collect_list(F.struct("place", "digest", "n", "crc")).alias("chunks"))
     rows = recipes.select("row", "doc_id", "start", "n_tokens", "root").join(own, "row", "left")
@@ -356,7 +364,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and the stream itself (`ids binary`), rebuilt from recipes and chunks."""
     recipes = spark.read.parquet(f"{path}/recipes")
     used = recipes.select("row", F.posexplode("digests").alias("place", "digest"))
-    own = used.join(spark.read.parquet(f"{path}/chunks"), "digest").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "data"))).alias("chunks"))
+    own = used.join(_chunks(spark, path), "digest").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "data"))).alias("chunks"))
     joined = recipes.join(own, "row", "left")
     whole = F.aggregate("chunks", F.lit(b""), lambda a, c: F.concat(a, c["data"]))
     return joined.select("doc_id", "start", "n_tokens", F.coalesce(whole, F.lit(b"")).alias("ids"))
