@@ -75,31 +75,36 @@ class _Tokens:
         self.known: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.int32)
         self.used = 0
-        self.sizes: list[int] = []
+        self.sizes = np.zeros(0, np.int64)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _append(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(ids), len(self.flat)), np.int32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.sizes = np.concatenate([self.sizes, sizes])
+
     def _add(self, chunks: list[bytes]) -> None:
-        texts = [c.decode() for c in chunks]
-        odd = {k for k, t in enumerate(texts) if _MARK in t or "<" in t}
-        plain = [t for k, t in enumerate(texts) if k not in odd]
-        found: list[np.ndarray] = []
+        """Encode new chunks: joined by a mark whose id tells them apart, or alone if they may hold an added token."""
+        plain, odd = [], []
+        for c in chunks:
+            (odd if b"<" in c or b"\x01" in c else plain).append(c)
+        ids = [self.mark]
         for at in range(0, len(plain), 1000):
-            part = plain[at : at + 1000]
-            ids = self._encode([f" {_MARK} ".join([*part, ""])])[0]
-            ends = np.flatnonzero(ids == self.mark[0])
-            if len(ends) != len(part):
-                raise ValueError("chunks can't be told apart in this tokenizer's output")
-            found += [x[:-1] for x in np.split(ids, ends + 1)[:-1]]
-        plain_ids = iter(found)
-        for k, text in enumerate(texts):
-            ids = self._encode([text])[0] if k in odd else next(plain_ids)
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(ids), len(self.flat)), np.int32)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.sizes.append(len(ids))
+            ids += self._encode([b" \x01 ".join([*plain[at : at + 1000], b""]).decode()])
+        ids = np.concatenate(ids)
+        marks = np.flatnonzero(ids == self.mark[0])
+        if len(marks) != len(plain) + 1:
+            raise ValueError("chunks can't be told apart in this tokenizer's output")
+        self._append(ids[ids != self.mark[0]], np.diff(marks) - 1)
+        for c in odd:
+            ids = self._encode([c.decode()])[0]
+            self._append(ids, np.array([len(ids)]))
+        before = len(self.known)
+        self.known.update(zip([*plain, *odd], range(before, before + len(chunks)), strict=True))
 
     def encode(self, block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the block's documents and their number in each."""
@@ -118,12 +123,10 @@ class _Tokens:
         array = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
         coded = array.dictionary_encode()
         own = [c.strip(b" \t\n\v\f\r") for c in coded.dictionary.to_pylist()]
-        new = [c for c in dict.fromkeys(own) if c not in self.known]
-        before = len(self.known)
-        self.known.update(zip(new, range(before, before + len(new)), strict=True))
-        self._add(new)
-        number = np.array([self.known[c] for c in own], np.int64)[coded.indices.to_numpy()]
-        sizes = np.array(self.sizes, np.int64)
+        known = self.known
+        self._add([c for c in dict.fromkeys(own) if c not in known])
+        number = np.fromiter(map(known.__getitem__, own), np.int64, len(own))[coded.indices.to_numpy()]
+        sizes = self.sizes
         starts = np.cumsum(sizes) - sizes
         lengths = sizes[number]
         owner, within = tb.ragged(lengths)
