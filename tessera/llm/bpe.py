@@ -32,8 +32,8 @@ BLANK[[9, 10, 11, 12, 13, 32]] = True
 OTHER_BLANK = regex.compile(r"[\s--[\t-\r ]]", regex.V1)
 
 #: A task merges when it holds so many distinct bytes or so many chunks, and then forgets both.
-HELD_BYTES = 8 << 20
-HELD_CHUNKS = 6 << 20
+HELD_BYTES = 1 << 20
+HELD_CHUNKS = 2 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
