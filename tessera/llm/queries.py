@@ -13,6 +13,7 @@ from tessera.llm.langid import languages
 from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.quality import quality_scores
 from tessera.llm.shared import new_path
+from tessera.llm.suffix_dedup import remove_repeats
 
 #: Where the public tokenizers' files are; a parameter of the two operators.
 TOKENIZERS = "/opt/tokenizers"
@@ -41,6 +42,11 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -64,7 +70,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op3_line_dedup, op4_jaccard_join, op7_quality, op8_language, op9_exact_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op3_line_dedup, op4_jaccard_join, op6_suffix_dedup, op7_quality, op8_language, op9_exact_dedup, op10_bpe)}
 
 OP1_SQL = r"""
 WITH words AS (
