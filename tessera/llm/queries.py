@@ -12,6 +12,7 @@ from tessera.llm.jaccard_join import similar_components
 from tessera.llm.langid import languages
 from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.quality import quality_scores
+from tessera.llm.secret_scan import scan
 from tessera.llm.shared import new_path
 from tessera.llm.suffix_dedup import remove_repeats
 
@@ -42,6 +43,12 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(_table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings carry a digest of the candidate, never the candidate."""
+    found = scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "word", "place", F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret", "held_out")
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -70,7 +77,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op3_line_dedup, op4_jaccard_join, op6_suffix_dedup, op7_quality, op8_language, op9_exact_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op3_line_dedup, op4_jaccard_join, op5_secret_scan, op6_suffix_dedup, op7_quality, op8_language, op9_exact_dedup, op10_bpe)}
 
 OP1_SQL = r"""
 WITH words AS (
