@@ -25,12 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textblocks as tb
 from tessera.llm.components import connected_components
-from tessera.llm.shared import stored
+from tessera.llm.shared import filter_bits, hash_filter, in_filter, stored
 
 #: Words are runs of anything but space and the ASCII controls from tab to carriage return.
 WORD = np.ones(256, bool)
@@ -190,32 +190,55 @@ def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come in the order of (item, rank): each is paired with the first of its item, if in another component."""
-    at, pivot, pivot_label = None, 0, 0
+    at, pivot = None, None
     for batch in batches:
-        items, nodes, labels = (batch.column(k).to_numpy() for k in range(3))
+        items, *rest = (batch.column(k).to_numpy() for k in range(5))
         if not len(items):
             continue
         heads = np.ones(len(items), bool)
         heads[1:] = items[1:] != items[:-1]
         heads[0] = at is None or items[0] != at
         first = np.maximum.accumulate(np.where(heads, np.arange(len(items)), -1))
-        own_pivot = np.where(first >= 0, nodes[first], pivot)
-        own_label = np.where(first >= 0, labels[first], pivot_label)
-        at, pivot, pivot_label = items[-1], own_pivot[-1], own_label[-1]
-        other = own_label != labels
-        if other.any():
-            yield pa.RecordBatch.from_arrays([pa.array(own_pivot[other]), pa.array(nodes[other])], names=["pivot", "node"])
+        own = [np.where(first >= 0, values[first], values[0] if pivot is None else pivot[k]) for k, values in enumerate(rest)]
+        at, pivot = items[-1], [values[-1] for values in own]
+        other = np.flatnonzero(own[1] != rest[1])
+        if len(other):
+            columns = [own[0], rest[0], own[2], rest[2], own[3], rest[3]]
+            yield pa.RecordBatch.from_arrays([pa.array(c[other]) for c in columns], names=["a", "b", "an", "bn", "al", "bl"])
 
 
-def _sets(width: int):
+def _possible(percent: int) -> Column:
+    """Whether a pair that shares `met` prefix items can be similar.
+
+    Sizes must be close enough.  Shared items that are not in both prefixes come
+    after the end of one of them, and a prefix of level l leaves
+    ceil(t * n) - l items, so `met` and the larger rest bound the intersection.
+    """
+    share = [F.ceil(percent * F.col(n) / 100) - F.col(level) for n, level in (("an", "al"), ("bn", "bl"))]
+    needed = F.ceil(percent * (F.col("an") + F.col("bn")) / (100 + percent))
+    close = 100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")
+    return close & (F.col("met") >= F.least("al", "bl")) & (F.col("met") >= needed - F.greatest(*share))
+
+
+def _sets(width: int, wanted):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in tb.blocks(batches):
-            items, counts = shingle_sets(block, width)
-            yield pa.RecordBatch.from_arrays([block.batch.column(0), tb.list_array(pa.array(items.view(np.int64)), counts)], names=["node", "items"])
+        for batch in batches:
+            chosen = in_filter(wanted.value, batch.column(1).to_numpy())
+            for block in tb.blocks([batch.filter(pa.array(chosen))]):
+                items, counts = shingle_sets(block, width)
+                yield pa.RecordBatch.from_arrays([block.batch.column(0), tb.list_array(pa.array(items.view(np.int64)), counts)], names=["node", "items"])
 
     return sets
 
 
+def _sets_of(rows: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """The sets of the documents in pairs; a bounded filter keeps other texts out, and the join with the pairs is exact."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().select(F.xxhash64("node").alias("h"))
+    wanted = rows.sparkSession.sparkContext.broadcast(hash_filter(nodes, "h", filter_bits(2 * pairs.count())))
+    keyed = rows.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("doc_id").alias("h"), "text")
+    return stored(keyed.mapInArrow(_sets(width, wanted), "node long, items array<long>"), "sets")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough; integer arithmetic, exact at the threshold."""
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("a_items"))
@@ -266,18 +289,17 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5, doc_i
     single = single.groupBy("item", "node").agg(F.min("n").alias("n"), F.min("level").alias("level"))
     single = stored(single.repartition(parts, "item").sortWithinPartitions("item").mapInArrow(_shared_only, "item long, node long, n int, level byte"), "prefixes")
 
-    wanted = single.select(F.col("node").alias("_node")).distinct()
-    sets = stored(rows.join(wanted, rows["doc_id"] == wanted["_node"], "left_semi").mapInArrow(_sets(width), "node long, items array<long>"), "sets")
     edges = copies.select(F.col("copy").alias("a"), F.col("first").alias("b"))
     found: DataFrame | None = None
     labels: DataFrame | None = None
     for number in range(PIVOT_ROUNDS):
         labelled = _with_labels(single, labels)
         rank = F.col("node") if number == 0 else F.xxhash64(F.col("node"), F.lit(number))
-        ordered = labelled.select("item", "node", "label", rank.alias("rank")).repartition(parts, "item").sortWithinPartitions("item", "rank")
-        met = ordered.mapInArrow(_pivots, "pivot long, node long").groupBy("pivot", "node").count()
-        best = met.groupBy("node").agg(F.max(F.struct("count", F.negative("pivot").alias("p"))).alias("best")).select(F.col("node").alias("b"), F.negative("best.p").alias("a"))
-        links = stored(_verified(best, sets, percent), "links")
+        ordered = labelled.select("item", "node", "label", "n", "level", rank.alias("rank")).repartition(parts, "item").sortWithinPartitions("item", "rank")
+        met = ordered.mapInArrow(_pivots, "a long, b long, an int, bn int, al byte, bl byte").groupBy("a", "b", "an", "bn", "al", "bl").agg(F.count("*").alias("met"))
+        best = met.where(_possible(percent)).groupBy("b").agg(F.max(F.struct("met", F.negative("a").alias("a"))).alias("best"))
+        best = stored(best.select(F.negative("best.a").alias("a"), "b"), "pairs")
+        links = stored(_verified(best, _sets_of(rows, best, width), percent), "links")
         if links.isEmpty():
             break
         found = links if found is None else found.unionByName(links)
@@ -288,12 +310,12 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5, doc_i
     open_items = stored(labelled.join(stored(spread, "open"), "item"), "open-items")
     ends = open_items.select("item", "label").distinct()
     crossing = ends.select("item", F.col("label").alias("a_label")).join(ends.select("item", F.col("label").alias("b_label")), "item").where("a_label < b_label")
-    left = open_items.select("item", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("level").alias("xl"), F.col("label").alias("a_label"))
-    right = open_items.select("item", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("level").alias("yl"), F.col("label").alias("b_label"))
+    left = open_items.select("item", F.col("node").alias("a"), F.col("n").alias("an"), F.col("level").alias("al"), F.col("label").alias("a_label"))
+    right = open_items.select("item", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("level").alias("bl"), F.col("label").alias("b_label"))
     pairs = crossing.join(left, ["item", "a_label"]).join(right, ["item", "b_label"])
-    pairs = pairs.where((100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")))
-    pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("met"), F.min(F.least("xl", "yl")).alias("level")).where("met >= level").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    rest = stored(_verified(pairs, sets, percent), "links")
+    pairs = pairs.groupBy("a", "b", "an", "bn", "al", "bl").agg(F.count("*").alias("met")).where(_possible(percent)).select("a", "b")
+    pairs = stored(pairs, "pairs")
+    rest = stored(_verified(pairs, _sets_of(rows, pairs, width), percent), "links")
     everything = edges.unionByName(rest)
     if found is not None:
         everything = everything.unionByName(found.select("a", "b"))
