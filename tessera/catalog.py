@@ -1,4 +1,8 @@
 """All registered queries of the analytics engine and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from tessera.plans import audits, measures, search, states  # noqa: F401
+from tessera.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -87,9 +87,12 @@ def query_tokens(query: str) -> list[str]:
 
 def matches_prefixes(words: Column, query: list[str]) -> Column:
     """Whether every query token starts some word; an empty query matches all."""
+    def starts(token: str) -> Column:
+        return F.exists(words, lambda w: F.startswith(w, F.lit(token)))
+
     out = F.lit(True)
     for token in query:
-        out = out & F.exists(words, lambda w, t=token: F.startswith(w, F.lit(t)))
+        out = out & starts(token)
     return out
 
 
