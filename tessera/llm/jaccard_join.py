@@ -15,7 +15,8 @@ prefix items as the smaller l of its two documents before it is verified.
 3. Links are found in rounds.  In the first ones each document is verified with
    one partner per round only, the pivot it shares most prefix items with, which
    joins large groups of near copies at a cost in proportion to their size.  The
-   last round takes every remaining pair across the components found so far.
+   last round takes every remaining pair across the components found so far, by
+   the prefixes that the two sizes call for.
    Components are all that is asked for, so pairs within one are not needed.
 """
 
@@ -119,6 +120,10 @@ def _add_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, 2**32 - 1).astype("<u4").tobytes() for x in total.values()], pa.binary())], names=["part", "counts"])
 
 
+#: `place` counts the document's items that come before in the global order.
+_PREFIX = "item long, node long, n int, level byte, place int"
+
+
 def _prefixes(sketch, width: int, percent: int):
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts_of = sketch.value
@@ -131,7 +136,7 @@ def _prefixes(sketch, width: int, percent: int):
             order = (known << np.uint64(44)) | (items >> np.uint64(20))
             h1, h2 = _sums(items, counts).tolist(), _sums(tb.mix64(items), counts).tolist()
             offsets = np.concatenate([[0], np.cumsum(counts)]).tolist()
-            chosen, owners, levels = [], [], []
+            chosen, owners, levels, places = [], [], [], []
             for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
                 if a == b or (h1[k], h2[k]) in seen:
                     continue
@@ -145,12 +150,13 @@ def _prefixes(sketch, width: int, percent: int):
                 # A tie at the end only lengthens the prefix.
                 taken = a + np.flatnonzero(own <= ranked[n - share + level - 1])
                 chosen.append(taken)
+                places.append(np.searchsorted(ranked, order[taken]))
                 owners.append(np.full(len(taken), k))
                 levels.append(np.full(len(taken), level, np.int8))
             if not chosen:
                 continue
             chosen, owners = np.concatenate(chosen), np.concatenate(owners)
-            yield pa.RecordBatch.from_arrays([pa.array(items[chosen].view(np.int64)), pa.array(ids[owners], pa.int64()), pa.array(counts[owners].astype(np.int32)), pa.array(np.concatenate(levels))], names=["item", "node", "n", "level"])
+            yield pa.RecordBatch.from_arrays([pa.array(items[chosen].view(np.int64)), pa.array(ids[owners], pa.int64()), pa.array(counts[owners].astype(np.int32)), pa.array(np.concatenate(levels)), pa.array(np.concatenate(places).astype(np.int32))], names=["item", "node", "n", "level", "place"])
 
     return prefixes
 
@@ -220,6 +226,20 @@ def _possible(percent: int) -> Column:
     return close & (F.col("met") >= F.least("al", "bl")) & (F.col("met") >= needed - F.greatest(*share))
 
 
+def _in_both_prefixes(percent: int) -> Column:
+    """Whether a shared item counts for a pair of these sizes.
+
+    Two sets must share o = ceil(t / (1 + t) * (|a| + |b|)) items, so at least l
+    of the first |a| - o + l and |b| - o + l.  For sets of about one size that
+    is half the prefix that any partner may need: items that only one of many
+    near copies has fill it, and what has drifted too far meets nothing.
+    """
+    needed = F.ceil(percent * (F.col("an") + F.col("bn")) / (100 + percent))
+    room = [F.col(n) - needed + F.least("al", "bl") for n in ("an", "bn")]
+    close = 100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")
+    return close & (F.col("ap") < room[0]) & (F.col("bp") < room[1])
+
+
 def _sets(width: int, wanted):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,12 +302,12 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5, doc_i
     groups = stored(usable.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "equal-sets")
     copies = stored(usable.join(groups, ["n", "h1", "h2"]).where("doc_id <> first").select(F.col("doc_id").alias("copy"), "first").distinct(), "copies")
 
-    prefixes = rows.where("doc_id IS NOT NULL").mapInArrow(_prefixes(spark.sparkContext.broadcast(sketch), width, percent), "item long, node long, n int, level byte")
-    shared = prefixes.repartition(parts, "item").sortWithinPartitions("item").mapInArrow(_shared_only, "item long, node long, n int, level byte")
+    prefixes = rows.where("doc_id IS NOT NULL").mapInArrow(_prefixes(spark.sparkContext.broadcast(sketch), width, percent), _PREFIX)
+    shared = prefixes.repartition(parts, "item").sortWithinPartitions("item").mapInArrow(_shared_only, _PREFIX)
     shared = stored(shared, "prefixes-shared")
-    single = shared.join(copies, shared["node"] == copies["copy"], "left").select("item", F.coalesce("first", "node").alias("node"), "n", "level")
-    single = single.groupBy("item", "node").agg(F.min("n").alias("n"), F.min("level").alias("level"))
-    single = stored(single.repartition(parts, "item").sortWithinPartitions("item").mapInArrow(_shared_only, "item long, node long, n int, level byte"), "prefixes")
+    single = shared.join(copies, shared["node"] == copies["copy"], "left").select("item", F.coalesce("first", "node").alias("node"), "n", "level", "place")
+    single = single.groupBy("item", "node").agg(*(F.min(c).alias(c) for c in ("n", "level", "place")))
+    single = stored(single.repartition(parts, "item").sortWithinPartitions("item").mapInArrow(_shared_only, _PREFIX), "prefixes")
 
     edges = copies.select(F.col("copy").alias("a"), F.col("first").alias("b"))
     found: DataFrame | None = None
@@ -310,10 +330,10 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5, doc_i
     open_items = stored(labelled.join(stored(spread, "open"), "item"), "open-items")
     ends = open_items.select("item", "label").distinct()
     crossing = ends.select("item", F.col("label").alias("a_label")).join(ends.select("item", F.col("label").alias("b_label")), "item").where("a_label < b_label")
-    left = open_items.select("item", F.col("node").alias("a"), F.col("n").alias("an"), F.col("level").alias("al"), F.col("label").alias("a_label"))
-    right = open_items.select("item", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("level").alias("bl"), F.col("label").alias("b_label"))
-    pairs = crossing.join(left, ["item", "a_label"]).join(right, ["item", "b_label"])
-    pairs = pairs.groupBy("a", "b", "an", "bn", "al", "bl").agg(F.count("*").alias("met")).where(_possible(percent)).select("a", "b")
+    left = open_items.select("item", F.col("node").alias("a"), F.col("n").alias("an"), F.col("level").alias("al"), F.col("place").alias("ap"), F.col("label").alias("a_label"))
+    right = open_items.select("item", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("level").alias("bl"), F.col("place").alias("bp"), F.col("label").alias("b_label"))
+    pairs = crossing.join(left, ["item", "a_label"]).join(right, ["item", "b_label"]).where(_in_both_prefixes(percent))
+    pairs = pairs.groupBy("a", "b", "al", "bl").agg(F.count("*").alias("met")).where(F.col("met") >= F.least("al", "bl")).select("a", "b")
     pairs = stored(pairs, "pairs")
     rest = stored(_verified(pairs, _sets_of(rows, pairs, width), percent), "links")
     everything = edges.unionByName(rest)
