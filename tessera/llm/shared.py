@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,5 +67,17 @@ def in_filter(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def maybe_in(df: DataFrame, key: str, bitmap: np.ndarray, wanted: bool = True) -> DataFrame:
+    """The rows whose 64-bit hash `key` the bitmap may hold, or those that it surely doesn't: a filter without a shuffle."""
+    seen = df.sparkSession.sparkContext.broadcast(bitmap)
+    place = df.columns.index(key)
+
+    def chosen(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(in_filter(seen.value, batch.column(place).to_numpy()) == wanted))
+
+    return df.mapInArrow(chosen, df.schema)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

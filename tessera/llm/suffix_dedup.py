@@ -20,6 +20,8 @@ buckets that are sorted one at a time:
    byte by byte.
 4. A bucket of more than MOST runs isn't sorted in one task: its suffixes are
    shuffled on 128-bit hashes of their bytes instead.
+
+Texts themselves are shuffled only where something is open or to be cut.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textblocks as tb
-from tessera.llm.shared import stored
+from tessera.llm.shared import filter_bits, hash_filter, maybe_in, stored
 
 GRAM = 128
 #: A perfect difference set modulo 57: every difference occurs once.
@@ -74,24 +76,32 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.
     return doc, place - offsets[doc], low - offsets[doc], high - offsets[doc], hashes[place], extent
 
 
+#: What a row is in its bucket: equal to another and not the first of those, the first of equal ones, or like no other.
+REPEATED, FIRST, LONE = 0, 1, 2
+_RUN = "anchor long, extent long, doc_id long, text_key long, place int, low int, high int, kind byte"
+
+
 def _runs(length: int):
+    """The runs of all documents; of equal ones within a block only the first need go on."""
+
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tb.blocks(batches):
             doc, place, low, high, anchor, extent = anchor_runs(block.data, block.offsets, length)
+            order = np.lexsort((extent, anchor))
+            same = (anchor[order][1:] == anchor[order][:-1]) & (extent[order][1:] == extent[order][:-1])
+            before, after = np.concatenate([[False], same]), np.concatenate([same, [False]])
+            kind = np.empty(len(order), np.int8)
+            if len(order):
+                kind[order] = np.where(before, REPEATED, np.where(after, FIRST, LONE))
             owner = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(extent.view(np.int64)), block.batch.column(0).take(owner), block.batch.column(1).take(owner), *(pa.array(x.astype(np.int32)) for x in (place, low, high))],
-                names=["anchor", "extent", "doc_id", "text_key", "place", "low", "high"],
+                [pa.array(anchor.view(np.int64)), pa.array(extent.view(np.int64)), block.batch.column(0).take(owner), block.batch.column(1).take(owner), *(pa.array(x.astype(np.int32)) for x in (place, low, high)), pa.array(kind)],
+                names=["anchor", "extent", "doc_id", "text_key", "place", "low", "high", "kind"],
             )
 
     return runs
 
 
-_RUN = "anchor long, extent long, doc_id long, text_key long, place int, low int, high int"
-#: What a row is in its bucket: equal to another and not the first of those, the first of equal ones, or like no other.
-REPEATED, FIRST, LONE = 0, 1, 2
-
-
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come in the order of (anchor, extent); those that are alone under their anchor are dropped.
 
@@ -111,8 +121,9 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if before is not None:
             same_anchor[0] = anchor[0] == before[0]
             same_all[0] = same_anchor[0] and extent[0] == before[1]
-        kind = np.where(same_all[:-1], REPEATED, np.where(same_all[1:], FIRST, LONE))
-        keep = same_anchor[:-1] | same_anchor[1:]
+        known = batch.column(7).to_numpy() == FIRST
+        kind = np.where(same_all[:-1], REPEATED, np.where(same_all[1:] | known, FIRST, LONE))
+        keep = same_anchor[:-1] | same_anchor[1:] | known
         if not last:
             if n > 1:
                 before = (int(anchor[-2]), int(extent[-2]))
@@ -120,7 +131,7 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep, kind, batch = keep[:-1], kind[:-1], batch.slice(0, n - 1)
         if not keep.any():
             return None
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(kind.astype(np.int8))], names=[*batch.schema.names, "kind"]).filter(pa.array(keep))
+        return pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(kind.astype(np.int8))], names=batch.schema.names).filter(pa.array(keep))
 
     for batch in batches:
         if batch.num_rows:
@@ -327,8 +338,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
-    runs = rows.mapInArrow(_runs(length), _RUN)
-    kinds = stored(runs.repartition(parts, "anchor").sortWithinPartitions("anchor", "extent").mapInArrow(_classify, f"{_RUN}, kind byte"), "runs")
+    runs = stored(rows.mapInArrow(_runs(length), _RUN), "runs")
+    open_runs = runs.where(f"kind > {REPEATED}").repartition(parts, "anchor").sortWithinPartitions("anchor", "extent")
+    kinds = stored(open_runs.mapInArrow(_classify, _RUN), "classified")
+    settled = runs.where(f"kind = {REPEATED}").unionByName(kinds.where(f"kind < {LONE}")).select("doc_id", "text_key", "low", "high")
 
     classes = kinds.where(f"kind > {REPEATED}")
     open_ = classes.groupBy("anchor").agg(F.count("*").alias("classes"), F.count_if(F.col("kind") == LONE).alias("lone")).where("classes > 1 AND lone > 0").select("anchor", "classes")
@@ -336,7 +349,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
     wanted = stored(wanted, "open-runs")
     of_doc = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set(F.struct("anchor", "place", "low", "high", "lone")).alias("runs"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
-    extents = rows.join(of_doc, same).select("doc_id", "text_key", "text", "runs").mapInArrow(_extents(length), "anchor long, doc_id long, text_key long, place int, low int, high int, lone boolean, bytes binary")
+    # Only texts that may have an open run are shuffled.
+    of_open = maybe_in(rows, "text_key", hash_filter(wanted, "text_key", filter_bits(wanted.count())))
+    extents = of_open.join(of_doc, same).select("doc_id", "text_key", "text", "runs").mapInArrow(_extents(length), "anchor long, doc_id long, text_key long, place int, low int, high int, lone boolean, bytes binary")
     large = stored(wanted.where(F.col("classes") > most).select("anchor").distinct(), "large-buckets")
     if large.isEmpty():
         sorted_, hashed = extents, None
@@ -348,6 +363,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
         suffixes = stored(hashed.mapInArrow(_hash_suffixes(length), "f1 long, f2 long, doc_id long, text_key long, low int, lone boolean"), "suffixes")
         twice = stored(suffixes.groupBy("f1", "f2").count().where("count > 1").select("f1", "f2"), "suffixes-twice")
         marks = marks.unionByName(suffixes.where("lone").join(twice, ["f1", "f2"]).select("doc_id", "text_key", "low", F.col("low").alias("high")))
-    marks = marks.unionByName(kinds.where(f"kind < {LONE}").select("doc_id", "text_key", "low", "high"))
+    marks = stored(marks.unionByName(settled), "marks")
+    marked = hash_filter(marks, "text_key", filter_bits(marks.select("doc_id", "text_key").distinct().count()))
     of_doc = marks.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set(F.struct("low", "high")).alias("marks"))
-    return rows.join(of_doc, same, "left").select("doc_id", "text", "marks").mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    touched = maybe_in(rows, "text_key", marked).join(of_doc, same, "left").select("doc_id", "text", "marks")
+    whole = maybe_in(rows, "text_key", marked, wanted=False)
+    n = F.length("text").cast("long")
+    zero = F.lit(0).cast("long")
+    whole = whole.select("doc_id", n.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").alias("kept"))
+    return touched.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary").unionByName(whole)
