@@ -50,6 +50,7 @@ STOP[[33, 44, 46, 58, 59, 63]] = True
 
 CACHED = 1 << 19
 _MARK = "\x01"
+_ID_VALUES = tb.mix64(np.arange(1 << 16, dtype=np.uint64))
 
 
 class _Tokens:
@@ -61,10 +62,14 @@ class _Tokens:
     """
 
     def __init__(self, spec: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_str(spec)
         self.library.encode_special_tokens = False
+        # Lower-case ASCII letters are normal and one word already: the same model without the steps that find that out.
+        self.letters = Tokenizer.from_str(spec)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.mark = self._encode([_MARK])[0]
         if len(self.mark) != 1:
             raise ValueError("the tokenizer must have one id for U+0001")
@@ -77,8 +82,8 @@ class _Tokens:
         self.used = 0
         self.sizes = np.zeros(0, np.int64)
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str], library=None) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in (library or self.library).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _append(self, ids: np.ndarray, sizes: np.ndarray) -> None:
         if self.used + len(ids) > len(self.flat):
@@ -89,22 +94,23 @@ class _Tokens:
 
     def _add(self, chunks: list[bytes]) -> None:
         """Encode new chunks: joined by a mark whose id tells them apart, or alone if they may hold an added token."""
-        plain, odd = [], []
+        letters, plain, odd = [], [], []
         for c in chunks:
-            (odd if b"<" in c or b"\x01" in c else plain).append(c)
-        ids = [self.mark]
-        for at in range(0, len(plain), 1000):
-            ids += self._encode([b" \x01 ".join([*plain[at : at + 1000], b""]).decode()])
-        ids = np.concatenate(ids)
-        marks = np.flatnonzero(ids == self.mark[0])
-        if len(marks) != len(plain) + 1:
-            raise ValueError("chunks can't be told apart in this tokenizer's output")
-        self._append(ids[ids != self.mark[0]], np.diff(marks) - 1)
+            (letters if c.isalpha() and c.islower() else odd if b"<" in c or b"\x01" in c else plain).append(c)
+        for own, library in ((letters, self.letters), (plain, self.library)):
+            ids = [self.mark]
+            for at in range(0, len(own), 1000):
+                ids += self._encode([b" \x01 ".join([*own[at : at + 1000], b""]).decode()], library)
+            ids = np.concatenate(ids)
+            marks = np.flatnonzero(ids == self.mark[0])
+            if len(marks) != len(own) + 1:
+                raise ValueError("chunks can't be told apart in this tokenizer's output")
+            self._append(ids[ids != self.mark[0]], np.diff(marks) - 1)
         for c in odd:
             ids = self._encode([c.decode()])[0]
             self._append(ids, np.array([len(ids)]))
         before = len(self.known)
-        self.known.update(zip([*plain, *odd], range(before, before + len(chunks)), strict=True))
+        self.known.update(zip([*letters, *plain, *odd], range(before, before + len(chunks)), strict=True))
 
     def encode(self, block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the block's documents and their number in each."""
@@ -137,7 +143,7 @@ class _Tokens:
 
 def cut_points(ids: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
     """For each document, the ends of its chunks, counted in ids from its start."""
-    rolling = tb.sequence_hashes(tb.mix64(ids), WINDOW)
+    rolling = tb.sequence_hashes(_ID_VALUES[ids & 0xFFFF], WINDOW)
     cuts = np.flatnonzero(rolling & np.uint64((1 << CUT_BITS) - 1) == 0) + WINDOW
     bounds = np.searchsorted(cuts, offsets)
     out = []
