@@ -157,3 +157,32 @@ def test_job_stream(spark, tmp_path):
     found = windows.run_once(windows.job_states(stream), "job_states", str(tmp_path / "ck"), "update")
     last = {r["job"]: (r["status"], r["attempts"]) for r in found.collect()}
     assert last[1] == ("done", 1) and last[2] == ("queued", 0) and last[3][1] == 1
+
+
+def test_greedy_match_equals_brute_force(spark):
+    import random
+
+    from tessera.operators.score import greedy_match
+
+    rng = random.Random(1)
+    pairs = [(g, a, b, rng.choice([0.3, 0.5, 0.5, 0.9])) for g in range(4) for a in range(8) for b in range(8) if rng.random() < 0.5]
+    want = set()
+    for g in range(4):
+        seen_a, seen_b = set(), set()
+        for _, a, b, s in sorted((p for p in pairs if p[0] == g), key=lambda p: (-p[3], p[1], p[2])):
+            if a not in seen_a and b not in seen_b:
+                seen_a.add(a)
+                seen_b.add(b)
+                want.add((g, a, b, s))
+    df = spark.createDataFrame(pairs, "g int, a int, b int, s double").repartition(3)
+    assert {tuple(r) for r in greedy_match(df, "g", "a", "b", "s").collect()} == want
+
+
+def test_change_classes(spark):
+    from tessera.operators.score import change_classes
+
+    overlaps = spark.createDataFrame([(1, 1, 0.9), (2, 2, 0.5), (3, 3, 0.4), (3, 4, 0.4), (4, 5, 0.4), (5, 5, 0.4)], "o int, n int, iou double")
+    old, new = spark.createDataFrame([(k,) for k in range(1, 7)], "o int"), spark.createDataFrame([(k,) for k in range(1, 7)], "n int")
+    got = {(r["side"], r["id"]): r["class"] for r in change_classes(overlaps, old, new, "o", "n").collect()}
+    assert [got["old", k] for k in range(1, 7)] == ["unchanged", "reshaped", "split", "merged", "merged", "gone"]
+    assert [got["new", k] for k in range(1, 7)] == ["unchanged", "reshaped", "split", "split", "merged", "new"]
