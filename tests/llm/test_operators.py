@@ -1,0 +1,377 @@
+"""Each operator against a brute-force version, on a fixture with nulls, empties, ties, repeats and clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, jaccard_join, suffix_dedup, token_store
+from tessera.llm.components import connected_components
+from tessera.llm.decontaminate import contamination, drop_contaminated
+from tessera.llm.exact_dedup import drop_copies, exact_groups, plan_directory
+from tessera.llm.langid import languages
+from tessera.llm.line_dedup import dedup_lines
+from tessera.llm.quality import keep_good, quality_scores
+from tessera.llm.secret_scan import scan
+
+tokenizers = pytest.importorskip("tokenizers")
+TOKENIZERS = "/opt/tokenizers"
+A_Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def sha(data) -> str:
+    return hashlib.sha256(data.encode() if isinstance(data, str) else data).hexdigest()
+
+
+def make_texts() -> list[tuple[int | None, str | None]]:
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghié", k=rng.randint(1, 7))) for _ in range(400)]
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    base, passage, line = say(120), say(90), "Released under a licence that many texts share"
+    texts: list[str | None] = [None, "", " ", "a", "Ünïcode space here", "<|endoftext|> in <|text|>", "x" * 900, "of the " * 300, say(9000)]
+    texts += [say(rng.randint(1, 300)) for _ in range(30)]
+    texts += [base] * 4 + [base.upper()]
+    for k in range(8):
+        own = base.split()
+        for at in rng.sample(range(120), k):
+            own[at] = f"new{k}{at}"
+        texts.append(" ".join(own))
+    texts += [f"{say(60)} {passage} {say(40)}" for _ in range(5)] + [passage]
+    texts += [f"{say(10)}\n  {line}\t\n{say(8)}\n{line.upper()}" for _ in range(6)]
+    texts += ["one two", "one two three four five", "one two three four", "\n\n", "́mark first", "it's we'll ''s \x01 ok"]
+    return [(3 * k + 1, t) for k, t in enumerate(texts)]
+
+
+TEXTS = make_texts()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, _id long, label string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """With columns whose names the operators use inside."""
+    return spark.createDataFrame([(i, t, "en", None, None, 1, 2, "x") for i, t in TEXTS], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def by_id(df, *columns):
+    return {r["doc_id"]: tuple(r[c] for c in columns) for r in df.collect()}
+
+
+# exact dedup
+
+def test_exact_dedup(docs):
+    groups = defaultdict(list)
+    for i, t in TEXTS:
+        groups[t or ""].append(i)
+    want = {i: (max(groups[t or ""]), len(groups[t or ""]), i == max(groups[t or ""]), sha(t or "")) for i, t in TEXTS}
+    assert by_id(exact_groups(docs), "keep_id", "group_size", "kept", "text_sha256") == want
+    kept = drop_copies(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(max(v) for v in groups.values())
+
+
+def test_exact_dedup_nulls_and_repeats(spark, none):
+    df = spark.createDataFrame([(None, "a"), (5, "a"), (5, "a"), (None, "b"), (7, None), (8, "")], "doc_id long, text string")
+    rows = sorted(((str(r["doc_id"]), r["keep_id"], r["group_size"], r["kept"]) for r in exact_groups(df).collect()), key=str)
+    assert rows == sorted([("None", 5, 3, False), ("5", 5, 3, True), ("5", 5, 3, True), ("None", None, 1, True), ("7", 8, 2, False), ("8", 8, 2, True)], key=str)
+    assert exact_groups(none).count() == 0
+
+
+def test_directory_splits_only_overfull_buckets():
+    weights = {k: 1 for k in range(16)} | {3: 100}
+    directory = plan_directory(weights, 4, 20)
+    load = defaultdict(int)
+    for prefix, weight in weights.items():
+        load[directory[prefix * len(directory) // 16]] += weight
+    assert len(directory) == 16 and sorted(load.values())[-2] <= 20 and max(load.values()) == 100
+    assert len(plan_directory({}, 4, 20)) == 1
+
+
+def test_colliding_hashes_are_chained():
+    from tessera.llm.exact_dedup import _chain, _fold
+
+    chains = {}
+    for i, text in enumerate((b"a", b"b", b"a")):
+        _fold(_chain(chains, 1, text), i, 1)
+    assert chains[1] == [[b"a", 2, 2], [b"b", 1, 1]]
+
+
+# decontamination
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words_of(t):
+    return WORD.findall((t or "").translate(A_Z))
+
+
+def brute_contamination(texts, items):
+    windows = defaultdict(set)
+    for i, t in items:
+        w = words_of(t)
+        k = min(10, len(w))
+        for at in range(len(w) - k + 1 if w else 0):
+            windows[tuple(w[at : at + k])].add(i)
+    out = {}
+    for i, t in texts:
+        w, hit, found = words_of(t), set(), set()
+        for k in {len(x) for x in windows}:
+            for at in range(len(w) - k + 1):
+                if own := windows.get(tuple(w[at : at + k])):
+                    hit |= set(range(at, at + k))
+                    found |= own
+        names = sorted(str(x) for x in found if x is not None)
+        out[i] = (len(w), len(hit), len(names), sha(",".join(names)), bool(hit))
+    return out
+
+
+def test_contamination(spark, docs, none):
+    texts = dict(TEXTS)
+    long = next(t for t in texts.values() if t and 4000 > len(t) > 1500)
+    items = [(1, " ".join(long.split()[20:45])), (2, "one two"), (3, None), (4, ""), (12, "three, FOUR!"), (7, "of the of the of the of the of the of the"), (8, " ".join(long.split()[20:45])), (None, "one two"), (9, "x"), (10, "Released under a licence that many texts share.")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_contamination(TEXTS, items)
+    assert by_id(contamination(docs, bench), "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
+    clean = drop_contaminated(docs, bench)
+    assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {i for i, w in want.items() if not w[4]}
+    assert contamination(none, bench).count() == 0
+    assert by_id(contamination(docs, bench.limit(0)), "n_hit") == {i: (0,) for i, _ in TEXTS}
+
+
+# line dedup
+
+def test_line_dedup(docs, none):
+    keys = defaultdict(set)
+    split = {i: (t or "").split("\n") for i, t in TEXTS}
+    key = lambda line: line.strip(" \t\n\v\f\r").translate(A_Z)
+    for i, lines in split.items():
+        for line in lines:
+            if len(key(line)) >= 20:
+                keys[key(line)].add(i)
+    gone = {k: max(v) for k, v in keys.items() if len(v) >= 3}
+    want = {}
+    for i, lines in split.items():
+        kept = [x for x in lines if gone.get(key(x), i) == i]
+        want[i] = (len(lines), len(lines) - len(kept), "\n".join(kept))
+    assert sum(w[1] for w in want.values()) > 5
+    assert by_id(dedup_lines(docs), "n_lines", "n_dropped", "kept_text") == want
+    assert dedup_lines(none).count() == 0
+
+
+# n-gram Jaccard join
+
+def brute_components(texts):
+    blank = re.compile(r"[^\x20\x09-\x0D]+")
+    sets, parent = {}, {}
+    for i, t in texts:
+        w = blank.findall((t or "").translate(A_Z))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        parent[i] = i
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def test_jaccard_components(docs, none):
+    want = brute_components(TEXTS)
+    assert len({c for _, c in want.values()}) <= len(TEXTS) - 6
+    assert by_id(jaccard_join.similar_components(docs), "n_shingles", "component_id") == want
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {c for _, c in want.values()}
+    assert jaccard_join.similar_components(none).count() == 0
+
+
+def test_jaccard_at_the_threshold(spark):
+    """8 of 10 shingles link, 79 of 99 do not; chains link through the middle."""
+    say = lambda *parts: " ".join(f"w{k}" for a, b in parts for k in range(a, b))
+    texts = [(1, say((0, 13))), (2, say((0, 12), (100, 102))), (3, say((0, 103))), (4, say((0, 83), (200, 220))), (5, say((0, 83), (200, 219)))]
+    df = spark.createDataFrame([*texts, (None, say((0, 13)))], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_components(df).collect()}
+    assert got.pop(None) is None and got == {i: c for i, (_, c) in brute_components(texts).items()}
+
+
+def test_many_near_copies_with_stragglers(spark):
+    rng = random.Random(9)
+    base = [f"b{k}" for k in range(150)]
+    texts = []
+    for i in range(120):
+        own = list(base)
+        for at in rng.sample(range(150), rng.choice([0, 1, 1, 2, 3, 5, 8])):
+            own[at] = f"m{i}x{at}"
+        texts.append((i, " ".join(own)))
+    got = by_id(jaccard_join.similar_components(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)), "n_shingles", "component_id")
+    assert got == brute_components(texts)
+
+
+def test_components_of_long_chains(spark):
+    edges = [(k, k + 1) for k in range(60)] + [(100, 200), (200, 150)]
+    labels = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert labels == {k: 0 for k in range(61)} | {100: 100, 150: 100, 200: 100}
+
+
+# suffix dedup
+
+def brute_repeats(texts, length):
+    seen = defaultdict(int)
+    data = {i: (t or "").encode() for i, t in texts}
+    for b in data.values():
+        for k in range(len(b) - length + 1):
+            seen[b[k : k + length]] += 1
+    out = {}
+    for i, b in data.items():
+        gone = np.zeros(len(b) + 1, bool)
+        for k in range(len(b) - length + 1):
+            if seen[b[k : k + length]] > 1:
+                gone[k : k + length] = True
+        gone = gone[: len(b)]
+        spans = int((gone[1:] & ~gone[:-1]).sum() + (len(gone) > 0 and gone[0]))
+        out[i] = (len(b), int(gone.sum()), spans, bytes(np.frombuffer(b, np.uint8)[~gone]))
+    return out
+
+
+@pytest.mark.parametrize(("length", "most"), [(400, 4096), (100, 4096), (100, 1)])
+def test_suffix_dedup(docs, length, most):
+    want = brute_repeats(TEXTS, length)
+    got = by_id(suffix_dedup.remove_repeats(docs, length, most=most), "n_bytes", "n_removed", "n_spans", "kept")
+    assert {i: (*g[:3], bytes(g[3])) for i, g in got.items()} == want and sum(w[1] for w in want.values()) > 1000
+
+
+def test_suffix_dedup_of_nothing(none):
+    assert suffix_dedup.remove_repeats(none).count() == 0
+
+
+def test_cover_has_every_difference():
+    differences = {(a - b) % suffix_dedup.PERIOD for a in suffix_dedup.COVER for b in suffix_dedup.COVER}
+    assert differences == set(range(suffix_dedup.PERIOD))
+    gaps = np.diff([*suffix_dedup.COVER, suffix_dedup.COVER[0] + suffix_dedup.PERIOD])
+    assert gaps.max() <= suffix_dedup.GAP
+
+
+# tokens
+
+def test_bpe_equals_the_library(docs, none):
+    path = f"{TOKENIZERS}/byte_bpe_50k.json"
+    library = tokenizers.Tokenizer.from_file(path)
+    got = by_id(bpe.decode(bpe.encode(docs, path), path), "ids", "decoded")
+    for i, t in TEXTS:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert (list(got[i][0]), got[i][1]) == (ids, library.decode(ids, skip_special_tokens=False)), t
+    assert bpe.encode(none, path).count() == 0
+
+
+def test_bpe_merges_overlapping_pairs_from_the_left():
+    with open(f"{TOKENIZERS}/byte_bpe_50k.json", encoding="utf-8") as f:
+        vocabulary = bpe.Vocabulary(f.read())
+    library = tokenizers.Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json")
+    pieces = ["aaaa", "aaaaa", "ababab", "====", "''''", "ananan", "a", "ééé", "hahahah"]
+    ids, sizes = bpe.merge_all([p.encode() for p in pieces], vocabulary)
+    assert ids.tolist() == [k for p in pieces for k in library.encode(p, add_special_tokens=False).ids] and len(sizes) == len(pieces)
+
+
+def test_token_store(spark, docs, none, tmp_path):
+    path, spec = f"file://{tmp_path}/store", f"{TOKENIZERS}/word_bpe_49k.json"
+    library = tokenizers.Tokenizer.from_file(spec)
+    token_store.write_store(docs, path, spec, end_id=1)
+    want, start = {}, 0
+    for i, t in sorted(TEXTS):
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        want[i] = (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert by_id(token_store.checksums(spark, path), "start", "n_tokens", "ids_crc32") == want
+    rebuilt = by_id(token_store.read_ids(spark, path), "ids")
+    assert all(zlib.crc32(np.frombuffer(bytes(rebuilt[i][0]), "<u2").astype("<u4").tobytes()) == want[i][2] for i in want)
+    stored = spark.read.parquet(f"{path}/chunks").where("kind <> 'pending'")
+    assert stored.count() == stored.select("digest").distinct().count()
+    token_store.write_store(none, f"{path}-none", spec)
+    assert token_store.checksums(spark, f"{path}-none").count() == 0
+
+
+def test_damaged_chunk_is_found(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/store"
+    token_store.write_store(docs, path, f"{TOKENIZERS}/word_bpe_49k.json")
+    chunks = spark.read.parquet(f"{path}/chunks").where("kind <> 'pending'").select("digest", "data").localCheckpoint()
+    bad = chunks.withColumn("data", F.when(F.col("digest") == F.lit(chunks.first()["digest"]), F.lit(b"\x01\x00")).otherwise(F.col("data")))
+    bad.withColumn("kind", F.lit("once")).write.mode("overwrite").partitionBy("kind").parquet(f"{path}/chunks")
+    with pytest.raises(Exception, match="doesn't match its digest"):
+        token_store.checksums(spark, path).collect()
+
+
+def test_crc_append():
+    rng = random.Random(2)
+    parts = [bytes(rng.randrange(256) for _ in range(n)) for n in (0, 1, 3, 200, 5000)]
+    crc = np.zeros(1, np.uint32)
+    for p in parts:
+        crc = token_store.crc_append(crc, np.array([zlib.crc32(p)], np.uint32), np.array([len(p)]))
+    assert int(crc[0]) == zlib.crc32(b"".join(parts))
+
+
+# classifiers
+
+def test_quality_on_held_out_rows(spark, data):
+    docs, labels = spark.read.parquet(f"{data.replace('0.001', '0.01')}/documents.parquet"), spark.read.parquet(f"{data.replace('0.001', '0.01')}/labels.parquet")
+    scored = quality_scores(docs, labels)
+    rows = scored.join(labels, "doc_id").where("held_out").collect()
+    assert sum(r["predicted"] == r["quality"] for r in rows) >= 0.93 * len(rows) and scored.count() == docs.count()
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
+    assert {r["doc_id"] % 3 == 1 for r in rows} and all(zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in rows)
+
+
+def test_quality_edge_cases(spark, docs, none):
+    labels = spark.createDataFrame([(i, int(k % 2 == 0), 0) for k, (i, _) in enumerate(TEXTS)] + [(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
+    assert quality_scores(docs, labels).count() == len(TEXTS)
+    assert keep_good(docs, labels).columns == docs.columns
+    assert {r["score"] for r in quality_scores(docs, labels.limit(0)).collect()} == {0.5}
+    assert quality_scores(none, labels).count() == 0
+
+
+def test_languages(spark, docs, none, data):
+    table = spark.read.parquet(f"{data.replace('0.001', '0.01')}/documents.parquet")
+    rows = languages(table).join(table, "doc_id").where("held_out").collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in rows) >= 0.95 * len(rows)
+    got = by_id(languages(docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b"))), "lang_pred", "score")
+    for i, t in TEXTS:
+        assert (got[i] == ("und", 0.0)) == (not any(c.isalpha() for c in t or "")), t
+    assert {r["lang_pred"] for r in languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    assert languages(none).count() == 0
+
+
+# secrets
+
+def test_secret_scan(spark, docs, none):
+    rng = random.Random(4)
+    hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    texts = [(k, f"say it {hexes(3)} token = \"{hexes(40)}\" and on") for k in range(40)]
+    texts += [(100 + k, f"mail abc{k}.example-host.internal.org card {rng.randrange(10**15, 10**16)} end") for k in range(40)] + [(300, None), (301, "")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = scan(df).collect()
+    assert len(rows) == sum(len(re.findall(r"[A-Za-z0-9+/_-]{16,}", t or "")) for _, t in texts)
+    assert all(r["is_secret"] == (r["doc_id"] < 100) for r in rows if r["held_out"])
+    assert scan(none).count() == 0 and scan(docs).where("NOT is_secret AND score >= 0.5").count() == 0
+
+
+def test_labelled_findings_are_used(spark):
+    texts = [(k, f"key {'a1b2c3d4' * 3}{k:02d}" if k % 2 else f"id {'9' * 20}{k:02d}") for k in range(60)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    findings = spark.createDataFrame([(k, 1, 0, k % 2) for k in range(60)], "doc_id long, word int, place int, label int")
+    assert all(r["is_secret"] == bool(r["doc_id"] % 2) for r in scan(df, findings).collect())
