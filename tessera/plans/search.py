@@ -50,23 +50,22 @@ def q01_explore_page(t: Tables) -> DataFrame:
     tested = facets.tested(searchable, _part_filters())
     hit = facets.matched(tested)
     page = facets.keyset_page(hit, [F.coalesce(F.col("p_size").cast("long"), F.lit(facets.NO_YEAR)), F.col("p_name"), F.col("p_partkey")], 60)
-    counts = facets.facet_counts(tested, _part_dims())
-    choices = facets.facet_counts(tested, {"brand": F.col("p_brand")}, every=True)
-    bins = facets.sparse_bins(hit, F.col("p_size"))
-    more = hit.limit(61).agg((F.count("*") > 60).cast("long").alias("n"))
-    none = F.lit("")
-    parts = [
-        hit.agg(F.count("*").alias("n")).select(F.lit("total").alias("section"), none.alias("key"), none.alias("value"), "n"),
-        counts.select(F.lit("facet"), "dim", "value", "n"),
-        choices.select(F.lit("choice"), "dim", "value", "n"),
-        bins.select(F.lit("bin"), none, F.col("bin").cast("string"), "n"),
-        page.select(F.lit("page"), F.col("p_partkey").cast("string"), "p_name", F.col("place").cast("long")),
-        more.select(F.lit("more"), none, none, "n"),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+    # Everything that is counted comes from one pass: each row says what it counts for.
+    hits, value = F.size("failed") == 0, lambda c: c.cast("string")
+    entries = [_entry(hits, "total", "", F.lit("")), _entry(hits, "bin", "", value(_part_dims()["size"])), _entry(F.lit(True), "choice", "brand", F.col("p_brand"))]
+    for dim, column in _part_dims().items():
+        entries.append(_entry(F.size(F.array_except("failed", F.array(F.lit(dim)))) == 0, "facet", dim, value(column)))
+    counted = tested.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*", F.lit(1).alias("n"))
+    none = t.spark.range(1).select(F.lit("total").alias("section"), F.lit("").alias("key"), F.lit("").alias("value"), F.lit(0).alias("n"))
+    sums = counted.union(none).groupBy("section", "key", "value").agg(F.sum("n").alias("n"))
+    own = F.struct("section", "key", "value", "n")
+    more = F.struct(F.lit("more").alias("section"), "key", "value", (F.col("n") > 60).cast("long").alias("n"))
+    rows = sums.select(F.explode(F.when(F.col("section") == "total", F.array(own, more)).otherwise(F.array(own))).alias("r")).select("r.*")
+    return rows.union(page.select(F.lit("page"), F.col("p_partkey").cast("string"), "p_name", F.col("place").cast("long")))
+
+
+def _entry(test: Column, section: str, key: str, value: Column) -> Column:
+    return F.when(test & value.isNotNull(), F.struct(F.lit(section).alias("section"), F.lit(key).alias("key"), value.alias("value")))
 
 
 @query(_FACETS.format("part"))
