@@ -110,9 +110,37 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+OP4_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
+edges AS (SELECT x AS u, y AS v FROM links UNION ALL SELECT y, x FROM links),
+reach(node, label) AS (SELECT u, u FROM edges UNION SELECT e.v, r.label FROM reach r JOIN edges e ON e.u = r.node WHERE r.label < e.v),
+labels AS (SELECT node, min(label) AS label FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(label, d.doc_id) AS component_id FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN labels ON node = d.doc_id
+"""
+
+OP6_SQL = """
+WITH bytes AS (SELECT doc_id, encode(coalesce(text, '')) AS x FROM documents),
+windows AS (SELECT doc_id, i, hash(x[i : i + 399]) AS h FROM (SELECT doc_id, x, unnest(range(1, octet_length(x) - 398)) AS i FROM bytes WHERE octet_length(x) >= 400)),
+twice AS (SELECT h FROM windows GROUP BY 1 HAVING count(*) > 1),
+hit AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER w <= 400 THEN 0 ELSE 1 END AS opens FROM windows SEMI JOIN twice USING (h) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 399 AS b FROM (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM hit) GROUP BY doc_id, g),
+pieces AS (
+  SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) + 1 AS f, a - 1 AS t FROM spans
+  UNION ALL SELECT doc_id, coalesce(max(b), 0) + 1, 2147483647 FROM bytes LEFT JOIN spans USING (doc_id) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(hex(x[f : t]), '' ORDER BY f) AS k FROM pieces JOIN bytes USING (doc_id) WHERE f <= t AND f <= octet_length(x) GROUP BY 1),
+sums AS (SELECT doc_id, sum(b - a + 1) AS n, count(*) AS c FROM spans GROUP BY 1)
+SELECT doc_id, octet_length(x) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(c, 0) AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256
+FROM bytes LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 OP9_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op3_line_dedup": OP3_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op6_suffix_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL}
