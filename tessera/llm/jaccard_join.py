@@ -14,7 +14,9 @@ prefix items as the smaller l of its two documents before it is verified.
    there.
 3. Links are found in rounds.  In the first ones each document is verified with
    one partner per round only, the pivot it shares most prefix items with, which
-   joins large groups of near copies at a cost in proportion to their size.  The
+   joins large groups of near copies at a cost in proportion to their size.  An
+   item's pivot is the document in which fewest items come before it, so the one
+   with least of its own, and in later rounds any.  The
    last round takes every remaining pair across the components found so far, by
    the prefixes that the two sizes call for.
    Components are all that is asked for, so pairs within one are not needed.
@@ -40,7 +42,8 @@ WORD[[9, 10, 11, 12, 13, 32]] = False
 SKETCH_BITS = 20
 PART = 4096
 MOST_LEVEL = 4
-PIVOT_ROUNDS = 2
+#: Pivot rounds go on until the last round's expected work is below so many item meetings for each prefix item.
+LEAST_ROUNDS, MOST_ROUNDS, MEETINGS = 2, 6, 0.25
 
 
 def shingle_sets(block: tb.Block, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -269,6 +272,27 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.withColumn("common", common).where(100 * F.col("common") >= percent * union).select("a", "b")
 
 
+def _by_prefixes(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are still possible when all shared items of both whole prefixes are counted.
+
+    Items shared by documents of two components are open, so those are all.
+    """
+    own = items.groupBy("node").agg(F.min("n").alias("n"), F.min("level").alias("l"), F.collect_list("item").alias("items"))
+    own = stored(own, "prefix-lists")
+    left = own.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("l").alias("al"), F.col("items").alias("a_items"))
+    right = own.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("l").alias("bl"), F.col("items").alias("b_items"))
+    joined = pairs.join(left, "a").join(right, "b").withColumn("met", F.size(F.array_intersect("a_items", "b_items")))
+    return joined.where(_possible(percent)).select("a", "b")
+
+
+def _few_meetings(labelled: DataFrame) -> bool:
+    """Whether few prefix items of different components would meet."""
+    by_label = labelled.groupBy("item", "label").agg(F.count("*").cast("double").alias("c"))
+    items = by_label.groupBy("item").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    sums = items.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("meetings"), F.sum("s").alias("rows")).first()
+    return (sums["meetings"] or 0) <= MEETINGS * (sums["rows"] or 0)
+
+
 def _with_labels(prefixes: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return prefixes.withColumn("label", F.col("node"))
@@ -312,20 +336,22 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5, doc_i
     edges = copies.select(F.col("copy").alias("a"), F.col("first").alias("b"))
     found: DataFrame | None = None
     labels: DataFrame | None = None
-    for number in range(PIVOT_ROUNDS):
-        labelled = _with_labels(single, labels)
-        rank = F.col("node") if number == 0 else F.xxhash64(F.col("node"), F.lit(number))
-        ordered = labelled.select("item", "node", "label", "n", "level", rank.alias("rank")).repartition(parts, "item").sortWithinPartitions("item", "rank")
+    labelled = single.withColumn("label", F.col("node"))
+    for number in range(MOST_ROUNDS):
+        rank = F.struct("place", "node") if number == 0 else F.struct(F.xxhash64(F.col("node"), F.lit(number)).alias("place"), "node")
+        ordered = labelled.select("item", "node", "label", "n", "level", rank.alias("rank")).repartition(parts, "item").sortWithinPartitions("item", "rank").drop("rank")
         met = ordered.mapInArrow(_pivots, "a long, b long, an int, bn int, al byte, bl byte").groupBy("a", "b", "an", "bn", "al", "bl").agg(F.count("*").alias("met"))
         best = met.where(_possible(percent)).groupBy("b").agg(F.max(F.struct("met", F.negative("a").alias("a"))).alias("best"))
         best = stored(best.select(F.negative("best.a").alias("a"), "b"), "pairs")
         links = stored(_verified(best, _sets_of(rows, best, width), percent), "links")
-        if links.isEmpty():
+        if not links.isEmpty():
+            found = links if found is None else found.unionByName(links)
+            labels = connected_components(found)
+            labelled = stored(_with_labels(single, labels), "prefixes-labelled")
+        # A round that links few of its pairs leaves what is not similar: the last round's prefixes tell.
+        if number + 1 >= LEAST_ROUNDS and (20 * links.count() < best.count() or _few_meetings(labelled)):
             break
-        found = links if found is None else found.unionByName(links)
-        labels = connected_components(found)
 
-    labelled = stored(_with_labels(single, labels), "prefixes-labelled")
     spread = labelled.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("item")
     open_items = stored(labelled.join(stored(spread, "open"), "item"), "open-items")
     ends = open_items.select("item", "label").distinct()
@@ -335,6 +361,7 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5, doc_i
     pairs = crossing.join(left, ["item", "a_label"]).join(right, ["item", "b_label"]).where(_in_both_prefixes(percent))
     pairs = pairs.groupBy("a", "b", "al", "bl").agg(F.count("*").alias("met")).where(F.col("met") >= F.least("al", "bl")).select("a", "b")
     pairs = stored(pairs, "pairs")
+    pairs = stored(_by_prefixes(pairs, open_items, percent), "pairs")
     rest = stored(_verified(pairs, _sets_of(rows, pairs, width), percent), "links")
     everything = edges.unionByName(rest)
     if found is not None:
