@@ -87,3 +87,23 @@ def test_wilson(spark):
     low, high = stats.wilson(F.col("k"), F.col("n"))
     row = spark.createDataFrame([(9, 10), (0, 0)], "k int, n int").select(low.alias("l"), high.alias("h")).collect()
     assert (round(row[0]["l"], 2), round(row[0]["h"], 2)) == (0.6, 0.98) and row[1]["l"] is None
+
+
+def test_fuzzy_functions(spark):
+    from tessera.functions import fuzzy
+
+    df = spark.createDataFrame([("MARCHÉ", "marché"), ("MARCHÉ", "marche"), (None, "x")], "a string, b string").coalesce(1)
+    got = [r[0] for r in df.select(fuzzy.char_similarity("a", "b")).collect()]
+    assert got[0] == 1.0 and 0.8 < got[1] < 1.0 and got[2] is None
+    row = spark.range(1).select(
+        fuzzy.closed_up(F.lit("la R I V I È R E de l a")),
+        fuzzy.has_diacritic(F.lit("Rạch")),
+        fuzzy.has_diacritic(F.lit("N°29")),
+        fuzzy.token_cost(F.lit(1_000_000), F.lit(-5), F.lit(10), {"input": F.lit(2.0), "cached": F.lit(0.5), "output": F.lit(8.0)}),
+        fuzzy.localised_number(F.lit("15.154")),
+        fuzzy.spelling_variants(F.lit("Bến Nghé")),
+        fuzzy.period(F.lit(1901), [("old", None, 1900), ("new", 1901, None)]),
+        fuzzy.zoom_for_span(F.lit(360.0)),
+    ).first()
+    assert row[0] == "la RIVIÈRE de l a" and row[1] and not row[2] and row[3] == 2.00008 and row[4] == 15154
+    assert row[5] == ["Bến Nghé", "Bến-Nghé", "ben nghe", "ben-nghe"] and row[6] == "new" and row[7] == 4.0
