@@ -39,6 +39,8 @@ from tessera.llm.shared import filter_bits, hash_filter, in_filter, stored
 WORD = np.ones(256, bool)
 WORD[[9, 10, 11, 12, 13, 32]] = False
 
+#: Small blocks: a task's temporaries stay at a few megabytes.
+BLOCK = 1 << 18
 SKETCH_BITS = 20
 PART = 4096
 MOST_LEVEL = 4
@@ -88,9 +90,13 @@ def _scan(width: int):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        for block in tb.blocks(batches):
+        held: list[np.ndarray] = []
+        for block in tb.blocks(batches, limit=BLOCK):
             items, counts = shingle_sets(block, width)
-            sketch += np.bincount((items >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
+            held.append((items >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
+            if sum(map(len, held)) > len(sketch):
+                sketch += np.bincount(np.concatenate(held), minlength=len(sketch))
+                held.clear()
             n = len(block)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -103,6 +109,8 @@ def _scan(width: int):
                 ],
                 names=["doc_id", "n", "h1", "h2", "part", "counts"],
             )
+        if held:
+            sketch += np.bincount(np.concatenate(held), minlength=len(sketch))
         parts = [(k, p.astype("<u4").tobytes()) for k, p in enumerate(np.minimum(sketch, 2**32 - 1).reshape(-1, PART)) if p.any()]
         n = len(parts)
         yield pa.RecordBatch.from_arrays(
@@ -132,7 +140,7 @@ def _prefixes(sketch, width: int, percent: int):
         counts_of = sketch.value
         usual = int(np.median(counts_of))
         seen: set[tuple[int, int]] = set()
-        for block in tb.blocks(batches):
+        for block in tb.blocks(batches, limit=BLOCK):
             ids = block.batch.column(0).to_numpy(zero_copy_only=False)
             items, counts = shingle_sets(block, width)
             known = np.minimum(counts_of[(items >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], (1 << 20) - 1).astype(np.uint64)
@@ -247,7 +255,7 @@ def _sets(width: int, wanted):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chosen = in_filter(wanted.value, batch.column(1).to_numpy())
-            for block in tb.blocks([batch.filter(pa.array(chosen))]):
+            for block in tb.blocks([batch.filter(pa.array(chosen))], limit=BLOCK):
                 items, counts = shingle_sets(block, width)
                 yield pa.RecordBatch.from_arrays([block.batch.column(0), tb.list_array(pa.array(items.view(np.int64)), counts)], names=["node", "items"])
 

@@ -46,7 +46,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base and of its inverse, modulo 2**64."""
     if len(_powers[0]) < n:
-        size = max(n, BLOCK_BYTES + 1024)
+        size = max(2 * len(_powers[0]), n, 1 << 18)
         for k, base in enumerate((_BASE, _BASE_INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
