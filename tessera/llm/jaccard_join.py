@@ -251,6 +251,16 @@ def _in_both_prefixes(percent: int) -> Column:
     return close & (F.col("ap") < room[0]) & (F.col("bp") < room[1])
 
 
+def _components_may_meet(percent: int) -> Column:
+    """The same for two components on an item, from the ranges of their sizes and their least places."""
+    c = F.col
+    room = F.least("a_l", "b_l") + 1
+    a = (100 * c("a_high") - percent * c("b_low")) / (100.0 + percent) + room
+    b = (100 * c("b_high") - percent * c("a_low")) / (100.0 + percent) + room
+    close = (100 * c("a_high") >= percent * c("b_low")) & (100 * c("b_high") >= percent * c("a_low"))
+    return (c("a_label") < c("b_label")) & close & (c("a_p") < a) & (c("b_p") < b)
+
+
 def _sets(width: int, wanted):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -362,8 +372,9 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5, doc_i
 
     spread = labelled.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("item")
     open_items = stored(labelled.join(stored(spread, "open"), "item"), "open-items")
-    ends = open_items.select("item", "label").distinct()
-    crossing = ends.select("item", F.col("label").alias("a_label")).join(ends.select("item", F.col("label").alias("b_label")), "item").where("a_label < b_label")
+    ends = open_items.groupBy("item", "label").agg(F.min("place").alias("p"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("level").alias("l"))
+    one, two = (ends.select("item", *(F.col(c).alias(f"{side}_{c}") for c in ("label", "p", "low", "high", "l"))) for side in "ab")
+    crossing = one.join(two, "item").where(_components_may_meet(percent)).select("item", "a_label", "b_label")
     left = open_items.select("item", F.col("node").alias("a"), F.col("n").alias("an"), F.col("level").alias("al"), F.col("place").alias("ap"), F.col("label").alias("a_label"))
     right = open_items.select("item", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("level").alias("bl"), F.col("place").alias("bp"), F.col("label").alias("b_label"))
     pairs = crossing.join(left, ["item", "a_label"]).join(right, ["item", "b_label"]).where(_in_both_prefixes(percent))
