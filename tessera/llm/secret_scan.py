@@ -5,8 +5,8 @@ run of at least LEAST key characters in a word.  Its features are its length,
 the share of neighbouring characters of different kinds, the share of digits,
 capitals and different characters, how much of it the corpus' own frequent words
 cover, the document's path, and the words around it.  The forest is trained
-from labelled findings; where none are given, findings of documented formats
-serve as labels.
+from labelled findings; where none are given, documented formats label what they
+decide, and candidates that they leave open are not learned from.
 """
 
 from __future__ import annotations
@@ -25,7 +25,16 @@ CANDIDATE = f"[A-Za-z0-9+/_-]{{{LEAST},}}"
 #: The bound of the dictionary, and of the training sample for each label.
 DICTIONARY, SAMPLE = 2000, 5000
 TREES, DEPTH, HASHED = 20, 6, 256
-MEASURES = ["length", "transitions", "digits", "capitals", "different", "coverage"]
+MEASURES = ["length", "transitions", "digits", "capitals", "different", "coverage", "assigned"]
+#: The end of a credential's name, what may close it, and the sign that assigns to it.
+KEY = "(?i)(?:pass(?:word|wd|phrase|code)|pwd|(?<![a-z])pass|secret|token|credentials?|(?:api|access|account|auth|private|secret|shared|signing|encryption|master|license)[_.-]?key)[0-9]*"
+CLOSE, ASSIGN = "[\"'`\\\\\\])]*", "(?::=|=>|={1,3}|(?<!:):(?!:))"
+#: Published forms of keys: whole candidates, and parts of dotted tokens by what stands before them.
+PUBLISHED = "^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|sk-(?=[^0-9]*[0-9])(?=[^A-Z]*[A-Z])[A-Za-z0-9_-]{20,}|npm_[A-Za-z0-9]{36}|pypi-AgE[A-Za-z0-9_-]{50,}|hf_[A-Za-z0-9]{30,}|dop_v1_[0-9a-f]{64}|shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32}|eyJ[A-Za-z0-9_-]{13,})$"
+DOTTED = "(?:\\beyJ[A-Za-z0-9_-]+\\.(?:eyJ[A-Za-z0-9_-]+\\.)?|\\bSG\\.(?:[A-Za-z0-9_-]{22}\\.)?)$"
+#: What is assigned in place of a secret, and what only refers to one.
+STAND_IN = "(?i)^(?:none|null|nil|true|false|undefined|empty|string|str|text|bool|int|number|bytes|any|required|optional|changeme|example|placeholder|redacted|x{3,}|\\*+|\\.{3}|your[_-].*|<.*|\\$.*|\\{\\{.*|%\\(.*|%[a-z_]+%|(?:process\\.env|os\\.environ|os\\.getenv|getenv|env|config|self|this|settings|request|args|options|params)[.(\\[].*)$"
+REFERS = "[(\\[{]|->|::|^[A-Za-z][A-Za-z0-9+.-]*://|^(?:~|\\.{0,2})/"
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -47,7 +56,9 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path
     # What stands in the same word before the candidate belongs to its context.
     ahead = F.expr("substring_index(own, candidate, 1)")
     context = F.concat(F.array(*(F.concat(F.lit(f"{name}:"), F.lower(F.coalesce(part, F.lit("")))) for name, part in (("own", ahead), ("before", F.col("before")), ("earlier", F.col("earlier")), ("after", F.col("after"))))), F.array(F.concat(F.lit("path:"), F.coalesce("path", F.lit("")))))
-    return found.select("doc_id", "word", "place", "candidate", ahead.alias("ahead"), "before", "earlier", context.alias("context"))
+    # The value starts in this word: after the sign, or after a name or sign at the end of the words before.
+    assigned = F.concat_ws(" ", F.coalesce("earlier", F.lit("")), F.coalesce("before", F.lit("")), ahead).rlike(f"{KEY}{CLOSE} ?{ASSIGN} ?[^ &;,]*$")
+    return found.select("doc_id", "word", "place", "candidate", ahead.alias("ahead"), "before", "earlier", context.alias("context"), assigned.cast("double").alias("assigned"))
 
 
 def frequent_grams(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -79,11 +90,20 @@ def features(found: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def known_formats() -> Column:
-    """Label by documented formats: access key ids of a public cloud, and quoted or assigned hexadecimal credentials."""
-    key_id = F.col("candidate").rlike("^AKIA[0-9A-Z]{16}$")
-    token = (F.col("earlier").rlike("(?i)^(api[_-]?key|token|secret)$")) & (F.col("before") == "=") & F.col("candidate").rlike("^[0-9a-f]{32,}$")
-    password = F.col("ahead").rlike("(?i)(password|passwd|pwd)[=:]$")
-    return F.when(F.coalesce(key_id | token | password, F.lit(False)), 1).otherwise(0)
+    """Label by documented formats: 1 or 0, or null where they don't decide.
+
+    1 has a published form of key or is assigned, in any case, spacing and
+    quotes, to the name of a credential and has letters and digits.  0 stands in
+    for a secret, is a number or words of the corpus that nothing names a
+    credential, or is announced as a checksum.
+    """
+    candidate, assigned = F.col("candidate"), F.col("assigned") == 1
+    published = candidate.rlike(PUBLISHED) | F.col("ahead").rlike(DOTTED)
+    mixed = (F.length(candidate) >= 6) & candidate.rlike("[A-Za-z]") & candidate.rlike("[0-9]") & ~candidate.rlike(REFERS)
+    bearer = F.coalesce(F.col("before"), F.lit("")).rlike("(?i)^[\"'`]?bearer$") & (F.col("ahead") == "")
+    words = ~candidate.rlike("[0-9]|[a-z][A-Z]") & (F.col("coverage") >= 0.5)
+    checksum = F.concat_ws(" ", "before", "ahead").rlike("(?i)\\b(?:sha-?(?:1|256|384|512)|md5|checksum|digest|commit)[\"']?[ :=-]*[\"']?$")
+    return F.when(published, 1).when(assigned & candidate.rlike(STAND_IN), 0).when((assigned | bearer) & mixed, 1).when(~assigned & ~bearer & (candidate.rlike("^[0-9]+$") | words | checksum), 0)
 
 
 def fit(measured: DataFrame, findings: DataFrame | None = None, sample: int = SAMPLE) -> PipelineModel | None:
