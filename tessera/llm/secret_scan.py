@@ -1,7 +1,8 @@
 """Secret scan: pattern candidates, and a random forest that removes false positives.
 
 Everything is DataFrame functions and the JVM's own forest.  A candidate is a
-run of at least LEAST key characters in a word.  Its features are its length,
+run of at least LEAST key characters in a word, or the value, of any length and
+characters, that a credential's name is assigned.  Its features are its length,
 the share of neighbouring characters of different kinds, the share of digits,
 capitals and different characters, how much of it the corpus' own frequent words
 cover, the document's path, and the words around it.  The forest is trained
@@ -29,6 +30,9 @@ MEASURES = ["length", "transitions", "digits", "capitals", "different", "coverag
 #: The end of a credential's name, what may close it, and the sign that assigns to it.
 KEY = "(?i)(?:pass(?:word|wd|phrase|code)|pwd|(?<![a-z])pass|secret|token|credentials?|(?:api|access|account|auth|private|secret|shared|signing|encryption|master|license)[_.-]?key)[0-9]*"
 CLOSE, ASSIGN = "[\"'`\\\\\\])]*", "(?::=|=>|={1,3}|(?<!:):(?!:))"
+#: A value: quoted, or all up to a closing sign at the end of the word or the next name that is assigned to.
+VALUE = "(\\\\*\"[^\"]+\"|\\\\*'[^']+'|[^\\s]+?(?=[\"'`,;)\\]}>]*$|[&;,][\"']?[A-Za-z_][\\w.-]*[\"']?[=:]))"
+NAMED, INSIDE = f"{KEY}{CLOSE}", f"{KEY}{CLOSE}{ASSIGN}"
 #: Published forms of keys: whole candidates, and parts of dotted tokens by what stands before them.
 PUBLISHED = "^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|sk-(?=[^0-9]*[0-9])(?=[^A-Z]*[A-Z])[A-Za-z0-9_-]{20,}|npm_[A-Za-z0-9]{36}|pypi-AgE[A-Za-z0-9_-]{50,}|hf_[A-Za-z0-9]{30,}|dop_v1_[0-9a-f]{64}|shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32}|eyJ[A-Za-z0-9_-]{13,})$"
 DOTTED = "(?:\\beyJ[A-Za-z0-9_-]+\\.(?:eyJ[A-Za-z0-9_-]+\\.)?|\\bSG\\.(?:[A-Za-z0-9_-]{22}\\.)?)$"
@@ -48,11 +52,24 @@ def _share(pattern: str) -> Column:
 
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """Candidates of all documents: doc_id, word, place in the word, candidate, the context before it, around, path."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")).alias("path"), F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "[ \\t\\n\\x0B\\f\\r]+").alias("words"))
-    long_words = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda k: F.length(F.get("words", k)) >= LEAST)
+
+    def takes_value(own: Column, before: Column, earlier: Column) -> Column:
+        ahead = F.concat_ws(" ", earlier, before)
+        return own.rlike(f"{INSIDE}.") | ahead.rlike(f"{NAMED} ?{ASSIGN}$") | (own.rlike(f"^{ASSIGN}.") & ahead.rlike(f"{NAMED}$"))
+
+    # Most texts assign to no credential; only in the others every word is looked at.
+    named = F.coalesce(F.col(text).cast("string"), F.lit("")).rlike(f"{NAMED}[ \\t\\n\\x0B\\f\\r]*{ASSIGN}")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")).alias("path"), named.alias("named"), F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "[ \\t\\n\\x0B\\f\\r]+").alias("words"))
+    long_words = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda k: (F.length(F.get("words", k)) >= LEAST) | (F.col("named") & F.coalesce(takes_value(F.get("words", k), F.get("words", k - 1), F.get("words", k - 2)), F.lit(False))))
     around = F.transform(long_words, lambda k: F.struct(k.alias("word"), F.get("words", k).alias("own"), F.get("words", k - 1).alias("before"), F.get("words", k - 2).alias("earlier"), F.get("words", k + 1).alias("after")))
     words = rows.select("doc_id", "path", F.explode(around).alias("w")).select("doc_id", "path", "w.*")
-    found = words.select("*", F.posexplode(F.regexp_extract_all("own", F.lit(f"({CANDIDATE})"), F.lit(1))).alias("place", "candidate"))
+    runs = F.regexp_extract_all("own", F.lit(f"({CANDIDATE})"), F.lit(1))
+    names = F.concat_ws(" ", "earlier", "before")
+    outside = F.when(names.rlike(f"{NAMED} ?{ASSIGN}$"), F.regexp_extract("own", f"^{VALUE}", 1)).when(names.rlike(f"{NAMED}$"), F.regexp_extract("own", f"^{ASSIGN}{VALUE}", 1)).otherwise("")
+    values = F.transform(F.concat(F.regexp_extract_all("own", F.lit(f"{INSIDE}{VALUE}"), F.lit(1)), F.array(outside)), lambda v: F.regexp_replace(v, "^\\\\*[\"'`]+|\\\\*[\"'`]+$", ""))
+    # Runs keep their places; a value that is a run is one candidate.
+    extra = F.array_except(F.filter(values, lambda v: v != ""), runs)
+    found = words.select("*", F.posexplode(F.concat(runs, extra)).alias("place", "candidate"))
     # What stands in the same word before the candidate belongs to its context.
     ahead = F.expr("substring_index(own, candidate, 1)")
     context = F.concat(F.array(*(F.concat(F.lit(f"{name}:"), F.lower(F.coalesce(part, F.lit("")))) for name, part in (("own", ahead), ("before", F.col("before")), ("earlier", F.col("earlier")), ("after", F.col("after"))))), F.array(F.concat(F.lit("path:"), F.coalesce("path", F.lit("")))))
@@ -69,7 +86,8 @@ def frequent_grams(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _grams(column: str) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(column) - 2), lambda k: F.substring(F.col(column), k, F.lit(3)))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(column) - 2, F.lit(1))), lambda k: F.substring(F.col(column), k, F.lit(3)))
+    return F.filter(grams, lambda gram: F.length(gram) == 3)
 
 
 def features(found: DataFrame, grams: DataFrame) -> DataFrame:
@@ -86,7 +104,8 @@ def features(found: DataFrame, grams: DataFrame) -> DataFrame:
     exploded = found.select("candidate").distinct().withColumn("lower", F.lower("candidate")).select("candidate", F.explode(_grams("lower")).alias("gram"))
     known = exploded.join(F.broadcast(grams.withColumn("known", F.lit(1.0))), "gram", "left")
     coverage = known.groupBy("candidate").agg(F.avg(F.coalesce("known", F.lit(0.0))).alias("coverage"))
-    return measured.join(coverage, "candidate")
+    # A candidate shorter than a trigram has none.
+    return measured.join(coverage, "candidate", "left").fillna(0.0, ["coverage"])
 
 
 def known_formats() -> Column:
@@ -127,7 +146,7 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, doc_id: str = "doc_
     """One row per candidate of `docs`: doc_id, word, place, candidate, score, is_secret, held_out.
 
     `word` counts the white-space separated words before it, `place` the
-    candidates before it in its word.  Null and empty texts have none; a missing
+    candidates before it in its word, assigned values after its runs.  Null and empty texts have none; a missing
     or null path counts as an empty one; rows that repeat an id have their
     candidates each.  Without labels of both kinds every score is 1, so that no
     candidate is lost.
