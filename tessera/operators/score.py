@@ -2,18 +2,36 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Pairs that one task may hold.
+FEW = 50_000
+
+
+def _stored(df: DataFrame, folder: str) -> DataFrame:
+    path = f"{folder}/greedy-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def greedy_match(pairs: DataFrame, group: str, a: str, b: str, score: str) -> DataFrame:
-    """One-to-one matches within each group: the highest score claims first (ties by a, then b).
 
-    `pairs` holds candidate pairs only, so a group is as large as one sheet's
-    candidates; the claims are order-dependent, hence one task for each group.
+def greedy_match(pairs: DataFrame, group: str, a: str, b: str, score: str, few: int = FEW) -> DataFrame:
+    """One-to-one matches within each group: the highest score claims first (ties by a, then b; without a score last).
+
+    Each round keeps the pairs that are the best of both their members, which is
+    what claiming one by one comes to, and drops the other pairs of these
+    members.  Rounds are cut from their lineage by tables in the checkpoint
+    folder.  Once `few` pairs at most are left in all groups, whatever the
+    data's size, they are claimed one by one.
     """
+    columns = [group, a, b, score]
     kinds = dict(pairs.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in columns)
 
     def claim(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([score, a, b], ascending=[False, True, True])
@@ -23,10 +41,33 @@ def greedy_match(pairs: DataFrame, group: str, a: str, b: str, score: str) -> Da
                 used_a.add(x)
                 used_b.add(y)
                 keep.append(k)
-        return rows.iloc[keep][[group, a, b, score]]
-
-    schema = ", ".join(f"{c} {kinds[c]}" for c in (group, a, b, score))
-    return pairs.select(group, a, b, score).groupBy(group).applyInPandas(claim, schema)
+        return rows.iloc[keep][columns]
+
+    def best(rows: DataFrame, member: str) -> DataFrame:
+        """The first pair of each member."""
+        value = F.nanvl(score, F.lit(None)) if kinds[score] in ("double", "float") else F.col(score)
+        first = F.min(F.struct(value.isNull().alias("_none"), F.negative(value).alias("_score"), F.col(a).alias("_a"), F.col(b).alias("_b"), F.col(score).alias("_own")))
+        return rows.groupBy(group, member).agg(first.alias("_f")).select(F.col(group).alias("_g"), "_f.*")
+
+    def without(rows: DataFrame, matched: DataFrame, member: str) -> DataFrame:
+        gone = matched.select(F.col(group).alias("_g"), F.col(member).alias("_m"))
+        return rows.join(gone, F.col(group).eqNullSafe(F.col("_g")) & F.col(member).eqNullSafe(F.col("_m")), "left_anti")
+
+    spark = pairs.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
+    left, found = _stored(pairs.select(*columns), folder), []
+    while left.count() > few:
+        mine, theirs = best(left, a).alias("m"), best(left, b).alias("t")
+        same = [F.col(f"m.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("_g", "_a", "_b")]
+        matched = _stored(mine.join(theirs, same, "left_semi").select(F.col("_g").alias(group), F.col("_a").alias(a), F.col("_b").alias(b), F.col("_own").alias(score)), folder)
+        found.append(matched)
+        left = _stored(without(without(left, matched, a), matched, b), folder)
+    last = left.groupBy(group).applyInPandas(claim, schema)
+    return reduce(DataFrame.unionByName, found, last)
 
 
 def change_classes(overlaps: DataFrame, old: DataFrame, new: DataFrame, old_id: str, new_id: str) -> DataFrame:

@@ -178,6 +178,39 @@ def test_greedy_match_equals_brute_force(spark):
     assert {tuple(r) for r in greedy_match(df, "g", "a", "b", "s").collect()} == want
 
 
+def test_greedy_match_in_rounds_equals_brute_force(spark):
+    """One hot group with ties, a repeated pair, and scores and members that are null."""
+    import random
+
+    from tessera.operators.score import greedy_match
+
+    rng = random.Random(2)
+    pairs = [(1, a, b, rng.choice([None, 0.3, 0.5, 0.9])) for a in [None, *range(25)] for b in range(25) if rng.random() < 0.3]
+    pairs += [(1, 100, 100, 0.7), (1, 100, 100, 0.7), (1, 100, 100, 0.2), (None, 1, 1, 0.4), (None, 1, 2, 0.6)]
+    want, seen_a, seen_b = set(), set(), set()
+    first = lambda p: (p[3] is None, -(p[3] or 0), p[1] is not None, p[1] or 0, p[2])
+    for g, a, b, s in sorted(pairs, key=first):
+        if (g, a) not in seen_a and (g, b) not in seen_b:
+            seen_a.add((g, a))
+            seen_b.add((g, b))
+            want.add((g, a, b, s))
+    df = spark.createDataFrame(pairs, "g int, a int, b int, s double").repartition(3)
+    found = greedy_match(df, "g", "a", "b", "s", few=0)
+    assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, want))
+
+
+def test_greedy_match_puts_few_pairs_into_a_task(spark, monkeypatch):
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    from tessera.operators.score import greedy_match
+
+    held, plain = [], PandasGroupedOpsMixin.applyInPandas
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInPandas", lambda self, *rest: held.append(self._df.count()) or plain(self, *rest))
+    df = spark.range(300).selectExpr("1 AS g", "id AS a", "explode(array(id, id + 1)) AS b", "rand(3) AS s")
+    found = greedy_match(df, "g", "a", "b", "s", few=40)
+    assert held[0] <= 40 and found.count() == found.select("a").distinct().count() == found.select("b").distinct().count() > 150
+
+
 def test_change_classes(spark):
     from tessera.operators.score import change_classes
 
