@@ -21,8 +21,8 @@ from tessera.llm.bytecnn import ByteCNN, as_rows, sample_windows, softmax
 CELL = 256
 WIDTHS, FILTERS = (2, 3, 5), 8
 REACH = max(WIDTHS) - 1
-#: The bound of the training sample: documents of each language (expected), languages, and windows of each document.
-SAMPLE, LANGUAGES, WINDOWS = 600, 256, 4
+#: The bound of the training sample: documents of each language (expected) and windows of each document.
+SAMPLE, WINDOWS = 600, 4
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -42,17 +42,17 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> tuple[ByteCNN, list[str]] | None:
     """A model from documents with a language that are not held out; None without any.
 
-    Of each of the LANGUAGES most frequent languages about `sample` documents
-    are chosen by a hash of their ids; the driver receives their windows only.
+    Every language is a class; of each about `sample` documents are chosen by a
+    hash of their ids; the driver receives their windows only.
     """
     known = docs.where(~held_out(doc_id)).where(F.col(lang).isNotNull())
-    counts = known.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy(F.col(lang).alias("lang")).count().collect()
     names = sorted(r["lang"] for r in counts)
     if not names:
         return None
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["count"])))])
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, sample / r["count"])) for r in counts], f"_lang {docs.schema[lang].dataType.simpleString()}, _share double")
     place = F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = known.where(place < F.try_element_at(share, F.col(lang)))
+    chosen = known.join(F.broadcast(share), F.col(lang) == F.col("_lang")).where(place < F.col("_share"))
     rows = chosen.select(F.col(lang).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where("text <> ''")
     found = rows.mapInArrow(_windows, "lang string, window binary").limit(8 * sample * len(names)).toPandas().sort_values(["lang", "window"])
     if not len(found):

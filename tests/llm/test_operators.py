@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jaccard_join, suffix_dedup, token_store
+from tessera.llm import bpe, jaccard_join, langid, suffix_dedup, token_store
 from tessera.llm.components import connected_components
 from tessera.llm.decontaminate import contamination, drop_contaminated
 from tessera.llm.exact_dedup import drop_copies, exact_groups, plan_directory
@@ -357,6 +357,15 @@ def test_languages(spark, docs, none, data):
     assert languages(none).count() == 0
 
 
+def test_every_language_is_a_class(spark):
+    """The rarest of 258 languages too."""
+    rows = [(2 * k + i, f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 9, f"l{k:03d}") for k in range(258) for i in range(2 if k else 1)]
+    df = spark.createDataFrame([(4 * n, *rest) for n, *rest in rows], "doc_id long, text string, lang string")
+    learned = {r["lang"] for r in df.where(~langid.held_out()).select("lang").distinct().collect()}
+    _, names = langid.fit(df.union(df.selectExpr("doc_id + 1", "text", "lang")).union(df.selectExpr("doc_id + 2", "text", "lang")))
+    assert learned <= set(names) and len(names) == 258
+
+
 # secrets
 
 def test_secret_scan(spark, docs, none):
