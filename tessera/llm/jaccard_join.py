@@ -17,8 +17,10 @@ prefix items as the smaller l of its two documents before it is verified.
    joins large groups of near copies at a cost in proportion to their size.  An
    item's pivot is the document in which fewest items come before it, so the one
    with least of its own, and in later rounds any.  The
-   last round takes every remaining pair across the components found so far, by
-   the prefixes that the two sizes call for.
+   last round takes every remaining pair across the components found so far.
+   Pairs meet there on the shortest prefixes that their two sizes call for, so
+   that documents that have drifted apart mostly don't; then all shared items of
+   the whole prefixes are counted against both levels.
    Components are all that is asked for, so pairs within one are not needed.
 """
 
@@ -240,25 +242,38 @@ def _possible(percent: int) -> Column:
 def _in_both_prefixes(percent: int) -> Column:
     """Whether a shared item counts for a pair of these sizes.
 
-    Two sets must share o = ceil(t / (1 + t) * (|a| + |b|)) items, so at least l
-    of the first |a| - o + l and |b| - o + l.  For sets of about one size that
-    is half the prefix that any partner may need: items that only one of many
-    near copies has fill it, and what has drifted too far meets nothing.
+    Two sets must share o = ceil(t / (1 + t) * (|a| + |b|)) items, so at least
+    one of the first |a| - o + 1 and |b| - o + 1.  For sets of about one size
+    that is half the prefix that any partner may need: items that only one of
+    many near copies has fill it, and what has drifted too far meets nothing.
     """
     needed = F.ceil(percent * (F.col("an") + F.col("bn")) / (100 + percent))
-    room = [F.col(n) - needed + F.least("al", "bl") for n in ("an", "bn")]
+    room = [F.col(n) - needed + 1 for n in ("an", "bn")]
     close = 100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")
     return close & (F.col("ap") < room[0]) & (F.col("bp") < room[1])
 
 
+def _room(own: Column, partner: Column, percent: int) -> Column:
+    """No item of a set of `own` items counts from this place on for partners of `partner` items or more."""
+    return (100 * own - percent * partner) / (100.0 + percent) + 1.001
+
+
 def _components_may_meet(percent: int) -> Column:
     """The same for two components on an item, from the ranges of their sizes and their least places."""
     c = F.col
-    room = F.least("a_l", "b_l") + 1
-    a = (100 * c("a_high") - percent * c("b_low")) / (100.0 + percent) + room
-    b = (100 * c("b_high") - percent * c("a_low")) / (100.0 + percent) + room
     close = (100 * c("a_high") >= percent * c("b_low")) & (100 * c("b_high") >= percent * c("a_low"))
-    return (c("a_label") < c("b_label")) & close & (c("a_p") < a) & (c("b_p") < b)
+    return (c("a_label") < c("b_label")) & close & (c("a_p") < _room(c("a_high"), c("b_low"), percent)) & (c("b_p") < _room(c("b_high"), c("a_low"), percent))
+
+
+def _crossing_pairs(items: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that meet on an item within the prefixes that their sizes call for."""
+    ends = stored(items.groupBy("item", "label").agg(F.min("place").alias("p"), F.min("n").alias("low"), F.max("n").alias("high")), "item-components")
+    one, two = (ends.select("item", *(F.col(c).alias(f"{side}_{c}") for c in ("label", "p", "low", "high"))) for side in "ab")
+    meeting = one.join(two, "item").where(_components_may_meet(percent)).select("item", "a_label", "b_label", "b_low")
+    left = items.select("item", F.col("node").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("label").alias("a_label"))
+    right = items.select("item", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("place").alias("bp"), F.col("label").alias("b_label"))
+    own = meeting.join(left, ["item", "a_label"]).where((100 * F.col("an") >= percent * F.col("b_low")) & (F.col("ap") < _room(F.col("an"), F.col("b_low"), percent)))
+    return own.drop("b_low").join(right, ["item", "b_label"]).where(_in_both_prefixes(percent)).select("a", "b").distinct()
 
 
 def _sets(width: int, wanted):
@@ -372,14 +387,7 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5, doc_i
 
     spread = labelled.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("item")
     open_items = stored(labelled.join(stored(spread, "open"), "item"), "open-items")
-    ends = open_items.groupBy("item", "label").agg(F.min("place").alias("p"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("level").alias("l"))
-    one, two = (ends.select("item", *(F.col(c).alias(f"{side}_{c}") for c in ("label", "p", "low", "high", "l"))) for side in "ab")
-    crossing = one.join(two, "item").where(_components_may_meet(percent)).select("item", "a_label", "b_label")
-    left = open_items.select("item", F.col("node").alias("a"), F.col("n").alias("an"), F.col("level").alias("al"), F.col("place").alias("ap"), F.col("label").alias("a_label"))
-    right = open_items.select("item", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("level").alias("bl"), F.col("place").alias("bp"), F.col("label").alias("b_label"))
-    pairs = crossing.join(left, ["item", "a_label"]).join(right, ["item", "b_label"]).where(_in_both_prefixes(percent))
-    pairs = pairs.groupBy("a", "b", "al", "bl").agg(F.count("*").alias("met")).where(F.col("met") >= F.least("al", "bl")).select("a", "b")
-    pairs = stored(pairs, "pairs")
+    pairs = stored(_crossing_pairs(open_items, percent), "pairs")
     pairs = stored(_by_prefixes(pairs, open_items, percent), "pairs")
     rest = stored(_verified(pairs, _sets_of(rows, pairs, width), percent), "links")
     everything = edges.unionByName(rest)
