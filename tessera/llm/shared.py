@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 #: Upper bound of a filter's size: 2**27 bits are 16 MB, whatever the data's size.
 MOST_BITS = 27
 _own: dict[str, str] = {}
+#: Where stored tables are, as long as somebody holds them.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,7 +36,23 @@ def stored(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, any executor may be lost."""
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path, compression=codec)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system holds it."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete stored tables that nothing reads any more: what follows from them has been written."""
+    for table in tables:
+        if table is not None and (path := _paths.pop(table, None)):
+            remove(table.sparkSession, path)
 
 
 def filter_bits(expected: int, per_value: int = 64) -> int:

@@ -10,6 +10,8 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -302,20 +304,64 @@ def test_token_store(spark, docs, none, tmp_path):
     assert by_id(token_store.checksums(spark, path), "start", "n_tokens", "ids_crc32") == want
     rebuilt = by_id(token_store.read_ids(spark, path), "ids")
     assert all(zlib.crc32(np.frombuffer(bytes(rebuilt[i][0]), "<u2").astype("<u4").tobytes()) == want[i][2] for i in want)
-    stored = spark.read.parquet(f"{path}/chunks").where("kind <> 'pending'")
-    assert stored.count() == stored.select("digest").distinct().count()
+    stored = spark.read.parquet(f"{path}/chunks")  # every file there is
+    assert stored.count() == stored.select("digest").distinct().count() > 0
+    assert {r["kind"] for r in stored.select("kind").distinct().collect()} == {"once", "shared"}
     token_store.write_store(none, f"{path}-none", spec)
     assert token_store.checksums(spark, f"{path}-none").count() == 0
 
 
-def test_damaged_chunk_is_found(spark, docs, tmp_path):
+def test_token_store_of_repeated_rows_and_null_ids(spark, tmp_path):
+    path, text = f"file://{tmp_path}/store", "some words that stand here twice " * 40
+    rows = spark.createDataFrame([(5, text), (5, text), (None, "first of all"), (7, None)], "doc_id long, text string")
+    token_store.write_store(rows, path, f"{TOKENIZERS}/word_bpe_49k.json", end_id=1)
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in token_store.checksums(spark, path).collect())
+    n = got[1][2]
+    assert got == [(0, None, 4), (4, 5, n), (4 + n, 5, n), (4 + 2 * n, 7, 1)]
+
+
+def _damaged(spark, docs, tmp_path, change):
     path = f"file://{tmp_path}/store"
     token_store.write_store(docs, path, f"{TOKENIZERS}/word_bpe_49k.json")
-    chunks = spark.read.parquet(f"{path}/chunks").where("kind <> 'pending'").select("digest", "data").localCheckpoint()
-    bad = chunks.withColumn("data", F.when(F.col("digest") == F.lit(chunks.first()["digest"]), F.lit(b"\x01\x00")).otherwise(F.col("data")))
-    bad.withColumn("kind", F.lit("once")).write.mode("overwrite").partitionBy("kind").parquet(f"{path}/chunks")
-    with pytest.raises(Exception, match="doesn't match its digest"):
-        token_store.checksums(spark, path).collect()
+    change(tmp_path / "store")
+    for read in (token_store.checksums, token_store.read_ids):
+        with pytest.raises(Exception, match="match"):
+            read(spark, path).collect()
+
+
+def test_damaged_chunk_is_found(spark, docs, tmp_path):
+    def change(store):
+        part = next((store / "chunks" / "kind=once").glob("part-*.parquet"))
+        table = pq.read_table(part)
+        pq.write_table(table.set_column(1, "data", pa.array([b"\x01\x00", *table["data"].to_pylist()[1:]])), part)
+        (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+
+    _damaged(spark, docs, tmp_path, change)
+
+
+def test_lost_recipe_file_is_found(spark, docs, tmp_path):
+    _damaged(spark, docs, tmp_path, lambda store: max((store / "recipes").glob("part-*.parquet"), key=lambda f: f.stat().st_size).unlink())
+
+
+@pytest.mark.parametrize("column", ["start", "doc_id", "root"])
+def test_changed_recipe_is_found(spark, docs, tmp_path, column):
+    def change(store):
+        part = max((store / "recipes").glob("part-*.parquet"), key=lambda f: f.stat().st_size)
+        table = pq.read_table(part)
+        at = table.schema.get_field_index(column)
+        old = table[column].to_pylist()
+        pq.write_table(table.set_column(at, table.schema.field(at), pa.array([*old[:-2], old[-1], old[-2]], table.schema.field(at).type)), part)
+        (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+
+    _damaged(spark, docs, tmp_path, change)
+
+
+def test_ids_must_fit_their_bytes(docs, tmp_path):
+    spec = f"{TOKENIZERS}/word_bpe_49k.json"
+    with pytest.raises(ValueError, match="70000 doesn't fit 2 bytes"):
+        token_store.write_store(docs, f"file://{tmp_path}/store", spec, end_id=70000)
+    token_store.write_store(docs, f"file://{tmp_path}/wide", spec, end_id=70000, id_bytes=4)
+    assert all(r["n_tokens"] for r in token_store.checksums(docs.sparkSession, f"file://{tmp_path}/wide").collect())
 
 
 def test_crc_append():
