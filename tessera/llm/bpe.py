@@ -31,6 +31,10 @@ BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 OTHER_BLANK = regex.compile(r"[\s--[\t-\r ]]", regex.V1)
 
+#: Bytes that no other white space than ASCII's ends with.
+PLAIN = np.ones(256, bool)
+PLAIN[0x1C:0x20] = PLAIN[0x80:] = False
+
 #: A task merges when it holds so many distinct bytes or so many chunks, and then forgets both.
 HELD_BYTES = 1 << 20
 HELD_CHUNKS = 2 << 20
@@ -61,6 +65,9 @@ class Vocabulary:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for token, k in self.added.items():
             self.bytes[k] = token.encode()
+        # Where the encoder looks for added tokens, and what it does with them, is only this.
+        if any("<" not in t["content"] or any(map(str.isspace, t["content"])) or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec["added_tokens"]):
+            raise ValueError("added tokens must hold '<' and take no neighbours")
         self.split_added = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.of_byte = np.zeros(256, np.int32)
         for char, b in alphabet.items():
@@ -158,15 +165,16 @@ class _Encoder:
         self.counts: list[np.ndarray] = []
 
     def add(self, block: tb.Block) -> None:
-        """Cut the block where white space begins; a document with other white space than ASCII's is one chunk."""
+        """Cut the block where white space begins; next to other white space than ASCII's it isn't cut."""
         data, offsets = block.data, block.offsets
         blank = BLANK[data]
         cut = np.zeros(len(data) + 1, bool)
         cut[1:-1] = blank[1:] & ~blank[:-1]
         whole = np.flatnonzero(np.diff(offsets) > 0)
-        for k in whole[np.add.reduceat((data >= 0x80).astype(np.int64), offsets[:-1][whole]) > 0].tolist() if len(whole) else []:
+        for k in whole[np.logical_or.reduceat(~PLAIN[data], offsets[:-1][whole])].tolist() if len(whole) else []:
             if OTHER_BLANK.search(block.doc(k).decode()):
-                cut[offsets[k] : offsets[k + 1]] = False
+                a, b = offsets[k] + 1, offsets[k + 1]
+                cut[a:b] &= PLAIN[data[a - 1 : b - 1]]
         cut[offsets] = True
         places = np.flatnonzero(cut)
         if not len(data):
@@ -199,7 +207,7 @@ class _Encoder:
                 if k % 2:
                     parts.append(-1 - v.added[section])
                 else:
-                    parts += [pieces.setdefault(p.encode(), len(pieces)) for p in PATTERN.findall(section)]
+                    parts += [pieces.setdefault(m.group().encode(), len(pieces)) for m in PATTERN.finditer(section)]
             n_parts.append(len(parts) - before)
         ids, sizes = merge_all(list(pieces), v)
         added = sorted(v.added.values())
@@ -221,27 +229,44 @@ def _encode(spec):
         state = _Encoder(Vocabulary(spec.value))
         rows: list[pa.RecordBatch] = []
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def lists() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """Ids of each block held, and their number in each of its documents."""
             ids, sizes = state.encode()
             starts = np.cumsum(sizes) - sizes
-            for batch, codes, counts in zip(rows, state.codes, state.counts, strict=True):
+            for codes, counts in zip(state.codes, state.counts, strict=True):
                 lengths = sizes[codes]
                 owner, within = tb.ragged(lengths)
-                flat = ids[starts[codes][owner] + within]
                 total = np.concatenate([[0], np.cumsum(lengths)])
-                ends = np.concatenate([[0], np.cumsum(counts)])
-                lists = tb.list_array(pa.array(flat), np.diff(total[ends]))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "ids"])
-            rows.clear()
+                yield ids[starts[codes][owner] + within], np.diff(total[np.concatenate([[0], np.cumsum(counts)])])
             state.clear()
 
+        def out(batch: pa.RecordBatch, flat: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*batch.columns, tb.list_array(pa.array(flat), counts)], names=[*batch.schema.names, "ids"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for batch, own in zip(rows, lists(), strict=True):
+                yield out(batch, *own)
+            rows.clear()
+
         for block in tb.blocks(batches):
+            batch = block.batch.drop_columns(["text"])
+            if len(block.data) > 2 * tb.PIECE:  # one long document: piece by piece
+                yield from flush()
+                data = block.data
+                may_cut = np.zeros(len(data), bool)
+                may_cut[1:] = BLANK[data[1:]] & ~BLANK[data[:-1]] & PLAIN[data[:-1]]
+                flat = []
+                for piece in tb.cut_long(block, may_cut):
+                    state.add(piece)
+                    flat += [ids for ids, _ in lists()]
+                flat = np.concatenate(flat)
+                yield out(batch, flat, np.array([len(flat)]))
+                continue
             state.add(block)
-            rows.append(block.batch.drop_columns(["text"]))
+            rows.append(batch)
             if state.held > HELD_BYTES or sum(map(len, state.codes)) > HELD_CHUNKS:
                 yield from flush()
-        if rows:
-            yield from flush()
+        yield from flush()
 
     return encode
 

@@ -15,6 +15,8 @@ import numpy as np
 
 #: Positions whose responses are in memory at once.
 STEP = 1 << 15
+#: Bytes of a long text that are laid out at once.
+LONG = 1 << 20
 
 
 @dataclass
@@ -40,6 +42,15 @@ class ByteCNN:
     def pool(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pooled responses of every cell, and the number of cells of each text (an empty one has one)."""
         reach = self.reach
+        if len(offsets) == 2 and len(data) > LONG:
+            size = LONG // self.cell * self.cell
+            parts = []
+            for at in range(0, len(data), size):
+                n = min(size, len(data) - at)
+                starts = np.arange(0, n, self.cell)
+                laid = np.concatenate([data[at : at + n + reach], np.zeros(reach + 1, np.uint8)])
+                parts.append(self._steps(laid, starts, np.minimum(starts + self.cell, n)))
+            return np.concatenate(parts), np.array([sum(map(len, parts))])
         sizes = np.diff(offsets)
         n_cells = np.maximum(1, -(-sizes // self.cell))
         # Texts are laid out with zero bytes between, so that filters at their ends see no neighbour.
@@ -51,14 +62,15 @@ class ByteCNN:
         number = np.arange(len(owner)) - np.repeat(np.cumsum(n_cells) - n_cells, n_cells)
         starts = places[owner] + number * self.cell
         ends = np.maximum(np.minimum(starts + self.cell, places[owner] + sizes[owner]), starts + 1)
-        out = np.empty((len(owner), self.dense.shape[0]), np.float32)
-        at = 0
+        return self._steps(laid, starts, ends), n_cells
+
+    def _steps(self, laid: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out = np.empty((len(starts), self.dense.shape[0]), np.float32)
         per_step = max(1, STEP // self.cell)
-        while at < len(owner):
-            to = min(at + per_step, len(owner))
+        for at in range(0, len(starts), per_step):
+            to = at + per_step
             self._pool(laid, starts[at:to], ends[at:to], out[at:to])
-            at = to
-        return out, n_cells
+        return out
 
     def _pool(self, laid: np.ndarray, starts: np.ndarray, ends: np.ndarray, out: np.ndarray) -> None:
         base = int(starts[0])

@@ -54,7 +54,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     place = F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)) / F.lit(float(1 << 20))
     chosen = known.join(F.broadcast(share), F.col(lang) == F.col("_lang")).where(place < F.col("_share"))
     rows = chosen.select(F.col(lang).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where("text <> ''")
-    found = rows.mapInArrow(_windows, "lang string, window binary").limit(8 * sample * len(names)).toPandas().sort_values(["lang", "window"])
+    # At most about `sample` documents of each language and WINDOWS windows of each.
+    found = rows.mapInArrow(_windows, "lang string, window binary").toPandas().sort_values(["lang", "window"])
     if not len(found):
         return None
     model = ByteCNN.new(CELL, WIDTHS, FILTERS, len(names))
@@ -71,10 +72,9 @@ def _predict(model):
             starts = np.cumsum(cells) - cells
             chance = np.add.reduceat(softmax(network.logits(pooled)), starts, axis=0) / cells[:, None]
             best = chance.argmax(1)
-            letters = np.concatenate([[0], np.cumsum(_LETTER[block.data])])[block.offsets]
             lang, score = [], []
-            for k, n in enumerate(np.diff(letters).tolist()):
-                known = n > 0 or any(c.isalpha() for c in block.doc(k).decode())
+            for k in range(len(block)):
+                known = _LETTER[block.data[block.offsets[k] : block.offsets[k + 1]]].any() or any(c.isalpha() for c in block.doc(k).decode())
                 lang.append(names[best[k]] if known else "und")
                 score.append(min(1.0, float(chance[k, best[k]])) if known else 0.0)
             yield pa.RecordBatch.from_arrays([block.batch.column(0), block.batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])

@@ -42,6 +42,8 @@ PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 #: No position is further than this from the next one of the cover.
 GAP = 19
 MOST = 4096
+#: Bits of a place within the bytes that are looked at at once; the same everywhere, so that equal bytes get equal anchors.
+PLACE_BITS = 22
 #: Suffixes sorted at once.
 BATCH = 200_000
 
@@ -58,7 +60,7 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.
         none = np.zeros(0, np.int64)
         return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
     hashes = tb.mix64((total[gram:] - total[:-gram]) * down[: n - gram + 1])
-    bits = np.uint64(max(20, n.bit_length()))
+    bits = np.uint64(PLACE_BITS)
     keys = (hashes >> bits) << bits | np.arange(len(hashes), dtype=np.uint64)
     span, have = length - gram + 1, 1  # least of `span` neighbours, by doubling
     while have * 2 <= span:
@@ -81,23 +83,50 @@ REPEATED, FIRST, LONE = 0, 1, 2
 _RUN = "anchor long, extent long, doc_id long, text_key long, place int, low int, high int, kind byte"
 
 
+def _pieces(block: tb.Block, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Bytes and offsets of a block, or a long document in pieces that share no suffix; and the bytes before."""
+    n = len(block.data)
+    if n <= 2 * tb.PIECE or len(block) > 1:
+        yield block.data, block.offsets, 0
+        return
+    for at in range(0, n - length + 1, tb.PIECE):
+        own = block.data[at : at + tb.PIECE + length - 1]
+        yield own, np.array([0, len(own)]), at
+
+
+def _equal_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether runs a[k] and b[k], alike by their hashes, have the same bytes."""
+    raw = memoryview(np.ascontiguousarray(data))
+    starts, ends = starts.tolist(), ends.tolist()
+    return np.fromiter((raw[starts[x] : ends[x]] == raw[starts[y] : ends[y]] for x, y in zip(a.tolist(), b.tolist(), strict=True)), bool, len(a))
+
+
 def _runs(length: int):
-    """The runs of all documents; of equal ones within a block only the first need go on."""
+    """The runs of all documents; of equal ones within a piece only the first need go on, and neighbours of the others are one row."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tb.blocks(batches):
-            doc, place, low, high, anchor, extent = anchor_runs(block.data, block.offsets, length)
-            order = np.lexsort((extent, anchor))
-            same = (anchor[order][1:] == anchor[order][:-1]) & (extent[order][1:] == extent[order][:-1])
-            before, after = np.concatenate([[False], same]), np.concatenate([same, [False]])
-            kind = np.empty(len(order), np.int8)
-            if len(order):
-                kind[order] = np.where(before, REPEATED, np.where(after, FIRST, LONE))
-            owner = pa.array(doc)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(extent.view(np.int64)), block.batch.column(0).take(owner), block.batch.column(1).take(owner), *(pa.array(x.astype(np.int32)) for x in (place, low, high)), pa.array(kind)],
-                names=["anchor", "extent", "doc_id", "text_key", "place", "low", "high", "kind"],
-            )
+            for data, offsets, at in _pieces(block, length):
+                doc, place, low, high, anchor, extent = anchor_runs(data, offsets, length)
+                order = np.lexsort((extent, anchor))
+                same = (anchor[order][1:] == anchor[order][:-1]) & (extent[order][1:] == extent[order][:-1])
+                alike = np.flatnonzero(same)
+                first = offsets[doc]
+                # Hashes propose, bytes decide.
+                same[alike] = _equal_runs(data, first + low, first + high + length, order[alike], order[alike + 1])
+                before, after = np.concatenate([[False], same]), np.concatenate([same, [False]])
+                kind = np.empty(len(order), np.int8)
+                if len(order):
+                    kind[order] = np.where(before, REPEATED, np.where(after, FIRST, LONE))
+                joined = np.zeros(len(order), bool)
+                joined[1:] = (kind[1:] == REPEATED) & (kind[:-1] == REPEATED) & (doc[1:] == doc[:-1]) & (low[1:] == high[:-1] + 1)
+                heads = np.flatnonzero(~joined)
+                high = high[np.concatenate([heads[1:], [len(joined)]]) - 1] if len(heads) else high
+                owner = pa.array(doc[heads])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor[heads].view(np.int64)), pa.array(extent[heads].view(np.int64)), block.batch.column(0).take(owner), block.batch.column(1).take(owner), *(pa.array((x + at).astype(np.int32)) for x in (place[heads], low[heads], high)), pa.array(kind[heads])],
+                    names=["anchor", "extent", "doc_id", "text_key", "place", "low", "high", "kind"],
+                )
 
     return runs
 

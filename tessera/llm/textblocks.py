@@ -3,7 +3,8 @@
 A *block* is a run of whole documents as one byte array plus offsets.  Blocks
 are cut from the Arrow batches Spark hands to a task so that numpy temporaries
 stay a few tens of megabytes whatever the batch size; a document longer than a
-block forms a block of its own.
+block forms a block of its own, and what would grow with it by more than a few
+bytes per byte works on pieces of it.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
+#: Of a longer document, so many bytes are worked on at a time.
+PIECE = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -121,12 +124,59 @@ def spans(block: Block, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hashes of data[start:end], mixed; equal bytes hash alike anywhere."""
-    up, down = powers(len(data) + 1)
+def _running_sums(data: np.ndarray) -> np.ndarray:
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * up[:-1], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts])
+    np.cumsum(BYTE_VALUES[data] * powers(len(data))[0], out=total[1:])
+    return total
+
+
+def _long_sum(data: np.ndarray) -> np.uint64:
+    """The polynomial of a span longer than a piece, summed up piece by piece."""
+    out, scale = 0, 1
+    for at in range(0, len(data), PIECE):
+        out += int(_running_sums(data[at : at + PIECE])[-1]) * scale
+        scale = scale * pow(_BASE, PIECE, 1 << 64) % (1 << 64)
+    return np.uint64(out % (1 << 64))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit polynomial hashes of data[start:end], mixed; equal bytes hash alike anywhere.
+
+    Spans are in order and don't overlap; PIECE bytes are worked on at a time,
+    however long a text or a span is.
+    """
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        to = int(np.searchsorted(ends, low + PIECE, "right"))
+        if to <= at:
+            out[at] = _long_sum(data[low : int(ends[at])])
+            at += 1
+            continue
+        total = _running_sums(data[low : int(ends[to - 1])])
+        own = starts[at:to] - low
+        out[at:to] = (total[ends[at:to] - low] - total[own]) * powers(len(total))[1][own]
+        at = to
+    return mix64(out)
+
+
+def cut_long(block: Block, may_cut: np.ndarray, size: int = PIECE) -> Iterator[Block]:
+    """A block as it is, or its only document in pieces of about `size` bytes that begin where `may_cut` is true.
+
+    The rows of all pieces are those of the block; without a place to cut a piece is as long as it takes.
+    """
+    n = len(block.data)
+    at = 0
+    while n > 2 * size and len(block) == 1 and at < n:
+        places = np.flatnonzero(may_cut[at + size : min(at + 2 * size, n)])
+        if not len(places) and at + 2 * size < n:
+            places = np.flatnonzero(may_cut[at + size : n])
+        end = at + size + int(places[0]) if len(places) and n - at > 2 * size else n
+        yield Block(block.batch, block.data[at:end], np.array([0, end - at]))
+        at = end
+    if at == 0:
+        yield block
 
 
 def sequence_hashes(items: np.ndarray, width: int) -> np.ndarray:
