@@ -11,15 +11,13 @@ from pyspark.sql import functions as F
 
 @F.pandas_udf("double")
 def char_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the matched characters over all characters, case ignored; null if either side is.
+    """Twice the matched characters over all characters; case and blanks around don't count, nothing equals nothing.
 
     Order-dependent block matching has no built-in form, so this runs on Arrow
     batches: use it after a blocking join, on candidate pairs only.
     """
-    out = []
-    for x, y in zip(a, b, strict=True):
-        out.append(None if x is None or y is None else SequenceMatcher(None, x.lower(), y.lower(), autojunk=False).ratio())
-    return pd.Series(out, dtype="float64")
+    plain = [side.fillna("").str.strip().str.lower() for side in (a, b)]
+    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(*plain, strict=True)], dtype="float64")
 
 
 def closed_up(text: Column, least: int = 3) -> Column:

@@ -12,9 +12,14 @@ def axial_mean(angle: Column) -> Column:
     return F.degrees(F.atan2(F.sum(F.sin(twice)), F.sum(F.cos(twice)))) / 2
 
 
-def percentiles(value: Column, points: tuple[int, ...] = (10, 25, 50, 75, 90, 99)) -> list[Column]:
-    """Interpolated percentiles, named p10, p25, ..."""
-    return [F.percentile(value, p / 100).alias(f"p{p}") for p in points]
+def percentiles(value: Column, points: tuple[int, ...] = (10, 25, 50, 75, 90, 99)) -> Column:
+    """Interpolated percentiles as one array: all points from one buffer of distinct values and their counts."""
+    return F.percentile(value, F.array(*(F.lit(p / 100) for p in points)))
+
+
+def rmse(difference: Column) -> Column:
+    """Root of the mean square."""
+    return F.sqrt(F.avg(difference * difference))
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def _folding() -> tuple[str, str]:
     """Lower-case Latin letters with marks, and the plain letters under them."""
-    pairs = {"đ": "d", "ø": "o", "ł": "l"}
+    pairs = {"đ": "d", "ð": "d", "ø": "o", "ł": "l"}
     for code in [*range(0xDF, 0x180), *range(0x1A0, 0x1B1), *range(0x1E00, 0x1F00)]:
         char = chr(code)
         base = unicodedata.normalize("NFD", char)[0]
@@ -20,17 +20,28 @@ def _folding() -> tuple[str, str]:
 
 
 FOLD_FROM, FOLD_TO = _folding()
+#: Marks that stand after the letter they belong to.
+MARKS = "[\\x{0300}-\\x{036F}]+"
 #: Letters that fold to two.
 LIGATURES = (("œ", "oe"), ("æ", "ae"), ("ß", "ss"))
-#: Generic words before a place's name, and articles after them.
-GENERICS = ("avenue", "ben", "boulevard", "canal", "cau", "cho", "dai lo", "duong", "marche", "place", "pont", "quai", "rach", "road", "rue", "street")
-ARTICLES = ("d", "de", "des", "du", "l", "la", "le", "les", "of", "the")
+#: Generic words before a place's name, articles among them, and the articles after it.
+GENERICS = tuple(
+    "rue r ruelle boulevard boul bould bd blvd avenue av ave quai quay impasse imp place pl chemin ch route rte passage village vge vlge hameau marche pont canal "
+    "arroyo riviere riv fleuve faubourg duong dg pho hem rach song kenh cho ap xom cau ben khu phuong quan xa thon lang de du des d le la les l au aux".split()
+)
+ARTICLES = ("de", "du", "des", "d", "le", "la", "les", "l")
+#: The prefixes of a label, of which exactly one is cut.
+PREFIXES = (
+    "cong truong", "công trường", "dai lo", "đại lộ", "quoc lo", "quốc lộ", "huong lo", "hương lộ", "duong", "đường", "ben", "bến", "rach", "rạch", "kinh",
+    "song", "sông", "cau", "cầu", "hem", "hẻm", "xom", "xóm", "ap", "ấp", "ngo", "ngõ", "rue", "ruelle", "impasse", "passage", "allee", "allée", "avenue",
+    "boulevard", "bd", "quai", "chemin", "place", "cour", "hameau", "route", "voie", "pont", "sentier",
+)
 CORE_LEAST = 4
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents; null stays null."""
-    out = F.translate(F.lower(text), FOLD_FROM, FOLD_TO)
+    """Lower case without accents, composed or not; null stays null."""
+    out = F.translate(F.regexp_replace(F.lower(text), MARKS, ""), FOLD_FROM, FOLD_TO)
     for old, new in LIGATURES:
         out = F.replace(out, F.lit(old), F.lit(new))
     return out
@@ -38,7 +49,7 @@ def fold(text: Column) -> Column:
 
 def fold_sql(text: str) -> str:
     """The same expression in SQL, for both engines."""
-    out = f"translate(lower({text}), '{FOLD_FROM}', '{FOLD_TO}')"
+    out = f"translate(regexp_replace(lower({text}), '{MARKS}', '', 'g'), '{FOLD_FROM}', '{FOLD_TO}')"
     for old, new in LIGATURES:
         out = f"replace({out}, '{old}', '{new}')"
     return out
@@ -50,18 +61,16 @@ def place_key(text: Column) -> Column:
 
 
 def core_key(text: Column, generics: tuple[str, ...] = GENERICS, articles: tuple[str, ...] = ARTICLES, least: int = CORE_LEAST) -> Column:
-    """The key without a leading run of generic words and one article; the whole key if too little is left."""
+    """The key without its leading run of generic words and one article at its end; the whole key if too little is left."""
     key = place_key(text)
-    words = "|".join(sorted(generics, key=len, reverse=True))
-    core = F.regexp_replace(key, f"^(({words}) )+", "")
-    core = F.when(core != key, F.regexp_replace(core, f"^({'|'.join(articles)}) ", "")).otherwise(core)
+    core = F.regexp_replace(F.regexp_replace(key, f"^(({'|'.join(generics)}) )+", ""), f" ({'|'.join(articles)})$", "")
     return F.when(F.length(core) >= least, core).otherwise(key)
 
 
-def label_core(text: Column, prefixes: tuple[str, ...] = GENERICS) -> Column:
-    """The folded text without exactly one generic prefix, the longest that fits; a generic alone leaves ''."""
-    words = "|".join(sorted(prefixes, key=len, reverse=True))
-    return F.trim(F.regexp_replace(F.trim(fold(text)), f"^({words})( |$)", ""))
+def label_core(text: Column, prefixes: tuple[str, ...] = PREFIXES) -> Column:
+    """The text in lower case without exactly one generic prefix, accents kept; a generic alone leaves ''."""
+    plain = F.trim(F.regexp_replace(F.lower(text), "\\s+", " "))
+    return F.regexp_replace(plain, f"^({'|'.join(prefixes)})( |$)", "")
 
 
 def slug(text: Column, most: int = 80) -> Column:
@@ -78,7 +87,7 @@ def query_tokens(query: str) -> list[str]:
     """A query's folded tokens; '1920s' asks for the prefix 192."""
     from re import fullmatch, split
 
-    lowered = query.lower().translate(str.maketrans(FOLD_FROM, FOLD_TO))
+    lowered = unicodedata.normalize("NFC", query.lower()).translate(str.maketrans(FOLD_FROM, FOLD_TO))
     for old, new in LIGATURES:
         lowered = lowered.replace(old, new)
     found = [t for t in split(r"[^a-z0-9]+", lowered) if t]

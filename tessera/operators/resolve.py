@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import shared
+
 
 def blocked_pairs(df: DataFrame, block: list[str], id_: str, columns: list[str]) -> DataFrame:
     """Pairs a < b of rows with equal blocking keys: columns a_<c> and b_<c>.
@@ -18,34 +18,28 @@ def blocked_pairs(df: DataFrame, block: list[str], id_: str, columns: list[str])
     return a.join(b, block).where(F.col(f"a_{id_}") < F.col(f"b_{id_}"))
 
 
+def stars(df: DataFrame, keys: list[str], step: str, id_: str) -> DataFrame:
+    """Edges (a, b) that join rows of equal keys whose `step` is equal or differs by one: as many as there are rows and steps, not pairs."""
+    heads = df.groupBy(*keys, step).agg(F.min(id_).alias("a"))
+    own = df.select(*keys, step, F.col(id_).alias("b")).join(heads, [*keys, step]).select("a", "b")
+    after = heads.select(*keys, (F.col(step) - 1).alias(step), F.col("a").alias("b"))
+    return own.union(heads.join(after, [*keys, step]).select("a", "b"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): the smallest node of each connected component of the edges.
 
     Each round takes the least label among neighbours and then the label of that
     label.  Rounds are cut from their lineage by tables in the checkpoint folder.
     """
-    spark = edges.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        from tempfile import mkdtemp
-
-        folder = "file://" + mkdtemp(prefix="tessera-")
-
-    def stored(df: DataFrame) -> DataFrame:
-        path = f"{folder}/components-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     pair = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    both = stored(pair.union(pair.select("v", "u")).distinct())
-    labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("label")))
+    both = shared.stored(pair.union(pair.select("v", "u")).distinct())
+    labels = shared.stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("label")))
     while True:
         near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("near"))
-        lower = stored(labels.join(near, F.col("node") == F.col("u")).select("node", F.least("label", "near").alias("label"), F.col("label").alias("was")))
+        lower = shared.stored(labels.join(near, F.col("node") == F.col("u")).select("node", F.least("label", "near").alias("label"), F.col("label").alias("was")))
         up = lower.select(F.col("node").alias("via"), F.col("label").alias("next"))
-        labels = stored(lower.join(up, F.col("label") == F.col("via")).select("node", F.col("next").alias("label"), (F.col("next") != F.col("was")).alias("moved")))
+        labels = shared.stored(lower.join(up, F.col("label") == F.col("via")).select("node", F.col("next").alias("label"), (F.col("next") != F.col("was")).alias("moved")))
         if labels.where("moved").isEmpty():
             return labels.select("node", "label")
         labels = labels.select("node", "label")

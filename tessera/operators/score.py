@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import shared
+
 #: Pairs that one task may hold.
 FEW = 50_000
 
 
-def _stored(df: DataFrame, folder: str) -> DataFrame:
-    path = f"{folder}/greedy-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def greedy_match(pairs: DataFrame, group: str, a: str, b: str, score: str, few: int = FEW) -> DataFrame:
     """One-to-one matches within each group: the highest score claims first (ties by a, then b; without a score last).
 
@@ -53,19 +47,13 @@ def greedy_match(pairs: DataFrame, group: str, a: str, b: str, score: str, few:
         gone = matched.select(F.col(group).alias("_g"), F.col(member).alias("_m"))
         return rows.join(gone, F.col(group).eqNullSafe(F.col("_g")) & F.col(member).eqNullSafe(F.col("_m")), "left_anti")
 
-    spark = pairs.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    left, found = _stored(pairs.select(*columns), folder), []
+    left, found = shared.stored(pairs.select(*columns)), []
     while left.count() > few:
         mine, theirs = best(left, a).alias("m"), best(left, b).alias("t")
         same = [F.col(f"m.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("_g", "_a", "_b")]
-        matched = _stored(mine.join(theirs, same, "left_semi").select(F.col("_g").alias(group), F.col("_a").alias(a), F.col("_b").alias(b), F.col("_own").alias(score)), folder)
+        matched = shared.stored(mine.join(theirs, same, "left_semi").select(F.col("_g").alias(group), F.col("_a").alias(a), F.col("_b").alias(b), F.col("_own").alias(score)))
         found.append(matched)
-        left = _stored(without(without(left, matched, a), matched, b), folder)
+        left = shared.stored(without(without(left, matched, a), matched, b))
     last = left.groupBy(group).applyInPandas(claim, schema)
     return reduce(DataFrame.unionByName, found, last)
 

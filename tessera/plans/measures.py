@@ -13,8 +13,9 @@ from tessera.plans.registry import Tables, query
 @query("SELECT l_returnflag, " + ", ".join(f"round(quantile_cont(l_extendedprice, {p / 100}), 4) AS p{p}" for p in (10, 25, 50, 75, 90, 99)) + ", count(*) AS n FROM lineitem GROUP BY 1")
 def q30_percentile_summary(t: Tables) -> DataFrame:
     """Interpolated percentiles by group."""
-    out = t.lineitem.groupBy("l_returnflag").agg(*stats.percentiles(F.col("l_extendedprice")), F.count("*").alias("n"))
-    return out.withColumns({f"p{p}": F.round(f"p{p}", 4) for p in (10, 25, 50, 75, 90, 99)})
+    points = (10, 25, 50, 75, 90, 99)
+    out = t.lineitem.groupBy("l_returnflag").agg(stats.percentiles(F.col("l_extendedprice"), points).alias("p"), F.count("*").alias("n"))
+    return out.select("l_returnflag", *(F.round(F.col("p")[k], 4).alias(f"p{p}") for k, p in enumerate(points)), "n")
 
 
 @query("SELECT l_returnflag, round(degrees(atan2(sum(sin(radians(2 * a))), sum(cos(radians(2 * a))))) / 2, 3) AS axis FROM (SELECT l_returnflag, (l_quantity * l_quantity * 0.05) % 180 AS a FROM lineitem) GROUP BY 1")
@@ -65,12 +66,12 @@ def q41_threshold_sweep(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH v AS (SELECT conv_id, left(text, 1) AS reading, count(*) AS votes, max(length(text)) AS longest FROM conversations WHERE text <> '' GROUP BY 1, 2)
+WITH v AS (SELECT conv_id, text AS reading, count(*) AS votes, max(length(text)) AS longest FROM conversations WHERE text <> '' GROUP BY 1, 2)
 SELECT conv_id, reading, votes, (SELECT sum(votes) FROM v w WHERE w.conv_id = v.conv_id)::BIGINT AS passes FROM v QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY votes DESC, longest DESC, reading) = 1
 """)
 def q43_ensemble_vote(t: Tables) -> DataFrame:
     """Merge readings of one thing: most votes, ties by the longest, then the first."""
-    votes = t.conversations.where("text <> ''").groupBy("conv_id", F.substring("text", 1, 1).alias("reading")).agg(F.count("*").alias("votes"), F.max(F.length("text")).alias("longest"))
+    votes = t.conversations.where("text <> ''").groupBy("conv_id", F.col("text").alias("reading")).agg(F.count("*").alias("votes"), F.max(F.length("text")).alias("longest"))
     best = votes.groupBy("conv_id").agg(F.min(F.struct(F.negative("votes").alias("v"), F.negative("longest").alias("l"), "reading")).alias("b"), F.sum("votes").alias("passes"))
     return best.select("conv_id", "b.reading", F.negative("b.v").alias("votes"), "passes")
 

@@ -91,10 +91,10 @@ def q62_region_shares(t: Tables) -> DataFrame:
     return score.sampled_shares(boxes, "c_custkey", region, 7, 0.1).withColumn("share", F.round("share", 6))
 
 
-@query("SELECT l_partkey AS edge, min(l_suppkey) AS first, max(l_suppkey) AS second, round(max(l_extendedprice) - min(l_extendedprice), 2) AS l_extendedprice FROM lineitem WHERE l_quantity >= 45 GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 2")
+@query("SELECT l_partkey AS edge, min(l_suppkey) AS first, max(l_suppkey) AS second, round(max(l_extendedprice) - min(l_extendedprice), 2) AS l_extendedprice FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 2")
 def q63_seam_census(t: Tables) -> DataFrame:
     """Edges that exactly two sheets hold, and how far they differ there."""
-    edges = t.lineitem.where("l_quantity >= 45").select(F.col("l_partkey").alias("edge"), "l_suppkey", "l_extendedprice")
+    edges = t.lineitem.select(F.col("l_partkey").alias("edge"), "l_suppkey", "l_extendedprice")
     return score.seams(edges, "edge", "l_suppkey", ["l_extendedprice"]).withColumn("l_extendedprice", F.round("l_extendedprice", 2))
 
 
@@ -112,13 +112,13 @@ def q65_slice_groups(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH b AS (SELECT *, l_partkey * 37 % 2000 AS x, l_partkey * 91 % 2000 AS y FROM lineitem WHERE l_quantity >= 20)
+WITH b AS (SELECT *, l_partkey * 37 % 2000 AS x, l_partkey * 91 % 2000 AS y FROM lineitem)
 SELECT l_orderkey, min(x) AS x0, min(y) AS y0, max(x) + 40 AS x1, max(y) + 30 AS y1, count(*) AS n, string_agg(CAST(l_partkey AS VARCHAR), ' ' ORDER BY y, x, l_partkey) AS parts FROM b GROUP BY 1 HAVING count(*) > 1
 """)
 def q66_group_envelopes(t: Tables) -> DataFrame:
     """Groups of boxes: envelope, and members in reading order."""
     k = F.col("l_partkey")
-    boxes = t.lineitem.where("l_quantity >= 20").select("l_orderkey", k.alias("part"), (k * 37 % 2000).alias("x"), (k * 91 % 2000).alias("y"))
+    boxes = t.lineitem.select("l_orderkey", k.alias("part"), (k * 37 % 2000).alias("x"), (k * 91 % 2000).alias("y"))
     read = F.array_sort(F.collect_list(F.struct("y", "x", "part")))
     groups = boxes.groupBy("l_orderkey").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 40).alias("x1"), (F.max("y") + 30).alias("y1"), F.count("*").alias("n"), read.alias("members")).where("n > 1")
     return groups.select("l_orderkey", "x0", "y0", "x1", "y1", "n", F.array_join(F.transform("members", lambda m: m["part"].cast("string")), " ").alias("parts"))
@@ -138,11 +138,11 @@ def q67_canonical_sync(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH n AS (SELECT p_name, count(*) AS n FROM part WHERE p_size = 7 GROUP BY 1) SELECT n AS instances, count(*) AS names FROM n GROUP BY 1
+WITH n AS (SELECT p_name, count(*) AS n FROM part GROUP BY 1) SELECT n AS instances, count(*) AS names FROM n GROUP BY 1
 """)
 def q68_repeat_histogram(t: Tables) -> DataFrame:
     """How many names occur how often."""
-    return t.part.where("p_size = 7").groupBy("p_name").agg(F.count("*").alias("instances")).groupBy("instances").agg(F.count("*").alias("names"))
+    return t.part.groupBy("p_name").agg(F.count("*").alias("instances")).groupBy("instances").agg(F.count("*").alias("names"))
 
 
 @query("""
@@ -190,8 +190,5 @@ SELECT label, p_partkey, count(*) OVER (PARTITION BY label) AS members FROM x QU
 def q72_dedup_survivors(t: Tables) -> DataFrame:
     """Same name and near size are one thing: components, and the best row of each."""
     rows = t.part.select("p_partkey", "p_name", "p_size", "p_retailprice")
-    same = resolve.blocked_pairs(rows, ["p_name", "p_size"], "p_partkey", []).select("a_p_partkey", "b_p_partkey")
-    shifted = rows.select("p_name", (F.col("p_size") + 1).alias("p_size"), F.col("p_partkey").alias("b_p_partkey"))
-    near = rows.select("p_name", "p_size", F.col("p_partkey").alias("a_p_partkey")).join(shifted, ["p_name", "p_size"]).select("a_p_partkey", "b_p_partkey")
-    labels = resolve.components(same.union(near), "a_p_partkey", "b_p_partkey")
+    labels = resolve.components(resolve.stars(rows, ["p_name"], "p_size", "p_partkey"))
     return resolve.survivors(rows, labels, "p_partkey", [F.desc("p_retailprice")]).select("label", "p_partkey", "members")

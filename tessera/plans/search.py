@@ -84,15 +84,16 @@ def q03_facet_choices(t: Tables) -> DataFrame:
 
 
 _QUARTER = "year(o_orderdate) * 4 + quarter(o_orderdate) - 1"
+_FINE = "CAST(floor(o_totalprice) AS BIGINT)"
 
 
 @query(f"""
-WITH b AS (SELECT CAST({_QUARTER} AS BIGINT) AS bin, count(*) AS n FROM orders WHERE o_totalprice > 495000 GROUP BY 1)
+WITH b AS (SELECT CAST(floor({_FINE} / 25) AS BIGINT) AS bin, count(*) AS n FROM orders GROUP BY 1)
 SELECT g.bin, coalesce(n, 0) AS n FROM (SELECT unnest(range((SELECT min(bin) FROM b), (SELECT max(bin) FROM b) + 1)) AS bin) g LEFT JOIN b USING (bin)
 """)
 def q04_bins_dense(t: Tables) -> DataFrame:
-    """Time bins from first to last with gaps kept as 0."""
-    return facets.dense_bins(t.orders.where("o_totalprice > 495000"), F.expr(_QUARTER), 1)
+    """Price bins from first to last with gaps kept as 0."""
+    return facets.dense_bins(t.orders, F.floor(F.expr(_FINE) / 25), 1)
 
 
 @query("SELECT CAST(year(o_orderdate) // 10 * 10 AS BIGINT) AS bin, count(*) AS n FROM orders GROUP BY 1")
@@ -154,8 +155,16 @@ def q10_trigram_search(t: Tables) -> DataFrame:
     return t.part.select("p_name").distinct().withColumn("share", share).where("share >= 0.4").select("p_name", F.round("share", 6).alias("share"))
 
 
-_KEY = "nullif(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), '')"
-_CORE = f"CASE WHEN length(regexp_replace({_KEY}, '^((red|blue|green|small|large|old|new|hot|cold) )+', '')) >= 4 THEN regexp_replace({_KEY}, '^((red|blue|green|small|large|old|new|hot|cold) )+', '') ELSE {_KEY} END"
+#: Names as they are printed: with a generic word, an article, a short form.
+_FRONTS = ("", "Rue ", "Quai de la ", "R. ", "Vge de ", "Đại Lộ ")
+_PRINTED = "[" + ", ".join(f"'{x}'" for x in _FRONTS) + "][CAST(p_partkey % 6 AS INTEGER) + 1] || p_name"
+_KEY = f"nullif(trim(regexp_replace({text.fold_sql(_PRINTED)}, '[^a-z0-9]+', ' ', 'g')), '')"
+_CUT = f"regexp_replace(regexp_replace({_KEY}, '^(({'|'.join(text.GENERICS)}) )+', ''), ' ({'|'.join(text.ARTICLES)})$', '')"
+_CORE = f"CASE WHEN length({_CUT}) >= 4 THEN {_CUT} ELSE {_KEY} END"
+
+
+def printed(key: str = "p_partkey", name: str = "p_name") -> Column:
+    return F.concat(F.get(F.array(*map(F.lit, _FRONTS)), (F.col(key) % len(_FRONTS)).cast("int")), F.col(name))
 
 
 @query(f"""
@@ -166,7 +175,7 @@ FROM keyed k JOIN head USING (key) WHERE length(key) >= 2 GROUP BY key, head.p_n
 """)
 def q11_place_key_groups(t: Tables) -> DataFrame:
     """A gazetteer: one row for each core key with its most frequent spelling, spellings, span and groups."""
-    key = text.core_key(F.col("p_name"), ("red", "blue", "green", "small", "large", "old", "new", "hot", "cold"), ())
+    key = text.core_key(printed())
     return rollup.gazetteer(t.part, F.regexp_replace(key, "^$", ""), "p_name", "p_size", "p_brand")
 
 
@@ -176,7 +185,7 @@ SELECT key, p_partkey, p_name, count(*) OVER (PARTITION BY key) - 1 AS others FR
 """)
 def q12_core_key_collapse(t: Tables) -> DataFrame:
     """The best row of each core key, with the number of the others."""
-    key = text.core_key(F.col("p_name"), ("red", "blue", "green", "small", "large", "old", "new", "hot", "cold"), ())
+    key = text.core_key(printed())
     return rank.first_of_group(t.part.withColumn("key", key), ["key"], [F.desc("p_retailprice"), F.col("p_partkey")]).select("key", "p_partkey", "p_name", "others")
 
 
@@ -185,14 +194,16 @@ WITH w AS (SELECT doc_id, lang, unnest(regexp_split_to_array(coalesce(text, ''),
 k AS (SELECT *, {text.fold_sql("word")} AS key FROM w WHERE word <> ''),
 c AS (SELECT key, word, count(*) AS n FROM k GROUP BY 1, 2),
 head AS (SELECT key, word FROM c QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, length(word) DESC, word) = 1)
-SELECT key, head.word, count(*) AS n, count(DISTINCT doc_id) AS n_docs, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM k JOIN head USING (key) GROUP BY key, head.word HAVING count(*) >= 5
+SELECT key, head.word, count(*) AS n, count(DISTINCT doc_id) AS n_docs, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM k JOIN head USING (key) GROUP BY key, head.word
 """)
 def q13_dictionary_build(t: Tables) -> DataFrame:
-    """Words of all texts by folded key: headword, count, documents, languages; keys seen five times or more."""
-    words = t.documents.select("doc_id", "lang", F.explode(F.split("text", "[^\\p{L}]+")).alias("word")).where("word <> ''").withColumn("key", text.fold(F.col("word")))
-    # Per document and word first: everything after works on those counts.
-    counted = words.groupBy("key", "word", "doc_id", "lang").agg(F.count("*").alias("n"))
+    """Words of all texts by folded key: headword, count, documents, languages."""
+    words = t.documents.select("doc_id", "lang", F.explode(F.split("text", "[^\\p{L}]+")).alias("word")).where("word <> ''")
+    # Counted per word, document and language first; only then is a word folded.
+    counted = words.groupBy("word", "doc_id", "lang").agg(F.count("*").alias("n")).withColumn("key", text.fold(F.col("word")))
     spellings = counted.groupBy("key", "word").agg(F.sum("n").alias("n"))
     heads = spellings.groupBy("key").agg(F.min(F.struct(F.negative("n").alias("n"), F.negative(F.length("word")).alias("l"), "word")).alias("h")).select("key", "h.word")
-    totals = counted.groupBy("key").agg(F.sum("n").alias("n"), F.count_distinct("doc_id").alias("n_docs"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs")).where("n >= 5")
+    # The spellings of a document are few, so it is counted once per key without a set of documents.
+    per_doc = counted.groupBy("key", "doc_id").agg(F.sum("n").alias("n"), F.collect_set("lang").alias("langs"))
+    totals = per_doc.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("langs")))), ",").alias("langs"))
     return totals.join(heads, "key").select("key", "word", "n", "n_docs", "langs")

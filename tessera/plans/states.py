@@ -122,7 +122,7 @@ def q27b_idle_cut(t: Tables) -> DataFrame:
     """Time per item with idle gaps dropped and counted, median and quartiles."""
     rows = state.idle_sessions(t.events.select("user_id", "event_id", "ts"), ["user_id"], "ts", 14400, ["event_id"])
     kept = F.when(F.col("gap_s") <= 14400, F.col("gap_s"))
-    return rows.agg(F.count(kept).alias("kept"), F.count_if(F.col("gap_s") > 14400).alias("dropped"), *(F.round(F.percentile(kept, p), 3).alias(name) for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))))
+    return rows.agg(F.count(kept).alias("kept"), F.count_if(F.col("gap_s") > 14400).alias("dropped"), stats.percentiles(kept, (25, 50, 75)).alias("p")).select("kept", "dropped", *(F.round(F.col("p")[k], 3).alias(name) for k, name in enumerate(("q1", "median", "q3"))))
 
 
 _JOBS = "SELECT event_id AS id, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'error' THEN 'error' ELSE 'done' END AS status, CAST(floor(value / 50) AS BIGINT) AS priority, ts AS created_at, event_id % 4 AS attempts FROM events"
@@ -169,7 +169,7 @@ SELECT p_partkey, CASE WHEN row_number() OVER d = 1 THEN dated ELSE dated || '-'
 """)
 def q54_slug_minting(t: Tables) -> DataFrame:
     """Unique slugs: the name, then the name and its size, then a number."""
-    from tessera.functions import text
+    from tessera.functions import stats, text
 
     base = t.part.select("p_partkey", text.slug(F.col("p_name")).alias("base"), "p_size")
     dated = base.withColumn("dated", F.when(F.count("*").over(Window.partitionBy("base")) == 1, F.col("base")).otherwise(F.concat_ws("-", "base", "p_size")))
