@@ -1,14 +1,19 @@
 """Exact deduplication with an extendible-hash index on shared files.
 
 Every text has a 64-bit hash.  The index directory addresses buckets by leading
-hash bits; a bucket whose distinct texts outweigh its capacity is split, and the
-directory doubles when a split needs one more bit.  The directory is planned
-from per-prefix sums (at most 2**MOST_DEPTH numbers, however many rows there
-are).  Only hashes that occur more than once can be copies, so a bounded bitmap
-of those keeps unique texts out of the shuffle; map tasks first fold their own
-copies, so a text that fills a third of the table travels once a task.  Owner
-tasks receive whole buckets in hash order, chain texts of one hash, compare
-their bytes, and write the index to the shared folder, from which verdicts are
+hash bits; a bucket whose texts outweigh its capacity is split, and the
+directory doubles when a split needs one more bit.  It is planned from sums for
+each prefix over all rows (at most 2**MOST_DEPTH numbers, however many rows
+there are; a bucket of that depth is streamed, whatever it holds).  The index has
+an entry for every text: hash, place in its chain, digest, size, the row that
+stays and the group's size.
+
+Only hashes that occur more than once can be copies.  A bounded bitmap of those
+leaves the texts of the others where they are: their entries are written from
+keys alone.  Map tasks fold their own copies of the rest first, so a text that
+fills a third of the table travels once a task.  Each owner task has a range of
+keys: it chains the texts of a hash, compares their bytes, and its part of the
+index is a file in key order in the shared folder, from which verdicts are
 joined back.
 """
 
@@ -19,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import filter_bits, hash_filter, in_filter, new_path, stored, text_or_empty
+from tessera.llm.shared import filter_bits, hash_filter, in_filter, maybe_in, new_path, stored, text_or_empty
 
 MOST_DEPTH = 18
 BUCKET_BYTES = 16 << 20
@@ -78,22 +83,41 @@ def _fold(entry: list, doc_id: int | None, n: int) -> None:
     entry[2] += n
 
 
-_FOLDED = pa.schema([("bucket", pa.int64()), ("h", pa.int64()), ("text", pa.binary()), ("keep_id", pa.int64()), ("n", pa.int64())])
-_INDEX = pa.schema([("bucket", pa.int64()), ("h", pa.int64()), ("chain", pa.int32()), ("text_sha256", pa.string()), ("n_bytes", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
+_FOLDED = pa.schema([("h", pa.int64()), ("text", pa.binary()), ("keep_id", pa.int64()), ("n", pa.int64())])
+_INDEX = pa.schema([("h", pa.int64()), ("chain", pa.int32()), ("text_sha256", pa.string()), ("n_bytes", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
+_ENTRY = "h long, chain int, text_sha256 string, n_bytes long, keep_id long, group_size long"
+#: Owner tasks divide the first so many bits of the keys among them.
+RANGE_BITS = 24
 
 
-def _folder(bitmap, directory):
+def _owner(parts: int) -> Column:
+    """The task that has this key: ranges of equal width, as hashes are spread evenly."""
+    return (F.shiftrightunsigned("h", 64 - RANGE_BITS) * parts / (1 << RANGE_BITS)).cast("int")
+
+
+def _addressed(directory):
+    """Adds the bucket of each entry from the directory."""
+
+    def address(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = directory.value
+        bits = len(places).bit_length() - 1
+        for batch in batches:
+            keys = batch.column(0).to_numpy().view(np.uint64)
+            slot = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(places[slot]), *batch.columns], names=["bucket", *batch.schema.names])
+
+    return address
+
+
+def _folder(bitmap):
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, places = bitmap.value, directory.value
-        shift = np.uint64(64 - (len(places).bit_length() - 1))
+        seen = bitmap.value
         chains: dict[int, list] = {}
         held = 0
 
         def out() -> pa.RecordBatch:
             rows = [(key, *entry) for key, chain in chains.items() for entry in chain]
-            keys = np.array([r[0] for r in rows], np.int64)
-            at = keys.view(np.uint64) >> shift if len(places) > 1 else np.zeros(len(keys), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(places[at.astype(np.int64)]), pa.array(keys), *(pa.array([r[k] for r in rows], _FOLDED.field(k + 1).type) for k in (1, 2, 3))], schema=_FOLDED)
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_FOLDED)], schema=_FOLDED)
 
         for batch in batches:
             keys = batch.column(1).to_numpy(zero_copy_only=False)
@@ -112,24 +136,24 @@ def _folder(bitmap, directory):
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in the order of (bucket, h): one chain is held at a time."""
+    """Rows come in the order of h: one chain is held at a time."""
     at, chains, done = None, {}, []
 
     def close() -> None:
         if at is not None:
-            for number, (text, keep, n) in enumerate(chains[at[1]]):
-                done.append((*at, number, hashlib.sha256(text).hexdigest(), len(text), keep, n))
+            for number, (text, keep, n) in enumerate(chains[at]):
+                done.append((at, number, hashlib.sha256(text).hexdigest(), len(text), keep, n))
 
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], f.type) for k, f in enumerate(_INDEX)], schema=_INDEX)
 
     for batch in batches:
-        for k in range(batch.num_rows):
-            bucket, h, text, keep, n = (batch.column(c)[k].as_py() for c in range(5))
-            if at != (bucket, h):
+        keys, keeps, sizes = (batch.column(k).to_pylist() for k in (0, 2, 3))
+        for h, text, keep, n in zip(keys, batch.column(1), keeps, sizes, strict=True):
+            if at != h:
                 close()
-                at, chains = (bucket, h), {}
-            _fold(_chain(chains, h, text), keep, n)
+                at, chains = h, {}
+            _fold(_chain(chains, h, text.as_buffer().to_pybytes()), keep, n)
         if len(done) >= 4096:
             yield out()
             done.clear()
@@ -151,27 +175,25 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
     rows = rows.select("doc_id", F.xxhash64("text").alias("h"), "text")
     keys = stored(rows.select("doc_id", "h", F.sha2("text", 256).alias("text_sha256"), F.octet_length("text").alias("n_bytes")), "exact-keys")
 
-    copied = stored(keys.groupBy("h").agg(F.count("*").alias("n"), F.max("n_bytes").alias("n_bytes")).where("n > 1"), "exact-copied")
-    total = copied.agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes")).first()
+    copied = stored(keys.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "exact-copied")
+    total = keys.agg(F.sum(F.col("n_bytes") + 1).alias("bytes")).first()["bytes"] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    capacity = min(capacity, max(1, int(total["bytes"] or 0) // (8 * parts)))
-    depth = min(MOST_DEPTH, (int(total["bytes"] or 0) // capacity).bit_length() + 2)
+    capacity = min(capacity, max(1, total // (8 * parts)))
+    depth = min(MOST_DEPTH, (total // capacity).bit_length() + 2)
     prefix = F.shiftrightunsigned("h", 64 - depth)
-    weights = {r[0]: r[1] for r in copied.groupBy(prefix.alias("prefix")).agg(F.sum("n_bytes").cast("long")).collect()}
-    directory = plan_directory(weights, depth, capacity)
-
-    context = spark.sparkContext
-    bitmap = hash_filter(copied, "h", filter_bits(total["n"]))
-    folder = _folder(context.broadcast(bitmap), context.broadcast(directory))
-    folded = rows.select("doc_id", "h", F.col("text").cast("binary").alias("text")).mapInArrow(folder, "bucket long, h long, text binary, keep_id long, n long")
-    index = (
-        folded.repartition(parts, "bucket")
-        .sortWithinPartitions("bucket", "h")
-        .mapInArrow(_own, "bucket long, h long, chain int, text_sha256 string, n_bytes long, keep_id long, group_size long")
-    )
+    weights = {r[0]: r[1] for r in keys.groupBy(prefix.alias("prefix")).agg(F.sum(F.col("n_bytes") + 1).cast("long")).collect()}
+    directory = spark.sparkContext.broadcast(plan_directory(weights, depth, capacity))
+
+    bitmap = hash_filter(copied, "h", filter_bits(copied.count()))
+    alone = maybe_in(keys, "h", bitmap, wanted=False)
+    entries = alone.select("h", F.lit(0).alias("chain"), "text_sha256", F.col("n_bytes").cast("long").alias("n_bytes"), F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    folded = rows.select("doc_id", "h", F.col("text").cast("binary").alias("text")).mapInArrow(_folder(spark.sparkContext.broadcast(bitmap)), "h long, text binary, keep_id long, n long")
+    chained = folded.repartitionById(parts, _owner(parts)).sortWithinPartitions("h").mapInArrow(_own, _ENTRY)
+    index = chained.unionByName(entries).repartitionById(parts, _owner(parts)).mapInArrow(_addressed(directory), f"bucket long, {_ENTRY}").sortWithinPartitions("bucket", "h", "chain")
     path = new_path(spark, "exact-index")
     index.write.parquet(path)
-    index = spark.read.schema(index.schema).parquet(path).select("h", "text_sha256", "keep_id", "group_size")
+    # What stands alone needs no look at the index.
+    index = spark.read.schema(index.schema).parquet(path).where("group_size > 1").select("h", "text_sha256", "keep_id", "group_size")
 
     joined = keys.join(index, ["h", "text_sha256"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
