@@ -69,9 +69,11 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path
     values = F.transform(F.concat(F.regexp_extract_all("own", F.lit(f"{INSIDE}{VALUE}"), F.lit(1)), F.array(outside)), lambda v: F.regexp_replace(v, "^\\\\*[\"'`]+|\\\\*[\"'`]+$", ""))
     # Runs keep their places; a value that is a run is one candidate.
     extra = F.array_except(F.filter(values, lambda v: v != ""), runs)
-    found = words.select("*", F.posexplode(F.concat(runs, extra)).alias("place", "candidate"))
+    every = words.withColumn("all", F.concat(runs, extra))
+    found = every.select("*", F.posexplode("all").alias("place", "candidate"))
+    found = found.withColumn("same", F.size(F.filter(F.slice("all", 1, F.col("place")), lambda c: c == F.col("candidate"))) + 1)
     # What stands in the same word before the candidate belongs to its context.
-    ahead = F.expr("substring_index(own, candidate, 1)")
+    ahead = F.expr("substring_index(own, candidate, same)")
     context = F.concat(F.array(*(F.concat(F.lit(f"{name}:"), F.lower(F.coalesce(part, F.lit("")))) for name, part in (("own", ahead), ("before", F.col("before")), ("earlier", F.col("earlier")), ("after", F.col("after"))))), F.array(F.concat(F.lit("path:"), F.coalesce("path", F.lit("")))))
     # The value starts in this word: after the sign, or after a name or sign at the end of the words before.
     assigned = F.concat_ws(" ", F.coalesce("earlier", F.lit("")), F.coalesce("before", F.lit("")), ahead).rlike(f"{KEY}{CLOSE} ?{ASSIGN} ?[^ &;,]*$")
@@ -79,9 +81,17 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path
 
 
 def frequent_grams(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Letter trigrams of the corpus' DICTIONARY most frequent words of three letters or more, counted over all documents."""
+    """Letter trigrams of the corpus' DICTIONARY most frequent words of three letters or more that occur twice at least, counted over all documents."""
     words = docs.select(F.explode(F.split(F.lower(F.col(text).cast("string")), "[^\\p{L}]+")).alias("entry")).where("length(entry) >= 3")
-    top = words.groupBy("entry").count().orderBy(F.desc("count"), "entry").limit(DICTIONARY)
+    counts = stored(words.groupBy("entry").count().where("count > 1"), "word-counts")
+    # Only words of the highest powers of two that hold enough are ranked: one row for each power reaches the driver.
+    powers = {r["power"]: r["n"] for r in counts.groupBy(F.floor(F.log2("count")).alias("power")).agg(F.count("*").alias("n")).collect()}
+    least, held = 0, 0
+    for power in sorted(powers, reverse=True):
+        least, held = power, held + powers[power]
+        if held >= DICTIONARY:
+            break
+    top = counts.where(F.floor(F.log2("count")) >= least).orderBy(F.desc("count"), "entry").limit(DICTIONARY)
     return top.select(F.explode(_grams("entry")).alias("gram")).distinct()
 
 
@@ -103,7 +113,8 @@ def features(found: DataFrame, grams: DataFrame) -> DataFrame:
     )
     exploded = found.select("candidate").distinct().withColumn("lower", F.lower("candidate")).select("candidate", F.explode(_grams("lower")).alias("gram"))
     known = exploded.join(F.broadcast(grams.withColumn("known", F.lit(1.0))), "gram", "left")
-    coverage = known.groupBy("candidate").agg(F.avg(F.coalesce("known", F.lit(0.0))).alias("coverage"))
+    # Written first, so that the join of a candidate that very many documents hold can be split.
+    coverage = stored(known.groupBy("candidate").agg(F.avg(F.coalesce("known", F.lit(0.0))).alias("coverage")), "coverage")
     # A candidate shorter than a trigram has none.
     return measured.join(coverage, "candidate", "left").fillna(0.0, ["coverage"])
 
