@@ -90,6 +90,20 @@ def test_exact_dedup_nulls_and_repeats(spark, none):
     assert exact_groups(none).count() == 0
 
 
+def test_index_holds_every_text_in_key_ranges(spark, docs, monkeypatch):
+    from tessera.llm import exact_dedup
+
+    paths = []
+    monkeypatch.setattr(exact_dedup, "new_path", lambda s, tag, real=exact_dedup.new_path: paths.append(real(s, tag)) or paths[-1])
+    exact_groups(docs, capacity=500).count()
+    index = spark.read.parquet(paths[-1]).withColumn("file", F.input_file_name())
+    rows = index.collect()
+    assert {r["text_sha256"] for r in rows} == {sha(t or "") for _, t in TEXTS} and len(rows) == len({t or "" for _, t in TEXTS})
+    assert sum(r["group_size"] for r in rows) == len(TEXTS) and len({r["bucket"] for r in rows}) > 4
+    ranges = sorted((min(k), max(k)) for k in ([r["h"] % (1 << 64) for r in rows if r["file"] == f] for f in {r["file"] for r in rows}))
+    assert len(ranges) > 1 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+
+
 def test_directory_splits_only_overfull_buckets():
     weights = {k: 1 for k in range(16)} | {3: 100}
     directory = plan_directory(weights, 4, 20)
@@ -498,3 +512,106 @@ def test_short_secrets_are_found(spark):
     held = {k for k, _ in texts if zlib.crc32(str(k).encode()) % 3 == 1}
     assert {r["doc_id"] for r in rows} == held
     assert {r["doc_id"] for r in rows if r["is_secret"]} == {k for k in held if k < 1000}
+
+
+def _findings() -> list[tuple[int, str, int, int]]:
+    """(doc_id, text, word, label): secrets of five kinds, and lures that look like them."""
+    rng = random.Random(41)
+    some = lambda kinds, k: "".join(rng.choices(kinds, k=k))
+    mixed, hexes = string.ascii_letters + string.digits, "0123456789abcdef"
+    secrets = [
+        lambda: ("the api_key = ", f"AKIA{some(string.ascii_uppercase + string.digits, 16)}"),
+        lambda: ("export TOKEN = ", f"ghp_{some(mixed, 36)}"),
+        lambda: ("set password: ", some(mixed, 20)),
+        lambda: ("client secret is ", some(mixed + "+/", 40)),
+        lambda: ("login with key ", some(mixed, 32)),
+    ]
+    lures = [
+        lambda: ("sha256 digest ", some(hexes, 64)),
+        lambda: ("see commit ", some(hexes, 40)),
+        lambda: ("open file ", "/".join(rng.choice(["usr", "local", "share", "documentation", "configuration"]) for _ in range(5))),
+        lambda: ("the function ", "get_" + "_".join(rng.choice(["number", "document", "language", "statement"]) for _ in range(3))),
+        lambda: ("order number ", some(string.digits, 20)),
+    ]
+    out = []
+    for k in range(900):
+        label = int(k % 3 == 0)
+        before, candidate = rng.choice(secrets if label else lures)()
+        out.append((k, f"number document language statement {before}{candidate} share configuration", 4 + len(before.split()), label))
+    return out
+
+
+def test_labelled_findings_with_lures(spark):
+    """Precision and recall on findings that the forest has not seen, labelled by how they were made."""
+    planted = _findings()
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in planted], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, w, 0, label) for i, _, w, label in planted], "doc_id long, word int, place int, label int")
+    truth = {(i, w): label for i, _, w, label in planted}
+    rows = [r for r in scan(docs, findings=labels).collect() if r["held_out"] and r["place"] == 0 and (r["doc_id"], r["word"]) in truth]
+    hit = sum(r["is_secret"] and truth[r["doc_id"], r["word"]] for r in rows)
+    found, real = sum(r["is_secret"] for r in rows), sum(truth[r["doc_id"], r["word"]] for r in rows)
+    assert len(rows) > 200 and real > 60
+    assert hit >= 0.95 * found and hit >= 0.95 * real, (hit, found, real)
+
+
+def test_equal_candidates_of_a_word_have_their_own_context(spark):
+    from tessera.llm.secret_scan import candidates
+
+    key = "abcdefghij0123456789"
+    rows = candidates(spark.createDataFrame([(1, f"first={key};token={key}")], "doc_id long, text string")).orderBy("place").collect()
+    assert [r["ahead"] for r in rows][:2] == ["first=", f"first={key};token="]
+
+
+def _long_text() -> str:
+    """A few megabytes: several pieces, with repeats that cross their borders."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklmno", k=rng.randint(2, 9))) for _ in range(3000)]
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    passage = say(120)
+    return " ".join(x for _ in range(45) for x in (say(8000), passage))
+
+
+def test_long_text_in_pieces(spark, tmp_path):
+    """One text of several pieces gives what it gives as a whole."""
+    text = _long_text()
+    assert len(text) > 2 << 20
+    docs = spark.createDataFrame([(1, text), (2, text[1 << 20 : (1 << 20) + 4000]), (3, "short")], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(7, " ".join(text[(1 << 20) - 300 : (1 << 20) + 300].split()[1:-1])), (8, "not there at all")], "item_id long, text string")
+    got = {r["doc_id"]: r for r in contamination(docs, items).collect()}
+    assert got[1]["n_items"] == 1 and got[1]["n_words"] == len(text.split()) and not got[3]["contaminated"]
+
+    removed = by_id(suffix_dedup.remove_repeats(docs), "n_removed")
+    raw, other = text.encode(), text[1 << 20 : (1 << 20) + 4000].encode()
+    seen: dict[bytes, int] = defaultdict(int)
+    for data in (raw, other):
+        for k in range(len(data) - 399):
+            seen[hash(data[k : k + 400])] += 1
+    for i, data in ((1, raw), (2, other)):
+        hit, end = 0, 0
+        for k in range(len(data) - 399):
+            if seen[hash(data[k : k + 400])] > 1:
+                hit += k + 400 - max(k, end)
+                end = k + 400
+        assert removed[i] == (hit,)
+
+    library = tokenizers.Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json")
+    ids = {r["doc_id"]: r["ids"] for r in bpe.encode(docs, f"{TOKENIZERS}/byte_bpe_50k.json").collect()}
+    assert ids[1] == library.encode(text, add_special_tokens=False).ids
+    token_store.write_store(docs, f"file://{tmp_path}/store", f"{TOKENIZERS}/word_bpe_49k.json")
+    word_ids = np.array(tokenizers.Tokenizer.from_file(f"{TOKENIZERS}/word_bpe_49k.json").encode(text, add_special_tokens=False).ids, "<u4")
+    assert by_id(token_store.checksums(spark, f"file://{tmp_path}/store"), "n_tokens", "ids_crc32")[1] == (len(word_ids), zlib.crc32(word_ids.tobytes()))
+
+    words = text.split()
+    n = by_id(jaccard_join.similar_components(docs), "n_shingles", "component_id")
+    assert n[1] == (len({tuple(words[k : k + 5]) for k in range(len(words) - 4)}), 1)
+
+
+def test_network_pools_long_texts_alike():
+    from tessera.llm import bytecnn
+
+    rng = np.random.default_rng(3)
+    data = rng.integers(32, 120, bytecnn.LONG + 70_000).astype(np.uint8)
+    model = bytecnn.ByteCNN.new(256, (2, 5), 4, 2)
+    pooled, cells = model.pool(data, np.array([0, len(data)]))
+    whole, own = model.pool(np.concatenate([data, data[:10]]), np.array([0, len(data), len(data) + 10]))
+    assert cells[0] == own[0] and np.allclose(pooled, whole[: own[0]])
