@@ -18,14 +18,18 @@ buckets that are sorted one at a time:
    and at the last cover position that still fits, and its last few bytes, so
    long ties cost two comparisons of ranks.  Neighbours that tie are compared
    byte by byte.
-4. A bucket of more than MOST runs isn't sorted in one task: its suffixes are
-   shuffled on 128-bit hashes of their bytes instead.
+4. A bucket of more than MOST runs is split before it is sorted: by how far its
+   suffixes start before the anchor, in steps of a width, and by the bytes that
+   all suffixes of such a step share.  Equal suffixes stay together; parts that
+   are equal as a whole settle each other, and one of them goes on.  What is
+   still too large is split by a smaller width, down to single suffixes.
 
 Texts themselves are shuffled only where something is open or to be cut.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,10 +46,14 @@ PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 #: No position is further than this from the next one of the cover.
 GAP = 19
 MOST = 4096
+#: The widths by which large buckets are split, one after another.
+STEPS = (64, 16, 4, 1)
 #: Bits of a place within the bytes that are looked at at once; the same everywhere, so that equal bytes get equal anchors.
 PLACE_BITS = 22
 #: Suffixes sorted at once.
 BATCH = 200_000
+#: Bytes of different parts that a task remembers.
+HELD_BYTES = 8 << 20
 
 
 def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -303,25 +311,69 @@ def _sort_buckets(length: int):
     return sort
 
 
-def _hash_suffixes(length: int):
-    """For buckets that no task sorts: two hashes of every suffix."""
+_PART = "anchor long, extent long, doc_id long, text_key long, place int, low int, high int, lone boolean, bytes binary"
+
+
+def _part_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.bool_(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=[f.split(" ")[0] for f in _PART.split(", ")])
+
+
+def _digest(*parts: bytes | int) -> int:
+    out = hashlib.blake2b(digest_size=8)
+    for part in parts:
+        out.update(part if isinstance(part, bytes) else int(part).to_bytes(8, "little", signed=True))
+    return int.from_bytes(out.digest(), "little", signed=True)
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = np.frombuffer(row[7], np.uint8)
-                n = len(data) - length + 1
-                sums = []
-                for values in (tb.BYTE_VALUES, tb.mix64(tb.BYTE_VALUES)):
-                    up, down = tb.powers(len(data) + 1)
-                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[data] * up[: len(data)], dtype=np.uint64)])
-                    sums.append(tb.mix64((total[length:] - total[:n]) * down[:n]).view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(sums[0]), pa.array(sums[1]), pa.array([row[1]] * n, pa.int64()), pa.array(np.full(n, row[2], np.int64)), pa.array((row[4] + np.arange(n)).astype(np.int32)), pa.array(np.full(n, row[6]))],
-                    names=["f1", "f2", "doc_id", "text_key", "low", "lone"],
-                )
 
-    return hashed
+def _split(length: int, width: int):
+    """Runs of large buckets in parts: their new bucket is the old one, the step, and the bytes that the step's suffixes share.
+
+    Of equal parts a task sends two on; further ones are marks (without bytes).
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int], list] = {}
+        held = 0
+        for batch in batches:
+            rows = []
+            for anchor, doc_id, key, place, low, high, lone, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for step in range((place - high) // width, (place - low) // width + 1):
+                    a, b = max(low, place - step * width - width + 1), min(high, place - step * width)
+                    own = data[a - low : b - low + length]
+                    common = place - step * width - low
+                    bucket = _digest(anchor, step, data[common : common + length - width + 1])
+                    extent = _digest(place - a, b - a, own)
+                    known = seen.setdefault((bucket, extent), [own, 0])
+                    known[1] += 1
+                    held += len(own) * (known[1] == 1)
+                    again = known[1] > 2 and known[0] == own
+                    rows.append((bucket, extent, doc_id, key, place, a, b, lone, None if again else own))
+                if held > HELD_BYTES:
+                    seen, held = {}, 0
+            yield _part_batch(rows)
+
+    return split
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come in the order of (anchor, extent): of equal parts one goes on as settled, the others are marks."""
+    at, first = None, None
+    for batch in batches:
+        rows = []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:2] == at and row[8] == first[8]:
+                if first[7] is not None:  # the first of equal ones is a mark too, and needs no other any more
+                    rows += [(*first[:8], None)] if first[7] else []
+                    first = (*first[:7], None, first[8])
+                rows.append((*row[:8], None))
+                continue
+            if first is not None:
+                rows.append((*first[:7], bool(first[7]), first[8]))
+            at, first = row[:2], row
+        yield _part_batch(rows)
+    if first is not None:
+        yield _part_batch([(*first[:7], bool(first[7]), first[8])])
 
 
 def _cut(length: int):
@@ -382,16 +434,22 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
     of_open = maybe_in(rows, "text_key", hash_filter(wanted, "text_key", filter_bits(wanted.count())))
     extents = of_open.join(of_doc, same).select("doc_id", "text_key", "text", "runs").mapInArrow(_extents(length), "anchor long, doc_id long, text_key long, place int, low int, high int, lone boolean, bytes binary")
     large = stored(wanted.where(F.col("classes") > most).select("anchor").distinct(), "large-buckets")
-    if large.isEmpty():
-        sorted_, hashed = extents, None
-    else:
+    more = []
+    for width in STEPS:
+        if large.isEmpty():
+            break
         extents = stored(extents, "extents")
-        sorted_, hashed = extents.join(large, "anchor", "left_anti"), extents.join(large, "anchor", "left_semi")
-    marks = sorted_.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_sort_buckets(length), _MARKS)
-    if hashed is not None:
-        suffixes = stored(hashed.mapInArrow(_hash_suffixes(length), "f1 long, f2 long, doc_id long, text_key long, low int, lone boolean"), "suffixes")
-        twice = stored(suffixes.groupBy("f1", "f2").count().where("count > 1").select("f1", "f2"), "suffixes-twice")
-        marks = marks.unionByName(suffixes.where("lone").join(twice, ["f1", "f2"]).select("doc_id", "text_key", "low", F.col("low").alias("high")))
+        parts_of = stored(extents.join(large, "anchor", "left_semi").mapInArrow(_split(length, min(width, length // 2)), _PART), "bucket-parts")
+        ordered = parts_of.where("bytes IS NOT NULL").repartition(parts, "anchor", "extent").sortWithinPartitions("anchor", "extent")
+        settled_parts = stored(ordered.mapInArrow(_settle, _PART), "settled-parts")
+        for marked in (parts_of, settled_parts):
+            more.append(marked.where("bytes IS NULL AND lone").select("doc_id", "text_key", "low", "high"))
+        open_parts = settled_parts.where("bytes IS NOT NULL").drop("extent")
+        extents = extents.join(large, "anchor", "left_anti").unionByName(open_parts)
+        large = stored(open_parts.groupBy("anchor").count().where(F.col("count") > most).select("anchor"), "large-buckets")
+    marks = extents.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_sort_buckets(length), _MARKS)
+    for part in more:
+        marks = marks.unionByName(part)
     marks = stored(marks.unionByName(settled), "marks")
     marked = hash_filter(marks, "text_key", filter_bits(marks.select("doc_id", "text_key").distinct().count()))
     of_doc = marks.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set(F.struct("low", "high")).alias("marks"))
