@@ -46,8 +46,8 @@ BLOCK = 1 << 18
 SKETCH_BITS = 20
 PART = 4096
 MOST_LEVEL = 4
-#: Pivot rounds go on until the last round's expected work is below so many item meetings for each prefix item.
-LEAST_ROUNDS, MOST_ROUNDS, MEETINGS = 2, 6, 0.25
+#: Pivot rounds for all prefix items, and further ones, while they link anything, for items in more than CROWD components.
+LEAST_ROUNDS, MOST_ROUNDS, CROWD = 2, 6, 32
 
 
 def shingle_sets(block: tb.Block, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -318,14 +318,6 @@ def _by_prefixes(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     return joined.where(_possible(percent)).select("a", "b")
 
 
-def _few_meetings(labelled: DataFrame) -> bool:
-    """Whether few prefix items of different components would meet."""
-    by_label = labelled.groupBy("item", "label").agg(F.count("*").cast("double").alias("c"))
-    items = by_label.groupBy("item").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    sums = items.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("meetings"), F.sum("s").alias("rows")).first()
-    return (sums["meetings"] or 0) <= MEETINGS * (sums["rows"] or 0)
-
-
 def _with_labels(prefixes: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return prefixes.withColumn("label", F.col("node"))
@@ -370,9 +362,10 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5, doc_i
     found: DataFrame | None = None
     labels: DataFrame | None = None
     labelled = single.withColumn("label", F.col("node"))
+    turn, idle = labelled, 0
     for number in range(MOST_ROUNDS):
         rank = F.struct("place", "node") if number == 0 else F.struct(F.xxhash64(F.col("node"), F.lit(number)).alias("place"), "node")
-        ordered = labelled.select("item", "node", "label", "n", "level", rank.alias("rank")).repartition(parts, "item").sortWithinPartitions("item", "rank").drop("rank")
+        ordered = turn.select("item", "node", "label", "n", "level", rank.alias("rank")).repartition(parts, "item").sortWithinPartitions("item", "rank").drop("rank")
         met = ordered.mapInArrow(_pivots, "a long, b long, an int, bn int, al byte, bl byte").groupBy("a", "b", "an", "bn", "al", "bl").agg(F.count("*").alias("met"))
         best = met.where(_possible(percent)).groupBy("b").agg(F.max(F.struct("met", F.negative("a").alias("a"))).alias("best"))
         best = stored(best.select(F.negative("best.a").alias("a"), "b"), "pairs")
@@ -381,9 +374,17 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5, doc_i
             found = links if found is None else found.unionByName(links)
             labels = connected_components(found)
             labelled = stored(_with_labels(single, labels), "prefixes-labelled")
-        # A round that links few of its pairs leaves what is not similar: the last round's prefixes tell.
-        if number + 1 >= LEAST_ROUNDS and (20 * links.count() < best.count() or _few_meetings(labelled)):
-            break
+            idle = 0
+        else:
+            idle += 1  # the pivots of one round may be outsiders
+        if number + 1 >= LEAST_ROUNDS:
+            if idle == 2:
+                break
+            # Further rounds are for items that many components hold: there the last round's pairs would grow with their square.
+            crowded = stored(labelled.groupBy("item", "label").count().groupBy("item").count().where(F.col("count") > CROWD).select("item"), "crowded-items")
+            if crowded.isEmpty():
+                break
+            turn = stored(labelled.join(crowded, "item"), "crowded-prefixes")
 
     spread = labelled.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("item")
     open_items = stored(labelled.join(stored(spread, "open"), "item"), "open-items")
