@@ -7,9 +7,10 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def char_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the matched characters over all characters; case and blanks around don't count, nothing equals nothing.
 

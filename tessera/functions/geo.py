@@ -68,3 +68,29 @@ def in_ring(ring: Column, x: Column, y: Column) -> Column:
 def cell(value: Column, size: float) -> Column:
     """Number of the grid cell that holds a coordinate."""
     return F.floor(value / size).cast("long")
+
+
+def plane_metres(lng_a: Column, lat_a: Column, lng_b: Column, lat_b: Column, per_lng: float = 111_320.0, per_lat: float = 110_574.0) -> Column:
+    """Distance in metres on a plane: good for short ways, and cheaper than the sphere."""
+    return F.sqrt(F.pow((lng_b - lng_a) * per_lng * F.cos(F.radians(lat_a)), 2) + F.pow((lat_b - lat_a) * per_lat, 2))
+
+
+def turned_box(cx: Column, cy: Column, w: Column, h: Column, degrees: Column) -> Column:
+    """Corners of a box around a centre, turned by an angle."""
+    cos, sin = F.cos(F.radians(degrees)), F.sin(F.radians(degrees))
+
+    def corner(a: int, b: int) -> Column:
+        x, y = w * (a / 2), h * (b / 2)
+        return F.struct((cx + x * cos - y * sin).alias("x"), (cy + x * sin + y * cos).alias("y"))
+
+    return F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1))
+
+
+def ring_length(ring: Column) -> Column:
+    """Length of a closed ring's edges."""
+    return F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + F.sqrt(F.pow(e["p"]["x"] - e["q"]["x"], 2) + F.pow(e["p"]["y"] - e["q"]["y"], 2)))
+
+
+def compactness(ring: Column) -> Column:
+    """4 pi area / length squared: 1 for a circle; null without length."""
+    return F.try_divide(4 * F.pi() * ring_area(ring), F.pow(ring_length(ring), 2))

@@ -115,7 +115,7 @@ def seeded(seed: str, *parts: Column) -> Column:
 
 
 def natural_order(text: Column) -> list[Column]:
-    """Sort keys: blanks last, then the part before the number, then the number."""
+    """Sort keys: blanks last and alike, then the part before the number, then the number."""
     blank = text.isNull() | (F.trim(text) == "")
     number = F.nullif(F.regexp_extract(text, "(\\d+)", 1), F.lit("")).cast("long")
-    return [blank.asc(), F.lower(F.regexp_extract(text, "^([^0-9]*)", 1)).asc_nulls_last(), number.asc_nulls_first()]
+    return [blank.asc(), F.when(~blank, F.lower(F.regexp_extract(text, "^([^0-9]*)", 1))).asc_nulls_last(), number.asc_nulls_first()]

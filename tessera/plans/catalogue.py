@@ -122,7 +122,7 @@ _TITLE = "CASE WHEN p_partkey % 9 = 0 THEN NULL WHEN p_partkey % 9 = 1 THEN '' E
 
 @query(f"""
 WITH l AS (SELECT p_partkey, {_TITLE} AS title FROM part)
-SELECT p_partkey, title FROM l ORDER BY coalesce(trim(title) = '', true), lower(regexp_extract(title, '^([^0-9]*)', 1)) NULLS LAST, CAST(nullif(regexp_extract(title, '(\\d+)', 1), '') AS BIGINT) NULLS FIRST, p_partkey LIMIT 60 OFFSET 40
+SELECT p_partkey, title FROM l ORDER BY coalesce(trim(title) = '', true), CASE WHEN trim(title) <> '' THEN lower(regexp_extract(title, '^([^0-9]*)', 1)) END NULLS LAST, CAST(nullif(regexp_extract(title, '(\\d+)', 1), '') AS BIGINT) NULLS FIRST, p_partkey LIMIT 60 OFFSET 40
 """)
 def q80_natural_slice(t: Tables) -> DataFrame:
     """A slice of the natural order: numbers by value, blanks last."""
@@ -299,3 +299,340 @@ def q90_reject_reasons(t: Tables) -> DataFrame:
     part = F.contains("a_text", "b_text") | F.contains("b_text", "a_text")
     reason = F.when(close & (F.col("a_text") == F.col("b_text")), "dup").when(close & part, "part").when(close, "text-wrong").when(F.col("cover") >= 0.5, "fragment").when(F.col("iou") > 0, "adjacent").otherwise("orphan")
     return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"), F.min("a_id").alias("first"))
+
+
+def _cell_shares(t: Tables) -> DataFrame:
+    """Boxes of customers as rings, cut to each cell of 250 that they touch."""
+    k = F.col("c_custkey")
+    x, y = (k * 37 % 1000).cast("double"), (k * 91 % 1000).cast("double")
+    corner = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
+    rings = t.customer.select("c_custkey", "c_nationkey", F.array(corner(0, 0), corner(120, 0), corner(120, 80), corner(0, 80)).alias("ring"), x.alias("x"), y.alias("y"))
+    for axis, size in (("x", 120), ("y", 80)):
+        rings = rings.withColumn(f"c{axis}", F.explode(F.sequence(F.floor(F.col(axis) / 250), F.floor((F.col(axis) + size) / 250))))
+    boxed = rings.select("c_custkey", "c_nationkey", "ring", "cx", "cy", *(((F.col(f"c{a}") + k) * 250).alias(f"{a}{k}") for k in (0, 1) for a in "xy"))
+    return clip.clip_rings(boxed).withColumn("area", geo.ring_area(F.col("ring"))).drop("ring", "x0", "y0", "x1", "y1")
+
+
+_SHARES = """
+WITH b AS (SELECT c_custkey, c_nationkey, CAST(c_custkey * 37 % 1000 AS DOUBLE) AS x, CAST(c_custkey * 91 % 1000 AS DOUBLE) AS y FROM customer), g AS (SELECT unnest(range(5)) AS k),
+s AS (SELECT c_custkey, c_nationkey, u.k AS cx, v.k AS cy, greatest(0, least(x + 120, (u.k + 1) * 250) - greatest(x, u.k * 250)) * greatest(0, least(y + 80, (v.k + 1) * 250) - greatest(y, v.k * 250)) AS area FROM b, g u, g v)
+"""
+
+
+@query(_SHARES + "SELECT c_custkey, CAST(cx AS BIGINT) AS cx, CAST(cy AS BIGINT) AS cy, round(area / 9600, 6) AS share, area / 9600 >= 0.05 AS lands FROM s WHERE area / 9600 >= 0.01")
+def q91_overlay_shares(t: Tables) -> DataFrame:
+    """The share of each ring's area in each region, by clipping."""
+    share = F.col("area") / 9600
+    return _cell_shares(t).where(share >= 0.01).select("c_custkey", "cx", "cy", F.round(share, 6).alias("share"), (share >= 0.05).alias("lands"))
+
+
+@query(_SHARES + "SELECT c_nationkey, CAST(cx AS BIGINT) AS cx, CAST(cy AS BIGINT) AS cy, count(*) AS n, round(sum(area) / 62500, 6) AS share, round(avg(area), 4) AS mean, round(count(*) / 6.25, 4) AS density FROM s WHERE area > 0 GROUP BY 1, 2, 3")
+def q92_morphology(t: Tables) -> DataFrame:
+    """For each group and area: number, share of the ground, mean and density of the clipped shapes."""
+    shapes = _cell_shares(t).where("area > 0")
+    return shapes.groupBy("c_nationkey", "cx", "cy").agg(F.count("*").alias("n"), F.round(F.sum("area") / 62500, 6).alias("share"), F.round(F.avg("area"), 4).alias("mean"), F.round(F.count("*") / 6.25, 4).alias("density"))
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN 'done' WHEN l_returnflag = 'A' THEN 'na' WHEN l_linestatus = 'F' THEN 'doing' ELSE 'todo' END AS state FROM lineitem),
+o AS (SELECT l_orderkey, CASE WHEN bool_and(state IN ('done', 'na')) THEN 'done' WHEN bool_or(state IN ('done', 'doing')) THEN 'doing' ELSE 'todo' END AS overall FROM s GROUP BY 1),
+d AS (SELECT CASE WHEN contains(text, chr(10)) AND quality = 1 THEN 'ready' WHEN contains(text, chr(10)) THEN 'proposed' WHEN n_chars > 1000 THEN 'needs_crop' ELSE 'needs_layout' END AS state FROM documents LEFT JOIN labels USING (doc_id))
+SELECT 'work' AS section, overall AS state, count(*) AS n FROM o GROUP BY 2 UNION ALL SELECT 'triage', state, count(*) FROM d GROUP BY 2
+""")
+def q93_work_states(t: Tables) -> DataFrame:
+    """State of each sheet over its tracks (all done or not needed, some begun, none), and what stands before a run."""
+    state = F.when(F.col("l_returnflag") == "R", "done").when(F.col("l_returnflag") == "A", "na").when(F.col("l_linestatus") == "F", "doing").otherwise("todo")
+    tracks = t.lineitem.groupBy("l_orderkey").agg(F.every(state.isin("done", "na")).alias("all"), F.some(state.isin("done", "doing")).alias("any"))
+    work = tracks.groupBy(F.when(F.col("all"), "done").when(F.col("any"), "doing").otherwise("todo").alias("state")).agg(F.count("*").alias("n"))
+    crop = F.contains("text", F.lit("\n"))
+    triage = F.when(crop & (F.col("quality") == 1), "ready").when(crop, "proposed").when(F.col("n_chars") > 1000, "needs_crop").otherwise("needs_layout")
+    sheets = t.documents.join(t.labels, "doc_id", "left").groupBy(triage.alias("state")).agg(F.count("*").alias("n"))
+    return work.select(F.lit("work").alias("section"), "state", "n").union(sheets.select(F.lit("triage"), "state", "n"))
+
+
+@query("""
+WITH l AS (SELECT user_id, event_id % 50 AS item, event_id, ts, event_type = 'view' AS undo, event_type AS verdict, lag(ts) OVER (PARTITION BY user_id, event_id % 50 ORDER BY ts, event_id) AS before FROM events),
+v AS (SELECT * FROM l WHERE NOT undo OR ts <= before + INTERVAL 96 HOUR)
+SELECT user_id, item, CASE WHEN undo THEN NULL ELSE verdict END AS verdict, CAST(count(*) OVER (PARTITION BY user_id, item) AS BIGINT) AS events FROM v QUALIFY row_number() OVER (PARTITION BY user_id, item ORDER BY ts DESC, event_id DESC) = 1
+""")
+def q94_verdict_log(t: Tables) -> DataFrame:
+    """Verdicts from an append-only log: the last event counts, an undo takes the verdict back and counts only within its window."""
+    log = t.events.withColumn("item", F.col("event_id") % 50).withColumn("undo", F.col("event_type") == "view")
+    before = F.lag("ts").over(Window.partitionBy("user_id", "item").orderBy("ts", "event_id"))
+    valid = log.withColumn("before", before).where(~F.col("undo") | (F.col("ts") <= F.col("before") + F.expr("INTERVAL 96 HOURS")))
+    last = F.max(F.struct("ts", "event_id", F.when(~F.col("undo"), F.col("event_type")).alias("verdict"))).alias("l")
+    return valid.groupBy("user_id", "item").agg(last, F.count("*").alias("events")).select("user_id", "item", "l.verdict", "events")
+
+
+@query("""
+WITH c AS (SELECT o_custkey, o_orderkey, o_orderdate, CASE o_orderpriority WHEN '1-URGENT' THEN 'urgent' WHEN '2-HIGH' THEN 'urgent' ELSE lower(o_orderpriority[3:]) END AS kind, o_orderstatus FROM orders),
+e AS (SELECT *, row_number() OVER w AS k, kind IS DISTINCT FROM lag(kind) OVER w OR o_orderstatus IS DISTINCT FROM lag(o_orderstatus) OVER w AS edited FROM c WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
+SELECT kind, CASE WHEN k > 1 AND edited THEN 'needs_review' WHEN k = 1 THEN 'new' ELSE 'reviewed' END AS review, count(*) AS n FROM e GROUP BY 1, 2
+""")
+def q95_stale_reviews(t: Tables) -> DataFrame:
+    """Kinds under their canonical names; any edit takes a row back to review."""
+    kind = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "urgent").otherwise(F.lower(F.substring("o_orderpriority", 3, 100)))
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    rows = t.orders.withColumn("kind", kind).withColumn("k", F.row_number().over(w))
+    same = F.col("kind").eqNullSafe(F.lag("kind").over(w)) & F.col("o_orderstatus").eqNullSafe(F.lag("o_orderstatus").over(w))
+    rows = rows.withColumn("same", same)
+    review = F.when(F.col("k") == 1, "new").when(F.col("same"), "reviewed").otherwise("needs_review")
+    return rows.groupBy("kind", review.alias("review")).agg(F.count("*").alias("n"))
+
+
+_PARTS = ["legend", "title", "map", "off"]
+
+
+@query(f"""
+WITH r AS (SELECT CASE WHEN p_size > 45 THEN 'map' WHEN p_size <= 10 THEN 'legend' WHEN p_size <= 20 THEN 'title' WHEN p_partkey * 37 % 2000 BETWEEN 100 AND 1900 THEN 'map' ELSE 'off' END AS region FROM part)
+SELECT CAST(k.place AS INTEGER) AS place, k.region, count(r.region) AS n FROM (SELECT unnest({_PARTS}) AS region, unnest(range(1, 5)) AS place) k LEFT JOIN r USING (region) GROUP BY 1, 2
+""")
+def q96_layout_regions(t: Tables) -> DataFrame:
+    """Rows by the first layout region that holds them, counted in a fixed order, empty ones too."""
+    x = F.col("p_partkey") * 37 % 2000
+    region = F.when(F.col("p_size") > 45, "map").when(F.col("p_size") <= 10, "legend").when(F.col("p_size") <= 20, "title").when(x.between(100, 1900), "map").otherwise("off")
+    counts = t.part.agg(*(F.count_if(region == name).alias(name) for name in _PARTS))  # one row
+    return counts.select(F.posexplode(F.array(*(F.struct(F.lit(name).alias("region"), F.col(name).alias("n")) for name in _PARTS))).alias("k", "c")).select((F.col("k") + 1).alias("place"), "c.region", "c.n")
+
+
+@query("""
+WITH p AS (SELECT s_suppkey, CAST(s_suppkey * 3571 % 1000 AS DOUBLE) AS x, CAST(s_suppkey * 7027 % 1000 AS DOUBLE) AS y FROM supplier),
+b AS (SELECT c_custkey, c_custkey % 50 AS year, CAST(c_custkey * 37 % 950 AS DOUBLE) AS x0, CAST(c_custkey * 91 % 950 AS DOUBLE) AS y0, CAST(c_custkey * 37 % 950 + c_custkey % 60 - 4 AS DOUBLE) AS x1, CAST(c_custkey * 91 % 950 + c_custkey % 60 AS DOUBLE) AS y1 FROM customer)
+SELECT s_suppkey, c_custkey, year, CAST(row_number() OVER (PARTITION BY s_suppkey ORDER BY (x1 - x0) * (y1 - y0), year DESC, c_custkey) AS INTEGER) AS place FROM p JOIN b ON x0 <= x1 AND y0 <= y1 AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1
+""")
+def q97_maps_at_point(t: Tables) -> DataFrame:
+    """Boxes that hold a point, the smallest first and of equal ones the newest; boxes out of order are skipped."""
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    points = t.supplier.select("s_suppkey", (s * 3571 % 1000).cast("double").alias("x"), (s * 7027 % 1000).cast("double").alias("y"))
+    boxes = t.customer.select("c_custkey", (k % 50).alias("year"), (k * 37 % 950).cast("double").alias("x0"), (k * 91 % 950).cast("double").alias("y0"), (k * 37 % 950 + k % 60 - 4).cast("double").alias("x1"), (k * 91 % 950 + k % 60).cast("double").alias("y1"))
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    place = F.row_number().over(Window.partitionBy("s_suppkey").orderBy(area, F.desc("year"), "c_custkey"))
+    return spatial.boxes_containing(points, boxes, 50.0).select("s_suppkey", "c_custkey", "year", place.alias("place"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 0 ELSE count_if(p_partkey % 10 <> 0) OVER (PARTITION BY p_brand, p_size) - 1 END AS editions FROM part")
+def q98_sheet_editions(t: Tables) -> DataFrame:
+    """Other printings of the same sheet of a series; an unverified one is a group of its own."""
+    unverified = F.col("p_partkey") % 10 == 0
+    others = F.count_if(~unverified).over(Window.partitionBy("p_brand", "p_size")) - 1
+    return t.part.select("p_partkey", F.when(unverified, F.lit(0).cast("long")).otherwise(others).alias("editions"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_partkey * 37 % 1000 AS x1, p_partkey * 37 % 1000 + p_partkey % 90 AS x2, floor((p_partkey * 91 % 1000) / 100) * 100 + 50 AS gx, p_partkey * 13 % 1000 AS mx FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'manual' WHEN abs(x1 - x2) <= 50 THEN 'numeral' ELSE 'grid' END AS method, CAST(CASE WHEN p_partkey % 5 = 0 THEN mx WHEN abs(x1 - x2) <= 50 THEN (x1 + x2) / 2.0 ELSE gx END AS DOUBLE) AS x, CASE WHEN p_partkey % 5 = 0 THEN 5 WHEN abs(x1 - x2) <= 50 THEN 25 ELSE 100 END AS accuracy_m FROM p
+""")
+def q99_legend_positions(t: Tables) -> DataFrame:
+    """A place by hand, else by numerals that agree, else the middle of its grid cell, with how sure it is."""
+    k = F.col("p_partkey")
+    x1, x2 = k * 37 % 1000, k * 37 % 1000 + k % 90
+    by_hand, agree = k % 5 == 0, F.abs(x1 - x2) <= 50
+    pick = lambda a, b, c: F.when(by_hand, a).when(agree, b).otherwise(c)
+    x = pick((k * 13 % 1000).cast("double"), (x1 + x2) / 2.0, (F.floor((k * 91 % 1000) / 100) * 100 + 50).cast("double"))
+    return t.part.select("p_partkey", pick(F.lit("manual"), F.lit("numeral"), F.lit("grid")).alias("method"), x.alias("x"), pick(F.lit(5), F.lit(25), F.lit(100)).alias("accuracy_m"))
+
+
+@query("""
+WITH c AS (SELECT *, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) OVER (PARTITION BY o_custkey) AS source FROM orders)
+SELECT o_custkey, count(*) AS total, count_if(o_orderstatus <> 'P') AS warped, count_if(o_orderstatus <> 'P' AND o_orderpriority <> source) AS stale, count_if(o_totalprice > 250000) AS approved, count_if(o_orderpriority = source) AS unchanged, count_if(o_orderpriority <> source AND o_orderstatus <> 'P') AS written, count_if(o_orderpriority <> source AND o_orderstatus = 'P') AS skipped FROM c GROUP BY 1
+""")
+def q100_staleness(t: Tables) -> DataFrame:
+    """What a new source makes stale: totals, and what an incremental run writes, skips and leaves."""
+    newest = t.orders.groupBy("o_custkey").agg(F.max_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey")).alias("source"))
+    rows = t.orders.join(newest, "o_custkey")
+    warped, stale = F.col("o_orderstatus") != "P", F.col("o_orderpriority") != F.col("source")
+    counts = {"warped": warped, "stale": warped & stale, "approved": F.col("o_totalprice") > 250000, "unchanged": ~stale, "written": stale & warped, "skipped": stale & ~warped}
+    return rows.groupBy("o_custkey").agg(F.count("*").alias("total"), *(F.count_if(test).alias(name) for name, test in counts.items()))
+
+
+@query("""
+WITH k AS (SELECT p_partkey, lower(replace(p_name || ' ' || p_brand || ' ' || p_size, ' ', '-')) AS key FROM part), h AS (SELECT DISTINCT replace(key, '#', '-') AS key FROM k WHERE p_partkey % 3 = 0)
+SELECT replace(key, '#', '-') AS key, min(p_partkey) AS first, count(*) AS found FROM k WHERE p_partkey % 3 <> 0 AND replace(key, '#', '-') NOT IN (SELECT key FROM h) GROUP BY 1
+""")
+def q101_discovery(t: Tables) -> DataFrame:
+    """What was found and isn't held yet, each key once."""
+    rows = t.part.select("p_partkey", text.slug(F.concat_ws(" ", "p_name", "p_brand", F.col("p_size").cast("string"))).alias("key"))
+    held = rows.where("p_partkey % 3 = 0").select("key")
+    return rows.where("p_partkey % 3 <> 0").join(held, "key", "left_anti").groupBy("key").agg(F.min("p_partkey").alias("first"), F.count("*").alias("found"))
+
+
+@query("""
+WITH b AS (SELECT event_id, user_id, event_type, value, CASE WHEN value < 30 THEN 'single pass and confidence < 30' END AS r1, CASE WHEN event_type = 'error' THEN 'edge or fragment' END AS r2 FROM events WHERE user_id % 3 <> 0)
+SELECT event_id, concat_ws('; ', r1, r2) AS reasons, CAST(row_number() OVER (PARTITION BY user_id ORDER BY user_id % 5 <> 0, value, event_type, event_id) AS INTEGER) AS place FROM b WHERE r1 IS NOT NULL OR r2 IS NOT NULL
+""")
+def q102_review_queue(t: Tables) -> DataFrame:
+    """What a person should look at, with reasons: marked rows first, then the least sure."""
+    single = t.events.where("user_id % 3 <> 0")
+    reasons = F.concat_ws("; ", F.when(F.col("value") < 30, "single pass and confidence < 30"), F.when(F.col("event_type") == "error", "edge or fragment"))
+    w = Window.partitionBy("user_id").orderBy(F.col("user_id") % 5 != 0, "value", "event_type", "event_id")
+    return single.withColumn("reasons", reasons).where("reasons <> ''").select("event_id", "reasons", F.row_number().over(w).alias("place"))
+
+
+@query("""
+WITH p AS (SELECT p_brand AS sheet, p_name || ' ' || p_size AS name, p_partkey * 37 % 1000 AS x, p_partkey * 91 % 1000 AS y FROM part), u AS (SELECT sheet, name, min(x) AS x, min(y) AS y FROM p GROUP BY 1, 2 HAVING count(*) = 1)
+SELECT a.sheet AS a, b.sheet AS b, count(*) AS names, CAST(median(b.x - a.x) AS DOUBLE) AS dx, CAST(median(b.y - a.y) AS DOUBLE) AS dy FROM u a JOIN u b USING (name) WHERE a.sheet < b.sheet GROUP BY 1, 2 HAVING count(*) >= 2
+""")
+def q103_sheet_alignment(t: Tables) -> DataFrame:
+    """Offsets between sheets from the names that each has once; repeated names say nothing."""
+    k = F.col("p_partkey")
+    rows = t.part.select(F.col("p_brand").alias("sheet"), F.concat_ws(" ", "p_name", F.col("p_size").cast("string")).alias("name"), (k * 37 % 1000).alias("x"), (k * 91 % 1000).alias("y"))
+    unique = rows.groupBy("sheet", "name").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.count("*").alias("n")).where("n = 1")
+    a, b = (unique.select("name", *(F.col(c).alias(f"{side}{c}") for c in ("sheet", "x", "y"))) for side in "ab")
+    pairs = a.join(b, "name").where("asheet < bsheet")
+    offsets = pairs.groupBy(F.col("asheet").alias("a"), F.col("bsheet").alias("b")).agg(F.count("*").alias("names"), F.median(F.col("bx") - F.col("ax")).alias("dx"), F.median(F.col("by") - F.col("ay")).alias("dy"))
+    return offsets.where("names >= 2")
+
+
+@query("""
+WITH p AS (SELECT p_name AS key, string_split(p_name, ' ')[2] || ' ' || string_split(p_name, ' ')[1] AS alias, min(p_size) AS year, count(*) AS n FROM part GROUP BY 1, 2)
+SELECT a.key, a.n, a.year, count(b.key) AS links FROM p a LEFT JOIN (SELECT DISTINCT string_split(p_name, ' ')[2] AS tail, p_name AS key FROM part) b ON b.tail = string_split(a.key, ' ')[1] AND b.key <> a.key GROUP BY ALL
+""")
+def q104_threads(t: Tables) -> DataFrame:
+    """A thread for each name, and links to names that end as it begins; links never merge threads."""
+    word = lambda k: F.split("p_name", " ")[k]
+    threads = t.part.groupBy(F.col("p_name").alias("key"), word(0).alias("head")).agg(F.min("p_size").alias("year"), F.count("*").alias("n"))
+    ends = t.part.select(word(1).alias("head"), F.col("p_name").alias("other")).distinct()
+    linked = threads.join(ends, "head", "left")
+    return linked.groupBy("key", "n", "year").agg(F.count_if(F.col("other") != F.col("key")).alias("links"))
+
+
+@query("""
+WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag <> 'N' THEN l_suppkey END AS run, l_shipdate FROM lineitem), m AS (SELECT l_orderkey, arg_max(run, (l_shipdate, run)) AS latest FROM r WHERE run IS NOT NULL GROUP BY 1)
+SELECT l_orderkey, latest, count(*) FILTER (WHERE run = latest) AS of_run, count_if(run IS NULL) AS without FROM r LEFT JOIN m USING (l_orderkey) WHERE run IS NULL OR run = latest GROUP BY 1, 2
+""")
+def q105_latest_run(t: Tables) -> DataFrame:
+    """Rows of the latest run of each sheet, and those that no run has made."""
+    rows = t.lineitem.select("l_orderkey", F.when(F.col("l_returnflag") != "N", F.col("l_suppkey")).alias("run"), "l_shipdate")
+    latest = rows.where("run IS NOT NULL").groupBy("l_orderkey").agg(F.max_by("run", F.struct("l_shipdate", "run")).alias("latest"))
+    kept = rows.join(latest, "l_orderkey", "left").where("run IS NULL OR run = latest")
+    return kept.groupBy("l_orderkey", "latest").agg(F.count_if(F.col("run") == F.col("latest")).alias("of_run"), F.count_if(F.col("run").isNull()).alias("without"))
+
+
+@query("""
+WITH r AS (SELECT l_partkey, CAST(l_quantity AS BIGINT) AS box, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS rank FROM lineitem), u AS (SELECT l_partkey, box, min(rank) AS rank, count(*) AS n FROM r GROUP BY 1, 2)
+SELECT rank, count(*) AS kept, CAST(sum(n - 1) AS BIGINT) AS dropped, (SELECT count(*) FROM (SELECT l_partkey, box FROM u EXCEPT ALL SELECT DISTINCT l_partkey, box FROM r)) + (SELECT count(*) FROM (SELECT DISTINCT l_partkey, box FROM r EXCEPT ALL SELECT l_partkey, box FROM u)) AS lost FROM u GROUP BY 1
+""")
+def q106_reading_union(t: Tables) -> DataFrame:
+    """Readings of three sources united, identical ones once under the first source, and that nothing is lost."""
+    source = F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2)
+    rows = t.lineitem.select("l_partkey", F.col("l_quantity").cast("long").alias("box"), source.alias("rank"))
+    united = rows.groupBy("l_partkey", "box").agg(F.min("rank").alias("rank"), F.count("*").alias("n"))
+    own, every = united.select("l_partkey", "box"), rows.select("l_partkey", "box").distinct()
+    lost = own.exceptAll(every).union(every.exceptAll(own)).agg(F.count("*").alias("lost"))  # one row
+    return united.groupBy("rank").agg(F.count("*").alias("kept"), F.sum(F.col("n") - 1).alias("dropped")).crossJoin(F.broadcast(lost))
+
+
+@query("""
+SELECT event_id, CASE WHEN k IS NOT NULL AND k >= 50 THEN 'k=' || k || ';seen=' || event_type ELSE 'seen=' || event_type END AS props FROM (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+""")
+def q107_one_key_update(t: Tables) -> DataFrame:
+    """One key of a JSON object set and another removed by a rule, the rest left as it is."""
+    own = F.from_json("props", "map<string,string>")
+    small = F.map_filter(own, lambda k, v: (k != "k") | (v.cast("long") >= 50))
+    updated = F.map_concat(small, F.create_map(F.lit("seen"), F.col("event_type")))
+    pairs = F.transform(F.map_entries(updated), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return t.events.select("event_id", F.array_join(F.array_sort(pairs), ";").alias("props"))
+
+
+@query("""
+WITH s AS (SELECT p_partkey, 1000 + p_size * 100 AS w, 800 + p_size * 60 AS h FROM part), c AS (SELECT *, unnest(range(512, 2049, 256)) AS tile FROM s),
+k AS (SELECT *, CAST(ceil(w / tile) * ceil(h / tile) AS BIGINT) AS tiles FROM c)
+SELECT p_partkey, tile, tiles, tiles * tile * tile - w * h AS waste FROM k QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY tiles > 12, tiles * tile * tile - w * h, tile DESC) = 1
+""")
+def q108_tile_size(t: Tables) -> DataFrame:
+    """The tile size for each sheet: few enough tiles, then the least waste, then the larger."""
+    w, h, tile = (F.lit(1000) + F.col("p_size") * 100).cast("long"), (F.lit(800) + F.col("p_size") * 60).cast("long"), F.col("tile")
+    rows = t.part.select("p_partkey", w.alias("w"), h.alias("h"), F.explode(F.sequence(F.lit(512).cast("long"), F.lit(2048).cast("long"), F.lit(256).cast("long"))).alias("tile"))
+    tiles = F.ceil(F.col("w") / tile) * F.ceil(F.col("h") / tile)
+    rows = rows.withColumn("tiles", tiles).withColumn("waste", tiles * tile * tile - F.col("w") * F.col("h"))
+    best = rows.groupBy("p_partkey").agg(F.min(F.struct((F.col("tiles") > 12).alias("many"), "waste", F.negative("tile").alias("size"), "tiles")).alias("b"))
+    return best.select("p_partkey", F.negative("b.size").alias("tile"), "b.tiles", "b.waste")
+
+
+@query("WITH r AS (SELECT substr('ABCDEFGHJK', CAST(p_partkey % 10 AS INTEGER) + 1, 1) AS letter, p_size AS a, p_size + 1 + p_partkey % 3 AS b FROM part) SELECT letter || n AS ref, count(*) AS n FROM (SELECT letter, unnest([a, b]) AS n FROM r) GROUP BY 1")
+def q109_reference_expansion(t: Tables) -> DataFrame:
+    """Short references to several cells, one row for each cell."""
+    k = F.col("p_partkey")
+    ref = F.concat(F.substring(F.lit("ABCDEFGHJK"), (k % 10 + 1).cast("int"), F.lit(1)), F.col("p_size").cast("string"), F.lit(","), (F.col("p_size") + 1 + k % 3).cast("string"))
+    return t.part.select(F.explode(labels.expanded_references(ref)).alias("ref")).groupBy("ref").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH k AS (SELECT {_CORE} AS key, {_PRINTED} AS name FROM part), c AS (SELECT key, name, count(*) AS n FROM k GROUP BY 1, 2), h AS (SELECT key, name AS canonical FROM c QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, name) = 1)
+SELECT name, canonical, name <> canonical AS redirect, n FROM c JOIN h USING (key)
+""")
+def q110_place_resolve(t: Tables) -> DataFrame:
+    """Each spelling of a place with its canonical one, to which the others are redirected."""
+    spelled = t.part.select(text.core_key(printed()).alias("key"), printed().alias("name"))
+    counts = spelled.groupBy("key", "name").agg(F.count("*").alias("n"))
+    heads = rollup.most_frequent(spelled, ["key"], "name").withColumnRenamed("name", "canonical")
+    return counts.join(heads, "key").select("name", "canonical", (F.col("name") != F.col("canonical")).alias("redirect"), "n")
+
+
+@query("""
+WITH a AS (SELECT s_suppkey, CAST(s_suppkey * 31 % 900 AS DOUBLE) AS ax, CAST(s_suppkey * 57 % 900 AS DOUBLE) AS ay FROM supplier), b AS (SELECT c_custkey, CAST(c_custkey * 37 % 900 AS DOUBLE) AS bx, CAST(c_custkey * 91 % 900 AS DOUBLE) AS b_y, 10 + c_custkey % 70 AS scale FROM customer),
+o AS (SELECT s_suppkey, c_custkey, scale, greatest(0, least(ax + 60, bx + 120) - greatest(ax, bx)) * greatest(0, least(ay + 60, b_y + 80) - greatest(ay, b_y)) / 3600 AS coverage FROM a, b WHERE scale <= 40)
+SELECT s_suppkey, c_custkey, scale, round(coverage, 6) AS coverage FROM o WHERE coverage >= 0.3 QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY scale, coverage DESC, c_custkey) <= 3
+""")
+def q111_area_selection(t: Tables) -> DataFrame:
+    """For each area the three finest sheets that cover enough of it."""
+    s, c = F.col("s_suppkey"), F.col("c_custkey")
+    a = t.supplier.select("s_suppkey", (s * 31 % 900).cast("double").alias("ax"), (s * 57 % 900).cast("double").alias("ay"), F.lit(60.0).alias("aw"), F.lit(60.0).alias("ah"))
+    b = t.customer.select("c_custkey", (10 + c % 70).alias("scale"), (c * 37 % 900).cast("double").alias("bx"), (c * 91 % 900).cast("double").alias("by"), F.lit(120.0).alias("bw"), F.lit(80.0).alias("bh")).where("scale <= 40")
+    shared = (F.least(F.col("ax") + 60, F.col("bx") + 120) - F.greatest("ax", "bx")) * (F.least(F.col("ay") + 60, F.col("by") + 80) - F.greatest("ay", "by")) / 3600
+    rows = spatial.overlapping_boxes(a, b, 100.0).withColumn("coverage", shared).where("coverage >= 0.3")
+    first = rank.slice_groups(rows, ["s_suppkey"], ["scale", F.desc("coverage"), F.col("c_custkey")], 3)
+    return first.select("s_suppkey", "c_custkey", "scale", F.round("coverage", 6).alias("coverage"))
+
+
+@query("""
+WITH v AS (SELECT coalesce(nullif(trim(source), ''), '(none)') AS value FROM documents) SELECT 'source' AS column_, value, count(*) AS n FROM v GROUP BY 2
+UNION ALL SELECT 'tag', unnest([lang, source[1:4], lang]), count(*) FROM documents GROUP BY 2
+""")
+def q112_tallies(t: Tables) -> DataFrame:
+    """Counts by a column with blanks under a name, and by the entries of an array column."""
+    own = rollup.tally(t.documents, "source", "(none)").select(F.lit("source").alias("column_"), "value", "n")
+    tags = t.documents.select(F.explode(F.array("lang", F.substring("source", 1, 4), "lang")).alias("value"))
+    return own.union(rollup.tally(tags, "value").select(F.lit("tag"), "value", "n"))
+
+
+@query("""
+WITH b AS (SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_custkey * 37 % 1000 - 20 END AS x, c_custkey * 91 % 1000 AS y, c_custkey % 50 - 3 AS w, CAST(c_custkey % 40 AS DOUBLE) / 40 AS confidence, c_mktsegment FROM customer)
+SELECT c_custkey, greatest(x, 0) AS x, y, least(x + w, 950) - greatest(x, 0) AS w FROM b WHERE x IS NOT NULL AND w > 0 AND least(x + w, 950) > greatest(x, 0) AND confidence >= greatest(CASE c_mktsegment WHEN 'BUILDING' THEN 0.5 WHEN 'MACHINERY' THEN 0.2 ELSE 0.0 END, 0.1)
+""")
+def q113_sanitised_boxes(t: Tables) -> DataFrame:
+    """Boxes cut to the sheet, broken ones dropped, and a floor of confidence for each category."""
+    k = F.col("c_custkey")
+    rows = t.customer.select("c_custkey", F.when(k % 6 != 0, k * 37 % 1000 - 20).alias("x"), (k * 91 % 1000).alias("y"), (k % 50 - 3).alias("w"), ((k % 40) / 40).alias("confidence"), "c_mktsegment")
+    floors = F.coalesce(F.try_element_at(F.create_map(F.lit("BUILDING"), F.lit(0.5), F.lit("MACHINERY"), F.lit(0.2)), F.col("c_mktsegment")), F.lit(0.0))
+    low, high = F.greatest(F.col("x"), F.lit(0)), F.least(F.col("x") + F.col("w"), F.lit(950))
+    whole = rows.where(F.col("x").isNotNull() & (F.col("w") > 0) & (high > low) & (F.col("confidence") >= F.greatest(floors, F.lit(0.1))))
+    return whole.select("c_custkey", low.alias("x"), "y", (high - low).alias("w"))
+
+
+_METRE_X, _METRE_Y = 111320.0, 110574.0
+
+
+@query(f"""
+WITH c AS (SELECT c_custkey, {_LNG} AS lng, {_LAT} AS lat FROM customer), n AS (SELECT *, lead(lng) OVER w AS lng2, lead(lat) OVER w AS lat2 FROM c JOIN (SELECT c_custkey, c_nationkey FROM customer) USING (c_custkey) WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey))
+SELECT c_custkey, round(sqrt(((lng2 - lng) * {_METRE_X} * cos(radians(lat))) ** 2 + ((lat2 - lat) * {_METRE_Y}) ** 2), 1) AS metres FROM n WHERE lng2 IS NOT NULL
+""")
+def q114_plane_metres(t: Tables) -> DataFrame:
+    """Metres on a plane that touches the ground at the first point."""
+    rows = _customers(t).join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey")
+    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    rows = rows.withColumn("lng2", F.lead("lng").over(w)).withColumn("lat2", F.lead("lat").over(w)).where("lng2 IS NOT NULL")
+    return rows.select("c_custkey", F.round(geo.plane_metres(F.col("lng"), F.col("lat"), F.col("lng2"), F.col("lat2")), 1).alias("metres"))
+
+
+@query("""
+WITH b AS (SELECT p_partkey, radians((p_partkey * 7 % 180) - 90)::DOUBLE AS a, 40.0::DOUBLE + p_size AS w, 30.0::DOUBLE AS h FROM part)
+SELECT p_partkey, round(abs(w * cos(a)) + abs(h * sin(a)), 6) AS width, round(abs(w * sin(a)) + abs(h * cos(a)), 6) AS height, round(4 * pi() * w * h / (4 * (w + h) * (w + h)), 6) AS compactness FROM b
+""")
+def q115_turned_boxes(t: Tables) -> DataFrame:
+    """The upright box around a turned one, from its corners, and how compact it is."""
+    k = F.col("p_partkey")
+    corners = geo.turned_box(F.lit(0.0), F.lit(0.0), F.lit(40.0) + F.col("p_size"), F.lit(30.0), (k * 7 % 180 - 90).cast("double"))
+    rows = t.part.select("p_partkey", corners.alias("ring"))
+    span = lambda axis: F.array_max(F.transform("ring", lambda p: p[axis])) - F.array_min(F.transform("ring", lambda p: p[axis]))
+    return rows.select("p_partkey", F.round(span("x"), 6).alias("width"), F.round(span("y"), 6).alias("height"), F.round(geo.compactness(F.col("ring")), 6).alias("compactness"))

@@ -100,8 +100,8 @@ def q25_quota_tumbling(t: Tables) -> DataFrame:
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS recent FROM events")
 def q26_sliding_cap(t: Tables) -> DataFrame:
     """Events of the same user in the six hours before each."""
-    t.events.createOrReplaceTempView("_sliding_events")
-    return t.spark.sql("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS recent FROM _sliding_events")
+    recent = F.expr("count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)")
+    return t.events.select("event_id", recent.alias("recent"))
 
 
 _GAPS = """

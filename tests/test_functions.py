@@ -13,23 +13,17 @@ def one(spark, column, **values):
     return row.select(column).first()[0]
 
 
-@pytest.mark.parametrize(("word", "folded"), [("ĐƯỜNG", "duong"), ("Đông", "dong"), ("Huế", "hue"), ("Cœur", "coeur"), ("Straße", "strasse"), ("MARCHÉ", "marche"), (None, None), ("", "")])
+@pytest.mark.parametrize(("word", "folded"), [("ĐƯỜNG", "duong"), ("Đông", "dong"), ("Ðông", "dong"), ("Hue\u0302\u0301", "hue"), ("Huế", "hue"), ("Cœur", "coeur"), ("Straße", "strasse"), ("MARCHÉ", "marche"), (None, None), ("", "")])
 def test_fold(spark, word, folded):
     assert one(spark, text.fold(F.col("t")), t=word) == folded
 
 
-@pytest.mark.parametrize(("name", "core"), [("Đại Lộ Lê Lợi", "dai lo le loi"), ("Rue Catinat", "catinat"), ("Chợ Lớn", "cho lon"), ("Rue de la Paix", "la paix"), ("Quai des Belges", "belges"), ("  ", None)])
+@pytest.mark.parametrize(("name", "core"), [("Đại Lộ Lê Lợi", "dai lo le loi"), ("Rue Catinat", "catinat"), ("Chợ Lớn", "cho lon"), ("Rue de la Paix", "paix"), ("Vge de Khánh Hội", "khanh hoi"), ("R. Catinat", "catinat"), ("Pont Tournant de", "tournant"), ("Quai des Belges", "belges"), ("  ", None)])
 def test_core_key(spark, name, core):
     got = one(spark, text.core_key(F.col("t")), t=name)
     assert got == core
 
 
-def test_label_core_strips_one_prefix(spark):
-    assert one(spark, text.label_core(F.col("t")), t="Rạch Bến Nghé") == "ben nghe"
-    assert one(spark, text.label_core(F.col("t")), t="Đại Lộ Lê Lợi") == one(spark, text.label_core(F.col("t")), t="Lê Lợi") == "le loi"
-    assert one(spark, text.label_core(F.col("t")), t="Đường") == ""
-
-
 def test_slug(spark):
     assert one(spark, text.slug(F.col("t")), t="  Plan de Huế -- 1923! ") == "plan-de-hue-1923"
     assert one(spark, F.length(text.slug(F.col("t"))), t="a" * 200) == 80
