@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import stats
 from tessera.operators import rollup, state
 from tessera.plans.registry import Tables, query
 
