@@ -239,8 +239,8 @@ def _possible(percent: int) -> Column:
     return close & (F.col("met") >= F.least("al", "bl")) & (F.col("met") >= needed - F.greatest(*share))
 
 
-def _in_both_prefixes(percent: int) -> Column:
-    """Whether a shared item counts for a pair of these sizes.
+def _in_prefix(place: str, size: str, percent: int) -> Column:
+    """Whether a shared item's place in a set of `size` items counts for a pair of an and bn items.
 
     Two sets must share o = ceil(t / (1 + t) * (|a| + |b|)) items, so at least
     one of the first |a| - o + 1 and |b| - o + 1.  For sets of about one size
@@ -248,32 +248,28 @@ def _in_both_prefixes(percent: int) -> Column:
     many near copies has fill it, and what has drifted too far meets nothing.
     """
     needed = F.ceil(percent * (F.col("an") + F.col("bn")) / (100 + percent))
-    room = [F.col(n) - needed + 1 for n in ("an", "bn")]
-    close = 100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")
-    return close & (F.col("ap") < room[0]) & (F.col("bp") < room[1])
-
-
-def _room(own: Column, partner: Column, percent: int) -> Column:
-    """No item of a set of `own` items counts from this place on for partners of `partner` items or more."""
-    return (100 * own - percent * partner) / (100.0 + percent) + 1.001
+    return F.col(place) < F.col(size) - needed + 1
 
 
-def _components_may_meet(percent: int) -> Column:
-    """The same for two components on an item, from the ranges of their sizes and their least places."""
-    c = F.col
-    close = (100 * c("a_high") >= percent * c("b_low")) & (100 * c("b_high") >= percent * c("a_low"))
-    return (c("a_label") < c("b_label")) & close & (c("a_p") < _room(c("a_high"), c("b_low"), percent)) & (c("b_p") < _room(c("b_high"), c("a_low"), percent))
+def _in_both_prefixes(percent: int) -> Column:
+    """Whether a shared item counts for a pair of these sizes, which must be close enough."""
+    close = 100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")
+    return close & _in_prefix("ap", "an", percent) & _in_prefix("bp", "bn", percent)
 
 
 def _crossing_pairs(items: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that meet on an item within the prefixes that their sizes call for."""
-    ends = stored(items.groupBy("item", "label").agg(F.min("place").alias("p"), F.min("n").alias("low"), F.max("n").alias("high")), "item-components")
-    one, two = (ends.select("item", *(F.col(c).alias(f"{side}_{c}") for c in ("label", "p", "low", "high"))) for side in "ab")
-    meeting = one.join(two, "item").where(_components_may_meet(percent)).select("item", "a_label", "b_label", "b_low")
-    left = items.select("item", F.col("node").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("label").alias("a_label"))
-    right = items.select("item", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("place").alias("bp"), F.col("label").alias("b_label"))
-    own = meeting.join(left, ["item", "a_label"]).where((100 * F.col("an") >= percent * F.col("b_low")) & (F.col("ap") < _room(F.col("an"), F.col("b_low"), percent)))
-    return own.drop("b_low").join(right, ["item", "b_label"]).where(_in_both_prefixes(percent)).select("a", "b").distinct()
+    """Pairs (a, b) of different components that meet on an item within the prefixes that their sizes call for.
+
+    The documents of a component that are of one size meet others by the least of
+    their places, so every row of either join belongs to a pair that is returned:
+    a large component costs nothing for what comes near it without meeting it.
+    """
+    ends = stored(items.groupBy("item", "label", "n").agg(F.min("place").alias("p")), "item-components")
+    one, two = (ends.select("item", F.col("label").alias(f"{side}_label"), F.col("n").alias(f"{side}n"), F.col("p").alias(f"{side}p")) for side in "ab")
+    meeting = one.join(two, "item").where((F.col("a_label") < F.col("b_label")) & _in_both_prefixes(percent)).drop("ap", "bp")
+    left, right = (items.select("item", F.col("label").alias(f"{side}_label"), F.col("n").alias(f"{side}n"), F.col("node").alias(side), F.col("place").alias(f"{side}p")) for side in "ab")
+    own = meeting.join(left, ["item", "a_label", "an"]).where(_in_prefix("ap", "an", percent))
+    return own.join(right, ["item", "b_label", "bn"]).where(_in_prefix("bp", "bn", percent)).select("a", "b").distinct()
 
 
 def _sets(width: int, wanted):
