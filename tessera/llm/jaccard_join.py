@@ -16,7 +16,11 @@ prefix items as the smaller l of its two documents before it is verified.
    one partner per round only, the pivot it shares most prefix items with, which
    joins large groups of near copies at a cost in proportion to their size.  An
    item's pivot is the document in which fewest items come before it, so the one
-   with least of its own, and in later rounds any.  The
+   with least of its own, and in the second round any.  Then documents on items
+   that many components hold try partners of one such item, twice as many in
+   every round, until a round links nothing: a large group takes in its
+   stragglers after a number of tries that depends on how many of its documents
+   they are similar to, not on its size.  The
    last round takes every remaining pair across the components found so far.
    Pairs meet there on the shortest prefixes that their two sizes call for, so
    that documents that have drifted apart mostly don't; then all shared items of
@@ -30,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import textblocks as tb
@@ -46,8 +50,8 @@ BLOCK = 1 << 18
 SKETCH_BITS = 20
 PART = 4096
 MOST_LEVEL = 4
-#: Pivot rounds for all prefix items, and further ones, while they link anything, for items in more than CROWD components.
-LEAST_ROUNDS, MOST_ROUNDS, CROWD = 2, 6, 32
+#: Pivot rounds for all prefix items; then the partners tried in each further round, for items in more than CROWD components.
+PIVOT_ROUNDS, TRIES, CROWD = 2, (8, 16, 32, 64), 32
 
 
 def shingle_sets(block: tb.Block, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -314,6 +318,17 @@ def _by_prefixes(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     return joined.where(_possible(percent)).select("a", "b")
 
 
+def _tries(turn: DataFrame, number: int, tries: int) -> DataFrame:
+    """Pairs (a, b) of different components: every document with `tries` documents of one of its items, both drawn by hashes."""
+    drawn = F.xxhash64(F.col("node"), F.lit(number))
+    first = Window.partitionBy("item").orderBy(drawn, "node")
+    partners = turn.select("item", F.col("node").alias("other"), F.col("label").alias("other_label"), F.row_number().over(first).alias("k")).where(F.col("k") <= tries)
+    at = F.min_by(F.struct("item", "label"), F.xxhash64("item", "node", F.lit(number))).alias("at")
+    own = turn.groupBy("node").agg(at).select("node", "at.item", "at.label")
+    met = own.join(partners, "item").where("label <> other_label")
+    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
 def _with_labels(prefixes: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return prefixes.withColumn("label", F.col("node"))
@@ -358,10 +373,9 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5, doc_i
     found: DataFrame | None = None
     labels: DataFrame | None = None
     labelled = single.withColumn("label", F.col("node"))
-    turn, idle = labelled, 0
-    for number in range(MOST_ROUNDS):
+    for number in range(PIVOT_ROUNDS):
         rank = F.struct("place", "node") if number == 0 else F.struct(F.xxhash64(F.col("node"), F.lit(number)).alias("place"), "node")
-        ordered = turn.select("item", "node", "label", "n", "level", rank.alias("rank")).repartition(parts, "item").sortWithinPartitions("item", "rank").drop("rank")
+        ordered = labelled.select("item", "node", "label", "n", "level", rank.alias("rank")).repartition(parts, "item").sortWithinPartitions("item", "rank").drop("rank")
         met = ordered.mapInArrow(_pivots, "a long, b long, an int, bn int, al byte, bl byte").groupBy("a", "b", "an", "bn", "al", "bl").agg(F.count("*").alias("met"))
         best = met.where(_possible(percent)).groupBy("b").agg(F.max(F.struct("met", F.negative("a").alias("a"))).alias("best"))
         best = stored(best.select(F.negative("best.a").alias("a"), "b"), "pairs")
@@ -370,17 +384,23 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5, doc_i
             found = links if found is None else found.unionByName(links)
             labels = connected_components(found)
             labelled = stored(_with_labels(single, labels), "prefixes-labelled")
-            idle = 0
-        else:
-            idle += 1  # the pivots of one round may be outsiders
-        if number + 1 >= LEAST_ROUNDS:
-            if idle == 2:
-                break
-            # Further rounds are for items that many components hold: there the last round's pairs would grow with their square.
-            crowded = stored(labelled.groupBy("item", "label").count().groupBy("item").count().where(F.col("count") > CROWD).select("item"), "crowded-items")
-            if crowded.isEmpty():
-                break
-            turn = stored(labelled.join(crowded, "item"), "crowded-prefixes")
+
+    # Items that many components hold: there the last round's pairs would grow with their square.
+    own_sets: DataFrame | None = None
+    for number, tries in enumerate(TRIES, PIVOT_ROUNDS):
+        crowded = labelled.groupBy("item", "label").count().groupBy("item").count().where(F.col("count") > CROWD).select("item")
+        turn = stored(labelled.join(stored(crowded, "crowded-items"), "item"), "crowded-prefixes")
+        if turn.isEmpty():
+            break
+        pairs = stored(_by_prefixes(stored(_tries(turn, number, tries), "pairs"), turn, percent), "pairs")
+        if own_sets is None:  # components only grow together, so later rounds have no other documents
+            own_sets = _sets_of(rows, turn.select(F.col("node").alias("a"), F.col("node").alias("b")).distinct(), width)
+        links = stored(_verified(pairs, own_sets, percent), "links")
+        if links.isEmpty():
+            break
+        found = links if found is None else found.unionByName(links)
+        labels = connected_components(found)
+        labelled = stored(_with_labels(single, labels), "prefixes-labelled")
 
     spread = labelled.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("item")
     open_items = stored(labelled.join(stored(spread, "open"), "item"), "open-items")
