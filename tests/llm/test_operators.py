@@ -241,6 +241,23 @@ def test_many_near_copies_with_stragglers(spark):
     assert got == brute_components(texts)
 
 
+def test_stragglers_of_a_group_without_a_centre(spark, monkeypatch):
+    """Most pairs of a group share items but aren't similar: rounds of drawn partners and the last round leave no link out."""
+    rng = random.Random(4)
+    texts = []
+    for i in range(90):
+        own = [f"b{k}" for k in range(150)]
+        for at in rng.sample(range(0, 150, 12), 3):
+            own[at] = f"m{i}x{at}"
+        texts.append((i, " ".join(own)))
+    tried = []
+    tries = jaccard_join._tries
+    monkeypatch.setattr(jaccard_join, "CROWD", 4)
+    monkeypatch.setattr(jaccard_join, "_tries", lambda turn, number, n: tried.append(n) or tries(turn, number, n))
+    got = by_id(jaccard_join.similar_components(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)), "n_shingles", "component_id")
+    assert got == brute_components(texts) and tried
+
+
 def test_components_of_long_chains(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 200), (200, 150)]
     labels = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
