@@ -99,8 +99,20 @@ def test_components_of_a_path_and_a_star(spark):
     assert all(labels[k] == 0 for k in range(41)) and all(labels[100 + k] == 100 for k in range(30))
 
 
+def test_components_take_few_rounds(spark, monkeypatch):
+    """A chain of 10,000 shuffled nodes, whose diameter a round for each step would follow."""
+    import random
+
+    nodes = random.Random(4).sample(range(1, 10**6), 10_000)
+    rounds, pick = [], resolve._first_of_neighbours
+    monkeypatch.setattr(resolve, "_first_of_neighbours", lambda edges, number: rounds.append(number) or pick(edges, number))
+    labels = resolve.components(spark.createDataFrame(list(zip(nodes, nodes[1:], strict=False)), "a long, b long"))
+    assert labels.count() == 10_000 and {r["label"] for r in labels.select("label").distinct().collect()} == {min(nodes)}
+    assert len(rounds) <= 20
+
+
 def test_radius_join_equals_brute_force(spark):
-    points = spark.range(0, 300).select("id", (F.rand(3) * 0.2 + 105).alias("lng"), (F.rand(4) * 0.2 + 10).alias("lat")).localCheckpoint()
+    points = spark.range(0, 300).select("id", (F.rand(3) * 0.2 + 105).alias("lng"), (F.rand(4) * 0.2 + 10).alias("lat")).cache()
     centres = points.where("id % 10 = 0").select(F.col("id").alias("c"), F.col("lng").alias("c_lng"), F.col("lat").alias("c_lat"))
     from tessera.functions.geo import haversine
 
