@@ -1,27 +1,52 @@
-"""Connected components of an edge table, by minimum labels and pointer jumping."""
+"""Connected components of an edge table, by contraction: the rounds grow with the logarithm of the nodes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import stored
+from tessera.llm.shared import dropped, stored
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the edges (a, b): label is its component's smallest node.
 
-    Each round takes the least label among neighbours and then the label of
-    that label, and is written to the shared folder; nothing but the number of
-    changed labels reaches the driver.
+    In each round every node points to the first of itself and its neighbours, pointers are doubled until they end
+    at roots, and the edges between roots are the next round's.  The first round's order is the nodes' own, which
+    settles stars around small nodes and sorted chains at once; later ones draw a new order by hashes, in which at
+    least half of all nodes with edges are expected to point elsewhere, whatever the graph's diameter is.  Every
+    step is written to the shared folder; the driver only learns whether edges are left.
     """
-    both = stored(edges.select("a", "b").where("a <> b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        lower = stored(labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "near").alias("label"), F.col("label").alias("was")), "labels")
-        up = lower.select(F.col("node").alias("via"), F.col("label").alias("next"))
-        moved = stored(lower.join(up, lower["label"] == up["via"]).select("node", F.col("next").alias("label"), (F.col("next") != F.col("was")).alias("moved")), "labels")
-        labels = moved.select("node", "label")
-        if moved.where("moved").isEmpty():
-            return labels
+    rest = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    rounds: list[DataFrame] = []
+    while not rounds or not rest.isEmpty():
+        pointers = stored(_pointers(rest, len(rounds)), "pointers")
+        while not pointers.where("moves").isEmpty():
+            up = pointers.select(F.col("node").alias("via"), F.col("goes").alias("next"))
+            doubled = pointers.join(up, pointers["goes"] == up["via"]).select("node", F.col("next").alias("goes"), (F.col("next") != F.col("goes")).alias("moves"))
+            doubled = stored(doubled, "pointers")
+            dropped(pointers)
+            pointers = doubled
+        rounds.append(pointers)
+        one, two = (pointers.select(F.col("node").alias(f"_{c}"), F.col("goes").alias(f"{c}_root")) for c in "ab")
+        roots = rest.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b")).where("a_root <> b_root")
+        between = stored(roots.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), "edges")
+        dropped(rest)
+        rest = between
+    labels = rounds[-1].select("node", F.col("goes").alias("label"))
+    for pointers in reversed(rounds[:-1]):
+        up = labels.select(F.col("node").alias("via"), F.col("label").alias("top"))
+        labels = stored(pointers.join(up, pointers["goes"] == up["via"], "left").select("node", F.coalesce("top", "goes").alias("label")), "labels")
+    if len(rounds) == 1:  # pointers that only fall end at the smallest
+        return labels
+    least = labels.groupBy(F.col("label").alias("top")).agg(F.min("node").alias("least"))
+    return stored(labels.join(least, labels["label"] == least["top"]).select("node", F.col("least").alias("label")), "labels")
+
+
+def _pointers(edges: DataFrame, number: int) -> DataFrame:
+    """Where each node points, and whether what it points to may point on."""
+    both = edges.union(edges.select("b", "a"))
+    ranked = [F.col(c) if number == 0 else F.struct(F.xxhash64(F.col(c), F.lit(number)).alias("h"), F.col(c).alias("id")) for c in ("a", "b")]
+    first = both.select("a", ranked[0].alias("own"), ranked[1].alias("near")).groupBy("a").agg(F.min(F.least("own", "near")).alias("first"))
+    goes = F.col("first") if number == 0 else F.col("first.id")
+    return first.select(F.col("a").alias("node"), goes.alias("goes"), (goes != F.col("a")).alias("moves"))

@@ -15,7 +15,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jaccard_join, langid, suffix_dedup, token_store
+from tessera.llm import bpe, components, jaccard_join, langid, suffix_dedup, token_store
 from tessera.llm.components import connected_components
 from tessera.llm.decontaminate import contamination, drop_contaminated
 from tessera.llm.exact_dedup import drop_copies, exact_groups, plan_directory
@@ -264,6 +264,16 @@ def test_components_of_long_chains(spark):
     assert labels == {k: 0 for k in range(61)} | {100: 100, 150: 100, 200: 100}
 
 
+def test_components_take_few_rounds(spark, monkeypatch):
+    nodes = random.Random(4).sample(range(1, 10**6), 3000)
+    rounds, pick = [], components._pointers
+    monkeypatch.setattr(components, "_pointers", lambda edges, number: rounds.append(number) or pick(edges, number))
+    edges = [*zip(nodes, nodes[1:], strict=False), *((-5, -k) for k in range(6, 300))]
+    labels = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert labels == dict.fromkeys(nodes, min(nodes)) | dict.fromkeys([-5, *range(-299, -5)], -299) and len(rounds) <= 16
+    assert connected_components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
 # suffix dedup
 
 def brute_repeats(texts, length):
