@@ -11,7 +11,9 @@ from tessera.llm.exact_dedup import exact_groups
 from tessera.llm.jaccard_join import similar_components
 from tessera.llm.langid import languages
 from tessera.llm.line_dedup import dedup_lines
+from tessera.llm.merkle import verified_manifest
 from tessera.llm.quality import quality_scores
+from tessera.llm.ranked_search import ranked_documents
 from tessera.llm.secret_scan import scan
 from tessera.llm.shared import new_path
 from tessera.llm.suffix_dedup import remove_repeats
@@ -77,7 +79,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op3_line_dedup, op4_jaccard_join, op5_secret_scan, op6_suffix_dedup, op7_quality, op8_language, op9_exact_dedup, op10_bpe)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified_manifest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op3_line_dedup, op4_jaccard_join, op5_secret_scan, op6_suffix_dedup, op7_quality, op8_language, op9_exact_dedup, op10_bpe, op11_ranked_search, op12_merkle_manifest)}
 
 OP1_SQL = r"""
 WITH words AS (
@@ -143,4 +153,60 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op6_suffix_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL}
+OP11_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+sizes AS (SELECT count(*) AS n_docs, sum(len(w)) AS n_terms FROM words WHERE len(w) > 0),
+asked AS (
+  SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY 1, 2),
+postings AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM words) SEMI JOIN asked USING (term) GROUP BY 1, 2, 3),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM postings, sizes GROUP BY term, n_docs),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term), sizes GROUP BY 1, 2)
+SELECT item_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0
+WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY rank <= 20
+"""
+
+
+def _field(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '-' ELSE octet_length(encode(CAST({x} AS VARCHAR))) || ':' || {x} END"
+
+
+_HEAD = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+OP12_SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS g, sha256({_HEAD} || {_field("text")}) AS leaf,
+    sha256({_HEAD} || {_field("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) AS lower_leaf FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+tree(g, level, i, n, digest) AS (
+  SELECT g, 0, i, n, leaf FROM placed
+  UNION ALL SELECT g, level + 1, i // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY g, level, n, i // 8),
+subroots AS (SELECT g, digest AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1),
+upper(level, i, n, digest) AS (
+  SELECT 0, i, n, subroot FROM subroots
+  UNION ALL SELECT level + 1, i // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY i)) FROM upper WHERE n > 1 GROUP BY level, n, i // 8),
+sides AS (
+  SELECT kind, g, level, i, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM (SELECT 0 AS kind, g, level, i, n, digest FROM tree UNION ALL SELECT 1, '', level, i, n, digest FROM upper) WHERE n > 1 WINDOW w AS (PARTITION BY kind, g, level, i // 8 ORDER BY i)),
+steps AS (
+  SELECT g, i, row_number() OVER (PARTITION BY g, i ORDER BY kind, level) AS k, before, after FROM (
+    SELECT p.g, p.i, kind, level, before, after FROM placed p JOIN sides s ON kind = 0 AND s.g = p.g AND s.i = p.i >> (3 * level)
+    UNION ALL SELECT p.g, p.i, kind, level, before, after FROM placed p JOIN subroots r ON r.g = p.g JOIN sides s ON kind = 1 AND s.i = r.i >> (3 * level))),
+proofs AS (SELECT g, i, sha256(string_agg(before || after, '' ORDER BY k)) AS proof_sha256 FROM steps GROUP BY g, i),
+crc AS (SELECT c, CAST(c AS BIGINT) AS x, 0 AS k FROM range(256) t(c) UNION ALL SELECT c, CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, k + 1 FROM crc WHERE k < 8),
+sums(doc_id, x, k) AS (
+  SELECT DISTINCT doc_id, 4294967295, 0 FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL SELECT s.doc_id, xor(s.x >> 8, crc.x), s.k + 1 FROM sums s JOIN crc ON crc.k = 8 AND c = xor(s.x & 255, ascii(substr(CAST(doc_id AS VARCHAR), s.k + 1, 1))) WHERE s.k < length(CAST(doc_id AS VARCHAR))),
+chosen AS (SELECT doc_id FROM sums WHERE k = length(CAST(doc_id AS VARCHAR)) AND xor(x, 4294967295) % 3 = 0),
+fold(g, i, k, digest) AS (
+  SELECT g, i, 0, CASE WHEN c.doc_id IS NULL THEN leaf ELSE lower_leaf END FROM placed p LEFT JOIN chosen c ON c.doc_id = p.doc_id
+  UNION ALL SELECT f.g, f.i, f.k + 1, sha256(before || digest || after) FROM fold f JOIN steps s ON s.g = f.g AND s.i = f.i AND s.k = f.k + 1),
+ends AS (SELECT g, i, arg_max(digest, k) AS folded_root FROM fold GROUP BY g, i)
+SELECT doc_id, leaf, subroot, u.digest AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = u.digest AS verified
+FROM placed p JOIN subroots r USING (g) JOIN upper u ON u.n = 1 LEFT JOIN proofs q ON q.g = p.g AND q.i = p.i JOIN ends e ON e.g = p.g AND e.i = p.i
+"""
+
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op6_suffix_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op11_ranked_search": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
