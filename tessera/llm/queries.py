@@ -15,6 +15,7 @@ from tessera.llm.merkle import verified_manifest
 from tessera.llm.quality import quality_scores
 from tessera.llm.ranked_search import ranked_documents
 from tessera.llm.secret_scan import scan
+from tessera.llm.setsketch import near_components
 from tessera.llm.shared import new_path
 from tessera.llm.suffix_dedup import remove_repeats
 
@@ -87,7 +88,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified_manifest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op3_line_dedup, op4_jaccard_join, op5_secret_scan, op6_suffix_dedup, op7_quality, op8_language, op9_exact_dedup, op10_bpe, op11_ranked_search, op12_merkle_manifest)}
+def op13_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_store, op3_line_dedup, op4_jaccard_join, op5_secret_scan, op6_suffix_dedup, op7_quality, op8_language, op9_exact_dedup, op10_bpe, op11_ranked_search, op12_merkle_manifest, op13_setsketch)}
 
 OP1_SQL = r"""
 WITH words AS (
@@ -133,6 +138,10 @@ labels AS (SELECT node, min(label) AS label FROM reach GROUP BY 1)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(label, d.doc_id) AS component_id FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN labels ON node = d.doc_id
 """
 
+OP13_SQL = OP4_SQL.replace("w[i : i + 4]", "w[i : i + 3]").replace("greatest(len(w) - 4, 1)", "greatest(len(w) - 3, 1)").replace(
+    "coalesce(label, d.doc_id) AS component_id", "coalesce(label, d.doc_id) AS component_id, coalesce(label, d.doc_id) = d.doc_id AS kept"
+)
+
 OP6_SQL = """
 WITH bytes AS (SELECT doc_id, encode(coalesce(text, '')) AS x FROM documents),
 windows AS (SELECT doc_id, i, hash(x[i : i + 399]) AS h FROM (SELECT doc_id, x, unnest(range(1, octet_length(x) - 398)) AS i FROM bytes WHERE octet_length(x) >= 400)),
@@ -209,4 +218,4 @@ SELECT doc_id, leaf, subroot, u.digest AS root, coalesce(proof_sha256, sha256(''
 FROM placed p JOIN subroots r USING (g) JOIN upper u ON u.n = 1 LEFT JOIN proofs q ON q.g = p.g AND q.i = p.i JOIN ends e ON e.g = p.g AND e.i = p.i
 """
 
-ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op6_suffix_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op11_ranked_search": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op6_suffix_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op11_ranked_search": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_setsketch": OP13_SQL}
