@@ -29,16 +29,16 @@ def stars(df: DataFrame, keys: list[str], step: str, id_: str) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): the smallest node of each connected component of the edges.
 
-    Every node points to the first of itself and its neighbours, pointers are doubled up to their roots, and the
-    edges between roots make the next, smaller graph.  First comes the nodes' own order, which settles stars and
-    sorted chains, then one drawn by hashes for each round, so the rounds grow with the logarithm of the nodes and
-    not with the diameter.  Steps are cut from their lineage by tables in the checkpoint folder.
+    Every node points to the smallest of itself and its neighbours, pointers are doubled up to their roots, and the
+    edges between roots make the next graph.  A root to which no neighbour points has a smaller neighbour there, so
+    two rounds at least halve the nodes, and the rounds don't follow the diameter.  Steps are cut from their lineage
+    by tables in the checkpoint folder.
     """
     rest = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     rest = shared.stored(rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     rounds: list[DataFrame] = []
     while not rounds or not rest.isEmpty():
-        roots = shared.stored(_first_of_neighbours(rest, len(rounds)))
+        roots = shared.stored(_smallest_neighbours(rest))
         while not roots.where("moves").isEmpty():
             up = roots.select(F.col("node").alias("via"), F.col("root").alias("next"))
             roots = shared.stored(roots.join(up, F.col("root") == F.col("via")).select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moves")))
@@ -47,22 +47,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         between = rest.join(near, F.col("u") == F.col("_u")).join(far, F.col("v") == F.col("_v")).where("u_root <> v_root")
         rest = shared.stored(between.select(F.least("u_root", "v_root").alias("u"), F.greatest("u_root", "v_root").alias("v")).distinct())
     labels = rounds[-1].select("node", F.col("root").alias("label"))
-    if len(rounds) == 1:  # in the nodes' own order pointers end at the smallest
-        return labels
     for roots in reversed(rounds[:-1]):
         up = labels.select(F.col("node").alias("via"), F.col("label").alias("top"))
         labels = shared.stored(roots.join(up, F.col("root") == F.col("via"), "left").select("node", F.coalesce("top", "root").alias("label")))
-    least = labels.groupBy(F.col("label").alias("top")).agg(F.min("node").alias("least"))
-    return labels.join(least, F.col("label") == F.col("top")).select("node", F.col("least").alias("label"))
+    return labels
 
 
-def _first_of_neighbours(edges: DataFrame, number: int) -> DataFrame:
-    """(node, root, moves): the first of each node and its neighbours, and whether that is another node."""
-    both = edges.union(edges.select("v", "u"))
-    order = {c: F.col(c) if number == 0 else F.struct(F.xxhash64(F.col(c), F.lit(number)).alias("h"), F.col(c).alias("id")) for c in "uv"}
-    first = both.select("u", F.least(order["u"], order["v"]).alias("first")).groupBy("u").agg(F.min("first").alias("first"))
-    root = F.col("first") if number == 0 else F.col("first.id")
-    return first.select(F.col("u").alias("node"), root.alias("root"), (root != F.col("u")).alias("moves"))
+def _smallest_neighbours(edges: DataFrame) -> DataFrame:
+    """(node, root, moves): the smallest of each node and its neighbours, and whether that is another node."""
+    first = edges.union(edges.select("v", "u")).groupBy("u").agg(F.min("v").alias("near"))
+    return first.select(F.col("u").alias("node"), F.least("u", "near").alias("root"), (F.col("near") < F.col("u")).alias("moves"))
 
 
 def survivors(df: DataFrame, labels: DataFrame, id_: str, better: list[Column]) -> DataFrame:

@@ -104,8 +104,8 @@ def test_components_take_few_rounds(spark, monkeypatch):
     import random
 
     nodes = random.Random(4).sample(range(1, 10**6), 10_000)
-    rounds, pick = [], resolve._first_of_neighbours
-    monkeypatch.setattr(resolve, "_first_of_neighbours", lambda edges, number: rounds.append(number) or pick(edges, number))
+    rounds, pick = [], resolve._smallest_neighbours
+    monkeypatch.setattr(resolve, "_smallest_neighbours", lambda edges: rounds.append(1) or pick(edges))
     labels = resolve.components(spark.createDataFrame(list(zip(nodes, nodes[1:], strict=False)), "a long, b long"))
     assert labels.count() == 10_000 and {r["label"] for r in labels.select("label").distinct().collect()} == {min(nodes)}
     assert len(rounds) <= 20
