@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import textblocks as tb
-from tessera.llm.components import connected_components
+from tessera.llm.components import merged_components
 from tessera.llm.shared import filter_bits, hash_filter, in_filter, stored
 
 #: Words are runs of anything but space and the ASCII controls from tab to carriage return.
@@ -329,6 +329,24 @@ def _tries(turn: DataFrame, number: int, tries: int) -> DataFrame:
     return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
+def _sketch_of(scanned: DataFrame) -> np.ndarray:
+    """The tasks' sketches summed up: in how many documents about an item of each counter occurs."""
+    parts = int(scanned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    summed = scanned.where("part IS NOT NULL").select("part", "counts").repartition(parts, "part").mapInArrow(_add_parts, "part int, counts binary")
+    sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+    for row in summed.collect():  # at most 4 bytes for each of 2**SKETCH_BITS counters
+        sketch[row["part"] * PART : (row["part"] + 1) * PART] = np.frombuffer(bytes(row["counts"]), "<u4")
+    return sketch
+
+
+def _shared_prefixes(rows: DataFrame, sketch: np.ndarray, width: int, percent: int) -> DataFrame:
+    """The prefix items of all documents that stand in more than one row; stored."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    prefixes = rows.where("doc_id IS NOT NULL").mapInArrow(_prefixes(spark.sparkContext.broadcast(sketch), width, percent), _PREFIX)
+    return stored(prefixes.repartition(parts, "item").sortWithinPartitions("item").mapInArrow(_shared_only, _PREFIX), "prefixes-shared")
+
+
 def _with_labels(prefixes: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return prefixes.withColumn("label", F.col("node"))
@@ -351,26 +369,20 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5, doc_i
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     scanned = stored(rows.mapInArrow(_scan(width), _SCANNED), "sets-scanned")
     sizes = scanned.where("part IS NULL").select("doc_id", "n", "h1", "h2")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    summed = scanned.where("part IS NOT NULL").select("part", "counts").repartition(parts, "part").mapInArrow(_add_parts, "part int, counts binary")
-    sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for row in summed.collect():  # at most 4 bytes for each of 2**SKETCH_BITS counters
-        sketch[row["part"] * PART : (row["part"] + 1) * PART] = np.frombuffer(bytes(row["counts"]), "<u4")
+    sketch = _sketch_of(scanned)
 
     # Equal sets: the smallest id stands for all.
     usable = sizes.where("n > 0 AND doc_id IS NOT NULL")
     groups = stored(usable.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "equal-sets")
     copies = stored(usable.join(groups, ["n", "h1", "h2"]).where("doc_id <> first").select(F.col("doc_id").alias("copy"), "first").distinct(), "copies")
 
-    prefixes = rows.where("doc_id IS NOT NULL").mapInArrow(_prefixes(spark.sparkContext.broadcast(sketch), width, percent), _PREFIX)
-    shared = prefixes.repartition(parts, "item").sortWithinPartitions("item").mapInArrow(_shared_only, _PREFIX)
-    shared = stored(shared, "prefixes-shared")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = _shared_prefixes(rows, sketch, width, percent)
     single = shared.join(copies, shared["node"] == copies["copy"], "left").select("item", F.coalesce("first", "node").alias("node"), "n", "level", "place")
     single = single.groupBy("item", "node").agg(*(F.min(c).alias(c) for c in ("n", "level", "place")))
     single = stored(single.repartition(parts, "item").sortWithinPartitions("item").mapInArrow(_shared_only, _PREFIX), "prefixes")
 
     edges = copies.select(F.col("copy").alias("a"), F.col("first").alias("b"))
-    found: DataFrame | None = None
     labels: DataFrame | None = None
     labelled = single.withColumn("label", F.col("node"))
     for number in range(PIVOT_ROUNDS):
@@ -381,8 +393,7 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5, doc_i
         best = stored(best.select(F.negative("best.a").alias("a"), "b"), "pairs")
         links = stored(_verified(best, _sets_of(rows, best, width), percent), "links")
         if not links.isEmpty():
-            found = links if found is None else found.unionByName(links)
-            labels = connected_components(found)
+            labels = merged_components(labels, links)
             labelled = stored(_with_labels(single, labels), "prefixes-labelled")
 
     # Items that many components hold: there the last round's pairs would grow with their square.
@@ -398,8 +409,7 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5, doc_i
         links = stored(_verified(pairs, own_sets, percent), "links")
         if links.isEmpty():
             break
-        found = links if found is None else found.unionByName(links)
-        labels = connected_components(found)
+        labels = merged_components(labels, links)
         labelled = stored(_with_labels(single, labels), "prefixes-labelled")
 
     spread = labelled.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("item")
@@ -407,10 +417,7 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5, doc_i
     pairs = stored(_crossing_pairs(open_items, percent), "pairs")
     pairs = stored(_by_prefixes(pairs, open_items, percent), "pairs")
     rest = stored(_verified(pairs, _sets_of(rows, pairs, width), percent), "links")
-    everything = edges.unionByName(rest)
-    if found is not None:
-        everything = everything.unionByName(found.select("a", "b"))
-    labels = connected_components(everything).select(F.col("node").alias("_node"), "label")
+    labels = merged_components(labels, edges.unionByName(rest)).select(F.col("node").alias("_node"), "label")
     return sizes.join(labels, sizes["doc_id"] == labels["_node"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
 
 

@@ -6,15 +6,16 @@
    union by taking the larger registers.  A shingle whose next value is too large for the smallest register is done.
 2. Equal sets are found by a 128-bit hash; one document stands for all.
 3. Bands of ROWS registers are hashed; documents that share a band value are candidates.  Two sets of a similarity of
-   0.8 have a register in common with a probability of 0.8, so at least three of BANDS bands but for one pair in two
-   million, and one band but for one in 600 million.
+   0.8 have a register in common with a probability of 0.8, and so one of BANDS bands but for one pair in 600 million.
 4. For a pair of candidates the registers in which either is larger and those that are equal have a likelihood at every
    similarity, given both sets' sizes.  A pair goes if the threshold is far less likely than the best estimate.
 5. What is left is verified on the documents' full sets.
 
 Links are found in rounds, so that a large group of near copies never meets in pairs: first every document is verified
-with one pivot, then documents on bands of many components with a few drawn partners, and last all pairs that share bands
-across the components found.
+with one pivot, then documents on bands of many components with drawn partners, and last all pairs that share bands
+across the components found.  Bands of many components, where such pairs would grow with their square, are left out of
+that: their documents meet on prefixes of their rarest shingles instead, which near copies that have drifted below the
+threshold don't share, and go through the same estimate and the same check.
 """
 
 from __future__ import annotations
@@ -27,20 +28,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import textblocks as tb
-from tessera.llm.components import connected_components
-from tessera.llm.jaccard_join import _sets_of, _shared_only, _sums, _tries, _verified, _with_labels, shingle_sets
+from tessera.llm.components import merged_components
+from tessera.llm.jaccard_join import _SCANNED, _by_prefixes, _crossing_pairs, _scan, _sets_of, _shared_only, _shared_prefixes, _sketch_of, _sums, _tries, _verified, _with_labels, shingle_sets
 from tessera.llm.shared import dropped, stored
 
 #: Registers (a power of two), the base and the rate of their values, and the largest untruncated one.
 REGISTERS, BASE, RATE, LIMIT = 256, 1.001, 20.0, (1 << 16) - 2
-#: Registers of a band; bands that a pair of the last round must share.
-ROWS, SHARED = 5, 3
+#: Registers of a band.
+ROWS = 5
 BANDS = REGISTERS // ROWS
 #: Difference of log likelihoods from which a pair goes: 5.5 standard deviations.
 UNLIKELY = 15.0
 BLOCK = 1 << 19
 #: Rounds of pivots; then the partners tried in each further round, for bands of more than CROWD components.
-PIVOT_ROUNDS, TRIES, CROWD = 2, (8, 16, 32, 64), 32
+PIVOT_ROUNDS, TRIES, CROWD = 2, (8, 16, 32), 8
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
@@ -193,12 +194,29 @@ def _pivot_pairs(labelled: DataFrame, number: int, percent: int) -> DataFrame:
 
 
 def _crossing(labelled: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of documents of different components that share SHARED bands."""
-    spread = labelled.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("item")
+    """(a, b): pairs of documents of different components that share a band of CROWD components at most."""
+    spread = labelled.groupBy("item", "label").count().groupBy("item").agg(F.count("*").alias("labels")).where(F.col("labels").between(2, CROWD)).select("item")
     own = stored(labelled.join(stored(spread, "sketch-open"), "item"), "sketch-open-bands")
     one, two = (own.select("item", F.col("node").alias(c), F.col("n").alias(f"{c}n"), F.col("label").alias(f"{c}_label")) for c in "ab")
     met = one.join(two, "item").where((F.col("a_label") < F.col("b_label")) & _close(percent))
-    return stored(met.groupBy("a", "b").agg(F.count("*").alias("met")).where(F.col("met") >= SHARED).select("a", "b"), "sketch-pairs")
+    return met.select("a", "b").distinct()
+
+
+def _crowded(labelled: DataFrame) -> DataFrame:
+    """The rows of bands of more than CROWD components; stored."""
+    many = labelled.groupBy("item", "label").count().groupBy("item").count().where(F.col("count") > CROWD).select("item")
+    return stored(labelled.join(stored(many, "crowded-bands"), "item"), "crowded-band-rows")
+
+
+def _rare_pairs(rows: DataFrame, crowded: DataFrame, labels: DataFrame | None, width: int, percent: int) -> DataFrame:
+    """(a, b): pairs of the documents of crowded bands, of different components, that meet on their rarest shingles."""
+    own = stored(rows.join(crowded.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text"), "crowded-texts")
+    counts = _sketch_of(stored(own.mapInArrow(_scan(width), _SCANNED), "sets-scanned"))
+    prefixes = _shared_prefixes(own, counts, width, percent).groupBy("item", "node").agg(*(F.min(c).alias(c) for c in ("n", "level", "place")))
+    labelled = stored(_with_labels(stored(prefixes, "prefixes"), labels), "prefixes-labelled")
+    spread = labelled.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("item")
+    items = stored(labelled.join(stored(spread, "open"), "item"), "open-items")
+    return _by_prefixes(stored(_crossing_pairs(items, percent), "pairs"), items, percent)
 
 
 def near_components(docs: DataFrame, percent: int = 80, width: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -224,17 +242,15 @@ def near_components(docs: DataFrame, percent: int = 80, width: int = 4, doc_id:
 
     bands = own.mapInArrow(_bands, _BAND)
     shared = stored(bands.repartition(parts, "item").sortWithinPartitions("item").mapInArrow(_shared_only, _BAND), "sketch-bands")
-    found: DataFrame | None = None
     labels: DataFrame | None = None
     labelled = shared.withColumn("label", F.col("node"))
 
     def take(links: DataFrame) -> bool:
-        """Adds links to those found and names the components anew; whether there were any."""
-        nonlocal found, labels, labelled
+        """Adds links to the components and names the bands' rows anew; whether there were any."""
+        nonlocal labels, labelled
         if links.isEmpty():
             return False
-        found = links if found is None else found.unionByName(links)
-        labels = connected_components(found)
+        labels = merged_components(labels, links)
         labelled = stored(_with_labels(shared, labels), "sketch-labelled")
         return True
 
@@ -245,15 +261,16 @@ def near_components(docs: DataFrame, percent: int = 80, width: int = 4, doc_id:
     for number in range(PIVOT_ROUNDS):
         take(linked(_pivot_pairs(labelled, number, percent)))
     for number, tries in enumerate(TRIES, PIVOT_ROUNDS):
-        crowded = labelled.groupBy("item", "label").count().groupBy("item").count().where(F.col("count") > CROWD).select("item")
-        turn = stored(labelled.join(stored(crowded, "crowded-bands"), "item"), "crowded-band-rows")
+        turn = _crowded(labelled)
         if turn.isEmpty() or not take(linked(stored(_tries(turn, number, tries), "sketch-pairs"))):
             break
-    rest = linked(_crossing(labelled, percent))
-    everything = copies.select(F.col("copy").alias("a"), F.col("first").alias("b")).unionByName(rest)
-    if found is not None:
-        everything = everything.unionByName(found)
-    labels = connected_components(everything).select(F.col("node").alias("_node"), "label")
+    pairs = _crossing(labelled, percent)
+    crowded = _crowded(labelled)
+    if not crowded.isEmpty():
+        pairs = pairs.unionByName(_rare_pairs(rows, crowded, labels, width, percent)).distinct()
+    rest = linked(stored(pairs, "sketch-pairs"))
+    equal = copies.select(F.col("copy").alias("a"), F.col("first").alias("b"))
+    labels = merged_components(labels, equal.unionByName(rest)).select(F.col("node").alias("_node"), "label")
     dropped(shared, own)
     component = F.coalesce("label", "doc_id")
     out = sketched.join(labels, sketched["doc_id"] == labels["_node"], "left")

@@ -267,13 +267,23 @@ def test_components_of_long_chains(spark):
 def test_components_take_few_rounds(spark, monkeypatch):
     nodes = random.Random(4).sample(range(1, 10**6), 3000)
     rounds, pick = [], components._pointers
-    monkeypatch.setattr(components, "_pointers", lambda edges, number: rounds.append(number) or pick(edges, number))
+    monkeypatch.setattr(components, "_pointers", lambda edges: rounds.append(1) or pick(edges))
     edges = [*zip(nodes, nodes[1:], strict=False), *((-5, -k) for k in range(6, 300))]
     labels = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert labels == dict.fromkeys(nodes, min(nodes)) | dict.fromkeys([-5, *range(-299, -5)], -299) and len(rounds) <= 16
     assert connected_components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
 
 
+def test_components_of_further_links(spark):
+    rng = random.Random(2)
+    labels, edges = None, []
+    for _ in range(3):
+        links = [(rng.randrange(150), rng.randrange(150)) for _ in range(30)]
+        edges += links
+        labels = components.merged_components(labels, spark.createDataFrame(links, "a long, b long"))
+        assert sorted(labels.collect()) == sorted(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
+
+
 # suffix dedup
 
 def brute_repeats(texts, length):
