@@ -41,7 +41,7 @@ BANDS = REGISTERS // ROWS
 UNLIKELY = 15.0
 BLOCK = 1 << 19
 #: Rounds of pivots; then the partners tried in each further round, for bands of more than CROWD components.
-PIVOT_ROUNDS, TRIES, CROWD = 2, (8, 16, 32), 8
+PIVOT_ROUNDS, TRIES, CROWD = 2, (8, 16), 8
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
