@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import textblocks as tb
-from tessera.llm.shared import filter_bits, hash_filter, in_filter, stored
+from tessera.llm.shared import filter_bits, free_names, hash_filter, in_filter, stored
 
 #: ASCII digits and letters, and every non-ASCII byte, are parts of words.
 WORD = np.zeros(256, bool)
@@ -199,6 +199,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, **col
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` in which no window of the benchmark occurs, all columns."""
     _, occurrences, _ = matches(docs, benchmark, window, doc_id, text)
-    bad = occurrences.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    rows = docs.withColumn("_row_key", F.xxhash64(F.col(text).cast("string")))
-    return rows.join(bad, rows[doc_id].cast("long").eqNullSafe(bad["_id"]) & (rows["_row_key"] == bad["_key"]), "left_anti").drop("_row_key")
+    own_id, own_key, bad_id, bad_key = free_names(docs, "own_id", "own_key", "bad_id", "bad_key")
+    bad = occurrences.select(F.col("doc_id").alias(bad_id), F.col("text_key").alias(bad_key)).distinct()
+    rows = docs.withColumns({own_id: F.col(doc_id).cast("long"), own_key: F.xxhash64(F.col(text).cast("string"))})
+    return rows.join(bad, F.col(own_id).eqNullSafe(F.col(bad_id)) & (F.col(own_key) == F.col(bad_key)), "left_anti").drop(own_id, own_key)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import filter_bits, hash_filter, in_filter, maybe_in, new_path, stored, text_or_empty
+from tessera.llm.shared import filter_bits, free_names, hash_filter, in_filter, maybe_in, new_path, stored, text_or_empty
 
 MOST_DEPTH = 18
 BUCKET_BYTES = 16 << 20
@@ -212,6 +212,7 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Rows are matched by id and text hash, so a repeated id with two texts is safe.
     """
     kept = exact_groups(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    rows = docs.withColumn("_sha", F.sha2(text_or_empty(text), 256))
-    match = rows[doc_id].cast("long").eqNullSafe(kept["_id"]) & (rows["_sha"] == kept["_sha"])
-    return rows.join(kept, match, "left_semi").drop("_sha")
+    own_id, own_sha, kept_id, kept_sha = free_names(docs, "own_id", "own_sha", "kept_id", "kept_sha")
+    rows = docs.withColumns({own_id: F.col(doc_id).cast("long"), own_sha: F.sha2(text_or_empty(text), 256)})
+    kept = kept.toDF(kept_id, kept_sha)
+    return rows.join(kept, F.col(own_id).eqNullSafe(F.col(kept_id)) & (F.col(own_sha) == F.col(kept_sha)), "left_semi").drop(own_id, own_sha)

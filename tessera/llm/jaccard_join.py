@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textblocks as tb
 from tessera.llm.components import merged_components
-from tessera.llm.shared import filter_bits, hash_filter, in_filter, stored
+from tessera.llm.shared import filter_bits, free_names, hash_filter, in_filter, stored
 
 #: Words are runs of anything but space and the ASCII controls from tab to carriage return.
 WORD = np.ones(256, bool)
@@ -423,5 +423,7 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5, doc_i
 
 def keep_one(docs: DataFrame, percent: int = 80, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` whose id is the smallest of its component, all columns; rows without an id stay."""
-    gone = similar_components(docs, percent, width, doc_id, text).where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs[doc_id].cast("long") == gone["_id"], "left_anti")
+    own_id, gone_id = free_names(docs, "own_id", "gone_id")
+    gone = similar_components(docs, percent, width, doc_id, text).where("component_id <> doc_id").select(F.col("doc_id").alias(gone_id)).distinct()
+    rows = docs.withColumn(own_id, F.col(doc_id).cast("long"))
+    return rows.join(gone, F.col(own_id) == F.col(gone_id), "left_anti").drop(own_id)

@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textblocks as tb
 from tessera.llm.bytecnn import ByteCNN, as_rows, sample_windows, softmax
+from tessera.llm.shared import stored
 
 CELL = 256
 WIDTHS, FILTERS = (2, 3, 5), 8
 REACH = max(WIDTHS) - 1
 #: The bound of the training sample: documents of each language (expected) and windows of each document.
 SAMPLE, WINDOWS = 600, 4
+#: The bound of the classes, above the number of languages that have a code in common use; and passes over the sample.
+CLASSES, EPOCHS = 1000, 12
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -39,28 +42,32 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([block.batch.column(0).take(pa.array(owner, pa.int64())), pa.array(windows, pa.binary())], names=["lang", "window"])
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> tuple[ByteCNN, list[str]] | None:
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, most: int = CLASSES) -> tuple[ByteCNN, list[str]] | None:
     """A model from documents with a language that are not held out; None without any.
 
-    Every language is a class; of each about `sample` documents are chosen by a
-    hash of their ids; the driver receives their windows only.
+    The `most` most frequent languages are classes, all of them in any real corpus: a column of more values holds
+    something else, and no network tells that many apart.  Of each about `sample` documents are chosen by a hash of
+    their ids; the driver receives their windows only.
     """
-    known = docs.where(~held_out(doc_id)).where(F.col(lang).isNotNull())
-    counts = known.groupBy(F.col(lang).alias("lang")).count().collect()
-    names = sorted(r["lang"] for r in counts)
+    known = docs.where(~held_out(doc_id)).where(F.col(lang).isNotNull()).select(F.col(doc_id).alias("own_id"), F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    counts = stored(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    n_classes = counts.count()
+    if n_classes > most:
+        counts = stored(counts.orderBy(F.desc("n"), "lang").limit(most), "languages")
+    # At most `most` rows, whatever the column holds.
+    names = sorted(r["lang"] for r in counts.select("lang").collect())
     if not names:
         return None
-    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, sample / r["count"])) for r in counts], f"_lang {docs.schema[lang].dataType.simpleString()}, _share double")
-    place = F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = known.join(F.broadcast(share), F.col(lang) == F.col("_lang")).where(place < F.col("_share"))
-    rows = chosen.select(F.col(lang).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where("text <> ''")
+    share = counts.select(F.col("lang").alias("name"), F.least(F.lit(1.0), sample / F.col("n")).alias("share"))
+    place = F.pmod(F.xxhash64("own_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    rows = known.join(F.broadcast(share), F.col("lang") == F.col("name")).where(place < F.col("share")).select("lang", "text").where("text <> ''")
     # At most about `sample` documents of each language and WINDOWS windows of each.
     found = rows.mapInArrow(_windows, "lang string, window binary").toPandas().sort_values(["lang", "window"])
     if not len(found):
         return None
     model = ByteCNN.new(CELL, WIDTHS, FILTERS, len(names))
     y = found["lang"].map({name: k for k, name in enumerate(names)}).to_numpy(np.int64)
-    model.train(as_rows([bytes(w) for w in found["window"]], CELL + REACH), y, epochs=max(8, min(16, 80_000 // len(y))))
+    model.train(as_rows([bytes(w) for w in found["window"]], CELL + REACH), y, epochs=EPOCHS)
     return model, names
 
 

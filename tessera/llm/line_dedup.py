@@ -72,11 +72,18 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
         .agg(F.collect_set("place").alias("places"))
     )
     counted = rows.join(dropped, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
-    split = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(split, lambda line, place: ~F.array_contains("places", place)), "\n")
-    return counted.select(
-        "doc_id",
-        F.size(split).cast("long").alias("n_lines"),
-        F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("places").isNull(), F.col("text")).otherwise(kept).alias("kept_text"),
-    )
+    return counted.select("doc_id", (F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), "text", "places").mapInArrow(_reassembled, _KEPT)
+
+
+_KEPT = "doc_id long, n_lines long, n_dropped long, kept_text string"
+
+
+def _reassembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines joined again without those at the given places: one look at each line, however many are dropped."""
+    for batch in batches:
+        dropped, kept = [], []
+        for text, places in zip(batch.column(2), batch.column(3), strict=True):
+            text, places = text.as_py(), set(places.as_py() or ())
+            dropped.append(len(places))
+            kept.append("\n".join(line for place, line in enumerate(text.split("\n")) if place not in places) if places else text)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_text"])

@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textblocks as tb
 from tessera.llm.bytecnn import ByteCNN, as_rows, sample_windows
+from tessera.llm.shared import free_names
 
 CELL = 256
 WIDTH, FILTERS = 6, 16
 #: The bound of the training sample: documents of each label, and windows of each document.
 SAMPLE, WINDOWS = 1500, 6
+#: How often the sample's windows of the rarer label are repeated at most, which bounds the training.
+MOST_REPEATS = 8
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -70,10 +73,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     y = found["quality"].to_numpy(np.int64)
     windows = as_rows([bytes(w) for w in found["window"]], CELL + WIDTH - 1)
     model = ByteCNN.new(CELL, (WIDTH,), FILTERS, 2)
-    # Windows of the rarer label are repeated until both have about as many.
+    # Windows of the rarer label are repeated until both have about as many; one of less than MOST_REPEATS times fewer windows stays rarer.
     rare = int((y == 1).sum() < (y == 0).sum())
     repeats = np.where(y == rare, max(1, round((y != rare).sum() / (y == rare).sum())), 1)
-    order = np.repeat(np.arange(len(y)), np.minimum(repeats, 8))
+    order = np.repeat(np.arange(len(y)), np.minimum(repeats, MOST_REPEATS))
     model.train(windows[order], y[order])
     lengths = np.array([len(w) for w in found["window"]])
     flat = np.frombuffer(b"".join(found["window"]), np.uint8)
@@ -94,10 +97,10 @@ def _scores(model: ByteCNN, pooled: np.ndarray) -> np.ndarray:
     return np.clip(scores[:, 1] - scores[:, 0], -8, 8)
 
 
-def _score(model):
+def _score(model, text: str = "text", column: str = "score"):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network, weights = model.value
-        for block in tb.blocks(batches, limit=tb.BLOCK_BYTES // 2):
+        for block in tb.blocks(batches, text, tb.BLOCK_BYTES // 2):
             pooled, cells = network.pool(block.data, block.offsets)
             # A chunk is a cell and its successor in the same text; a text's only cell is a chunk too.
             last = np.cumsum(cells) - 1
@@ -110,8 +113,8 @@ def _score(model):
             keep[last[cells > 1]] = False
             x = _combine(_scores(network, chunks[keep]), np.maximum(1, cells - 1))
             chance = 1 / (1 + np.exp(-(x @ weights[:2] + weights[2])))
-            names = [n for n in block.batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*block.batch.drop_columns(["text"]).columns, pa.array(chance)], names=[*names, "score"])
+            rest = block.batch.drop_columns([text])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(chance)], names=[*rest.schema.names, column])
 
     return score
 
@@ -133,11 +136,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` with a score of 0.5 or more, all columns."""
+    """The rows of `docs` with a score of 0.5 or more, all columns, whatever their names; all rows without both labels."""
     model = fit(docs, labels, doc_id, text)
     if model is None:
         return docs
-    rows = docs.withColumnRenamed(text, "_text").withColumn("text", F.coalesce(F.col("_text").cast("string"), F.lit("")))
-    fields = ", ".join(f"`{n}` {k}" for n, k in rows.drop("text").dtypes)
-    scored = rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), f"{fields}, score double")
-    return scored.where("score >= 0.5").drop("score").withColumnRenamed("_text", text).select(*docs.columns)
+    whole, score = free_names(docs, "whole_text", "score")
+    rows = docs.withColumn(whole, F.coalesce(F.col(text).cast("string"), F.lit("")))
+    fields = ", ".join(f"`{n}` {k}" for n, k in docs.dtypes)
+    scored = rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), whole, score), f"{fields}, `{score}` double")
+    return scored.where(F.col(score) >= 0.5).drop(score)

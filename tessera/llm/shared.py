@@ -98,5 +98,17 @@ def maybe_in(df: DataFrame, key: str, bitmap: np.ndarray, wanted: bool = True) -
     return df.mapInArrow(chosen, df.schema)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for further columns that no column of `df` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -652,3 +652,44 @@ def test_network_pools_long_texts_alike():
     pooled, cells = model.pool(data, np.array([0, len(data)]))
     whole, own = model.pool(np.concatenate([data, data[:10]]), np.array([0, len(data), len(data) + 10]))
     assert cells[0] == own[0] and np.allclose(pooled, whole[: own[0]])
+
+
+# names, long texts
+
+def test_internal_names_as_columns(spark):
+    """Every operator on rows reads them under the names that it uses itself, and filters hand them on."""
+    names = "_id _sha _key _row_key _text _lang _share own_id own_sha own_key kept_id kept_sha bad_id bad_key gone_id whole_text score label h n text_key Score WHOLE_TEXT_ _node lang".split()
+    texts = [(k, f"alpha beta gamma delta epsilon zeta eta theta iota kappa number{k % 4}") for k in range(12)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumns({name: F.concat(F.lit(f"{name}-"), F.col("doc_id").cast("string")) for name in dict.fromkeys(names) if name != "Score"})
+    docs = docs.withColumn("lang", F.lit("en"))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, quality int")
+    bench = spark.createDataFrame([(1, "gamma delta epsilon number1"), (2, "iota kappa number3")], "item_id long, text string")
+    for kept, ids in (
+        (drop_copies(docs), {8, 9, 10, 11}),
+        (jaccard_join.keep_one(docs), {0, 1, 2, 3}),
+        (drop_contaminated(docs, bench), {k for k in range(12) if k % 4 != 3}),
+        (keep_good(docs, labels), None),
+    ):
+        rows = kept.collect()
+        assert kept.columns == docs.columns
+        assert ids is None or {r["doc_id"] for r in rows} == ids
+        assert all(r["_sha"] == f"_sha-{r['doc_id']}" and r["score"] == f"score-{r['doc_id']}" for r in rows)
+    assert languages(docs).count() == 12 and quality_scores(docs, labels).count() == 12
+    assert dedup_lines(docs).count() == 12 and exact_groups(docs).count() == 12
+
+
+def test_many_values_of_lang(spark):
+    rows = [(k, f"some words of text {k}", f"value{k}") for k in range(3000)] + [(k, "ordinary words in a language", "en") for k in range(3000, 3100)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=5)
+    assert len(model[1]) == 5 and "en" in model[1]
+
+
+def test_lines_of_a_long_text(spark):
+    """As many lines to drop as a dump may have; a look at all dropped places for every line would take hours."""
+    import time
+
+    text = "\n".join(f"a line of some length with number {k}" for k in range(300_000))
+    began = time.monotonic()
+    got = by_id(dedup_lines(spark.createDataFrame([(1, text), (2, text), (3, text + "\nmore"), (4, "x")], "doc_id long, text string").repartition(4)), "n_lines", "n_dropped", "kept_text")
+    assert time.monotonic() - began < 60
+    assert got == {1: (300_000, 300_000, ""), 2: (300_000, 300_000, ""), 3: (300_001, 0, text + "\nmore"), 4: (1, 0, "x")}
