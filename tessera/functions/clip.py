@@ -29,10 +29,10 @@ def _half_plane(ring: Column, axis: str, limit: Column, keep_above: bool) -> Col
 def clip_rings(df: DataFrame, ring: str = "ring", box: tuple[str, str, str, str] = ("x0", "y0", "x1", "y1")) -> DataFrame:
     """`df` with each convex or simple ring (an array of x, y) cut to its row's box; an empty ring where nothing is left.
 
-    One column for each edge of the box, so that a cut ring is computed once.
+    A generator for each edge of the box keeps the cuts apart: as nested expressions every vertex would cut its ring anew.
     """
     x0, y0, x1, y1 = (F.col(c).cast("double") for c in box)
     out = df
     for axis, limit, above in (("x", x0, True), ("x", x1, False), ("y", y0, True), ("y", y1, False)):
-        out = out.withColumn(ring, _half_plane(F.col(ring), axis, limit, above))
+        out = out.withColumn(ring, F.explode(F.array(_half_plane(F.col(ring), axis, limit, above))))
     return out

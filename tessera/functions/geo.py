@@ -45,15 +45,19 @@ def box_iou(ax: Column, ay: Column, aw: Column, ah: Column, bx: Column, by: Colu
     return F.coalesce(F.try_divide(both, aw * ah + bw * bh - both), F.lit(0.0))
 
 
-def _edges(ring: Column) -> Column:
+def edges(ring: Column) -> Column:
     """Pairs of neighbouring vertices, the last with the first."""
     return F.arrays_zip(ring.alias("p"), F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)).alias("q"))
 
 
+def signed_area(ring: Column) -> Column:
+    """Area of a ring of (x, y), open or closed, positive for counter-clockwise."""
+    return F.aggregate(edges(ring), F.lit(0.0), lambda s, e: s + e["p"]["x"] * e["q"]["y"] - e["q"]["x"] * e["p"]["y"]) / 2
+
+
 def ring_area(ring: Column) -> Column:
     """Area of a ring of (x, y), open or closed."""
-    twice = F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + e["p"]["x"] * e["q"]["y"] - e["q"]["x"] * e["p"]["y"])
-    return F.abs(twice) / 2
+    return F.abs(signed_area(ring))
 
 
 def in_ring(ring: Column, x: Column, y: Column) -> Column:
@@ -62,7 +66,7 @@ def in_ring(ring: Column, x: Column, y: Column) -> Column:
         p, q = e["p"], e["q"]
         return ((p["y"] > y) != (q["y"] > y)) & (x < F.try_divide((q["x"] - p["x"]) * (y - p["y"]), q["y"] - p["y"]) + p["x"])
 
-    return F.pmod(F.aggregate(_edges(ring), F.lit(0), lambda n, e: n + F.coalesce(crosses(e), F.lit(False)).cast("int")), F.lit(2)) == 1
+    return F.pmod(F.aggregate(edges(ring), F.lit(0), lambda n, e: n + F.coalesce(crosses(e), F.lit(False)).cast("int")), F.lit(2)) == 1
 
 
 def cell(value: Column, size: float) -> Column:
@@ -88,7 +92,7 @@ def turned_box(cx: Column, cy: Column, w: Column, h: Column, degrees: Column) ->
 
 def ring_length(ring: Column) -> Column:
     """Length of a closed ring's edges."""
-    return F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + F.sqrt(F.pow(e["p"]["x"] - e["q"]["x"], 2) + F.pow(e["p"]["y"] - e["q"]["y"], 2)))
+    return F.aggregate(edges(ring), F.lit(0.0), lambda s, e: s + F.sqrt(F.pow(e["p"]["x"] - e["q"]["x"], 2) + F.pow(e["p"]["y"] - e["q"]["y"], 2)))
 
 
 def compactness(ring: Column) -> Column:

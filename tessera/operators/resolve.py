@@ -67,3 +67,19 @@ def survivors(df: DataFrame, labels: DataFrame, id_: str, better: list[Column])
     rows = df.join(own, id_, "left").withColumn("label", F.coalesce("label", F.col(id_)))
     w = Window.partitionBy("label")
     return rows.withColumn("_n", F.row_number().over(w.orderBy(*better, id_))).withColumn("members", F.count("*").over(w)).where("_n = 1").drop("_n")
+
+
+def nearest_links(occurrences: DataFrame, sheet: str, name: str, id_: str, reach: float, x: str = "x", y: str = "y") -> DataFrame:
+    """(a, b, distance): for each name on a sheet and the next one, the nearest pair of its occurrences, if within `reach`.
+
+    Occurrences meet in grid cells as wide as the reach, so a name that stands everywhere meets its neighbours only.
+    Of equal distances the smaller ids win.
+    """
+    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    cell = lambda c: F.floor(F.col(c) / reach).cast("long")
+    left = occurrences.select(name, F.col(sheet).alias("sheet"), F.col(id_).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"), cell(x).alias("cx"), cell(y).alias("cy"))
+    right = occurrences.select(name, (F.col(sheet) - 1).alias("sheet"), F.col(id_).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by"), cell(x).alias("_x"), cell(y).alias("_y"))
+    right = right.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near)).withColumns({"cx": F.col("_x") + F.col("_dx"), "cy": F.col("_y") + F.col("_dy")})
+    met = left.join(right, [name, "sheet", "cx", "cy"]).withColumn("distance", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).where(F.col("distance") <= reach)
+    best = met.groupBy(name, "sheet").agg(F.min(F.struct("distance", "a", "b")).alias("l"))
+    return best.select("l.a", "l.b", "l.distance")

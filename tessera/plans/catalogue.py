@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import clip, geo, labels, stats, text
-from tessera.operators import rank, rollup, spatial
+from tessera.operators import overlay, rank, rollup, spatial
 from tessera.plans.places import _LAT, _LNG, _S_LAT, _S_LNG, _customers, _suppliers
 from tessera.plans.registry import Tables, query
 from tessera.plans.search import _CORE, _PRINTED, printed
@@ -310,7 +310,7 @@ def _cell_shares(t: Tables) -> DataFrame:
     for axis, size in (("x", 120), ("y", 80)):
         rings = rings.withColumn(f"c{axis}", F.explode(F.sequence(F.floor(F.col(axis) / 250), F.floor((F.col(axis) + size) / 250))))
     boxed = rings.select("c_custkey", "c_nationkey", "ring", "cx", "cy", *(((F.col(f"c{a}") + k) * 250).alias(f"{a}{k}") for k in (0, 1) for a in "xy"))
-    return clip.clip_rings(boxed).withColumn("area", geo.ring_area(F.col("ring"))).drop("ring", "x0", "y0", "x1", "y1")
+    return clip.clip_rings(boxed).withColumn("area", geo.ring_area(F.col("ring"))).drop("x0", "y0", "x1", "y1")
 
 
 _SHARES = """
@@ -326,11 +326,22 @@ def q91_overlay_shares(t: Tables) -> DataFrame:
     return _cell_shares(t).where(share >= 0.01).select("c_custkey", "cx", "cy", F.round(share, 6).alias("share"), (share >= 0.05).alias("lands"))
 
 
-@query(_SHARES + "SELECT c_nationkey, CAST(cx AS BIGINT) AS cx, CAST(cy AS BIGINT) AS cy, count(*) AS n, round(sum(area) / 62500, 6) AS share, round(avg(area), 4) AS mean, round(count(*) / 6.25, 4) AS density FROM s WHERE area > 0 GROUP BY 1, 2, 3")
+@query(
+    _SHARES
+    + """, c AS (SELECT c_nationkey, cx, cy, greatest(x, cx * 250) AS x0, least(x + 120, (cx + 1) * 250) AS x1, greatest(y, cy * 250) AS y0, least(y + 80, (cy + 1) * 250) AS y1 FROM s JOIN b USING (c_custkey, c_nationkey) WHERE area > 0),
+e AS (SELECT c_nationkey, cx, cy, x, lead(x) OVER (PARTITION BY c_nationkey, cx, cy ORDER BY x) AS t FROM (SELECT c_nationkey, cx, cy, x0 AS x FROM c UNION SELECT c_nationkey, cx, cy, x1 FROM c)),
+r AS (SELECT c_nationkey, cx, cy, x, t, y0, y1, coalesce(max(y1) OVER (PARTITION BY c_nationkey, cx, cy, x ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), y0) AS top FROM e JOIN c USING (c_nationkey, cx, cy) WHERE x0 <= x AND t <= x1),
+u AS (SELECT c_nationkey, cx, cy, sum((t - x) * greatest(0, y1 - greatest(y0, top))) AS ground FROM r GROUP BY 1, 2, 3)
+SELECT c_nationkey, CAST(cx AS BIGINT) AS cx, CAST(cy AS BIGINT) AS cy, count(*) AS n, round(any_value(ground) / 62500, 6) AS share, round(any_value(ground) / count(*), 4) AS mean, round(count(*) / 6.25, 4) AS density FROM s JOIN u USING (c_nationkey, cx, cy) WHERE area > 0 GROUP BY 1, 2, 3"""
+)
 def q92_morphology(t: Tables) -> DataFrame:
-    """For each group and area: number, share of the ground, mean and density of the clipped shapes."""
+    """For each group and area: number, share of the ground that is covered at all, mean ground and density of the clipped shapes."""
     shapes = _cell_shares(t).where("area > 0")
-    return shapes.groupBy("c_nationkey", "cx", "cy").agg(F.count("*").alias("n"), F.round(F.sum("area") / 62500, 6).alias("share"), F.round(F.avg("area"), 4).alias("mean"), F.round(F.count("*") / 6.25, 4).alias("density"))
+    counts = shapes.groupBy("c_nationkey", "cx", "cy").agg(F.count("*").alias("n"))
+    ground = overlay.union_areas(shapes.withColumn("rings", F.array("ring")), ["c_nationkey", "cx", "cy"], "c_custkey", 250.0)
+    return counts.join(ground, ["c_nationkey", "cx", "cy"]).select(
+        "c_nationkey", "cx", "cy", "n", F.round(F.col("area") / 62500, 6).alias("share"), F.round(F.col("area") / F.col("n"), 4).alias("mean"), F.round(F.col("n") / 6.25, 4).alias("density")
+    )
 
 
 @query("""
@@ -457,15 +468,17 @@ def q101_discovery(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH b AS (SELECT event_id, user_id, event_type, value, CASE WHEN value < 30 THEN 'single pass and confidence < 30' END AS r1, CASE WHEN event_type = 'error' THEN 'edge or fragment' END AS r2 FROM events WHERE user_id % 3 <> 0)
+WITH p AS (SELECT *, count(*) OVER (PARTITION BY user_id, CAST(ts AS DATE)) AS passes FROM events),
+b AS (SELECT event_id, user_id, event_type, value, CASE WHEN passes <= 2 AND value < 30 THEN 'few passes and confidence < 30' END AS r1, CASE WHEN event_type = 'error' THEN 'edge or fragment' END AS r2 FROM p)
 SELECT event_id, concat_ws('; ', r1, r2) AS reasons, CAST(row_number() OVER (PARTITION BY user_id ORDER BY user_id % 5 <> 0, value, event_type, event_id) AS INTEGER) AS place FROM b WHERE r1 IS NOT NULL OR r2 IS NOT NULL
 """)
 def q102_review_queue(t: Tables) -> DataFrame:
-    """What a person should look at, with reasons: marked rows first, then the least sure."""
-    single = t.events.where("user_id % 3 <> 0")
-    reasons = F.concat_ws("; ", F.when(F.col("value") < 30, "single pass and confidence < 30"), F.when(F.col("event_type") == "error", "edge or fragment"))
+    """What a person should look at, with reasons: marked rows first, then the least sure; a user's events of a day are passes over one item."""
+    passes = F.count("*").over(Window.partitionBy("user_id", F.to_date("ts")))
+    rows = t.events.select("event_id", "user_id", "event_type", "value", passes.alias("passes"))
+    reasons = F.concat_ws("; ", F.when((F.col("passes") <= 2) & (F.col("value") < 30), "few passes and confidence < 30"), F.when(F.col("event_type") == "error", "edge or fragment"))
     w = Window.partitionBy("user_id").orderBy(F.col("user_id") % 5 != 0, "value", "event_type", "event_id")
-    return single.withColumn("reasons", reasons).where("reasons <> ''").select("event_id", "reasons", F.row_number().over(w).alias("place"))
+    return rows.withColumn("reasons", reasons).where("reasons <> ''").select("event_id", "reasons", F.row_number().over(w).alias("place"))
 
 
 @query("""
@@ -523,15 +536,14 @@ def q106_reading_union(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT event_id, CASE WHEN k IS NOT NULL AND k >= 50 THEN 'k=' || k || ';seen=' || event_type ELSE 'seen=' || event_type END AS props FROM (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id, CAST(json_merge_patch(CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) < 50 THEN json_merge_patch(props, '{"k": null}') ELSE CAST(props AS JSON) END, json_object('seen', event_type)) AS VARCHAR) AS props FROM events
 """)
 def q107_one_key_update(t: Tables) -> DataFrame:
-    """One key of a JSON object set and another removed by a rule, the rest left as it is."""
-    own = F.from_json("props", "map<string,string>")
-    small = F.map_filter(own, lambda k, v: (k != "k") | (v.cast("long") >= 50))
-    updated = F.map_concat(small, F.create_map(F.lit("seen"), F.col("event_type")))
-    pairs = F.transform(F.map_entries(updated), lambda e: F.concat_ws("=", e["key"], e["value"]))
-    return t.events.select("event_id", F.array_join(F.array_sort(pairs), ";").alias("props"))
+    """One key of a JSON object set and another removed by a rule, the rest left as it is, types too."""
+    own = F.from_json("props", "map<string,variant>")
+    small = F.map_filter(own, lambda k, v: (k != "k") | (F.try_variant_get(v, "$", "long") >= 50))
+    updated = F.map_concat(F.map_filter(small, lambda k, v: k != "seen"), F.create_map(F.lit("seen"), F.col("event_type").cast("variant")))
+    return t.events.select("event_id", F.to_json(updated).alias("props"))
 
 
 @query("""
