@@ -187,12 +187,12 @@ def test_line_dedup(docs, none):
 
 # n-gram Jaccard join
 
-def brute_components(texts):
+def brute_components(texts, width=5):
     blank = re.compile(r"[^\x20\x09-\x0D]+")
     sets, parent = {}, {}
     for i, t in texts:
         w = blank.findall((t or "").translate(A_Z))
-        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        sets[i] = {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
         parent[i] = i
 
     def find(x):
