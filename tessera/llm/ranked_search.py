@@ -34,7 +34,7 @@ TERM[48:58] = TERM[65:91] = TERM[97:123] = TERM[128:] = True
 #: Expected distinct terms of all queries of a block, expected queries of a block, postings of a block of documents.
 TERMS_AT_ONCE, QUERIES_AT_ONCE, POSTINGS = 200_000, 2000, 250_000
 #: Intervals of so many documents or fewer are scored whole.
-SHORT = 32
+SHORT = 128
 #: Partial rankings that a query's final ranking reads.
 SALTS = 64
 
@@ -110,13 +110,12 @@ class Postings:
         order = np.argsort(term * self.n + document, kind="stable")
         self.keys, self.document, self.impact = (term * self.n + document)[order], document[order], impact[order]
         longest = int(np.bincount(term).max()) if len(term) else 0
-        self.best = [np.arange(len(order), dtype=np.int32)]
-        width = 1
-        while 2 * width <= longest:
-            last = self.best[-1]
-            left, right = last[:-width], last[width:]
-            self.best.append(np.where(self.impact[right] > self.impact[left], right, left))
-            width *= 2
+        self.best = np.zeros((max(1, longest.bit_length()), len(order)), np.int32)
+        self.best[0] = np.arange(len(order))
+        for k in range(1, len(self.best)):
+            width = 1 << (k - 1)
+            left, right = self.best[k - 1, :-width], self.best[k - 1, width:]
+            self.best[k, :-width] = np.where(self.impact[right] > self.impact[left], right, left)
 
     def ranges(self, terms: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of the terms' postings within documents low to high - 1."""
@@ -124,13 +123,9 @@ class Postings:
 
     def largest(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The place of the largest impact in each range of places, none of which is empty."""
-        level = np.frexp((high - low).astype(np.float64))[1] - 1
-        out = np.empty(len(low), np.int64)
-        for k in np.unique(level).tolist():
-            own = level == k
-            left, right = self.best[k][low[own]], self.best[k][high[own] - (1 << k)]
-            out[own] = np.where(self.impact[right] > self.impact[left], right, left)
-        return out
+        level = np.frexp((high - low).astype(np.float64))[1].astype(np.int64) - 1
+        left, right = self.best[level, low], self.best[level, high - (1 << level)]
+        return np.where(self.impact[right] > self.impact[left], right, left)
 
 
 class Best:
@@ -146,6 +141,11 @@ class Best:
         elif entry > self.heap[0]:
             heapq.heapreplace(self.heap, entry)
 
+    @property
+    def least(self) -> int:
+        """The score below which nothing enters."""
+        return self.heap[0][0] if len(self.heap) == self.k else 0
+
     def may_enter(self, bound: int, first_id: int) -> bool:
         """Whether a document of at most this score and at least this id may be among the best."""
         return bound > 0 and (len(self.heap) < self.k or (bound, -first_id) > self.heap[0])
@@ -179,7 +179,7 @@ def search_block(postings: Postings, terms: np.ndarray, times: np.ndarray, best:
             places = a[owner] + number
             scores = np.zeros(high - low, np.int64)
             np.add.at(scores, postings.document[places] - low, postings.impact[places] * times[owner])
-            for k in np.flatnonzero(scores).tolist():
+            for k in np.flatnonzero(scores >= max(1, best.least)).tolist():
                 best.add(int(scores[k]), int(postings.ids[low + k]))
             scored += high - low
             continue
