@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geo
+from tessera.operators import shared
 
 #: Metres in a degree of latitude.
 DEGREE_M = 111_195.0
@@ -93,3 +95,38 @@ def smallest_ring(points: DataFrame, rings: DataFrame, order: list[str], size: f
     hits = hits.withColumn("area", geo.ring_area(F.col("ring")))
     keep = [c for c in hits.columns if c not in ("ring", "point_id")]
     return hits.groupBy("point_id").agg(F.min_by(F.struct(*keep), F.struct("area", *order)).alias("_row")).select("point_id", "_row.*")
+
+
+def nearest(points: DataFrame, targets: DataFrame, point_id: str, target_id: str, k: int, size: float) -> DataFrame:
+    """(point_id, target_id, distance, place): the k nearest targets of each point on a plane, however far they are.
+
+    Points (px, py) look for targets (tx, ty) in their own and the neighbouring grid cells.  Who has k targets within a
+    cell's width is done, as no other target can be nearer; the others go on with cells of twice the width, until the
+    cells hold all targets.  Equal distances go by target_id.  Points with a null coordinate find nothing.
+    """
+    box = targets.agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("tx", "ty"))).first()
+    reach = targets.select(target_id, "tx", "ty").where("tx IS NOT NULL AND ty IS NOT NULL")
+    open_ = points.select(point_id, "px", "py").where("px IS NOT NULL AND py IS NOT NULL")
+    span = points.agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("px", "py"))).first()
+    if not box["n"] or span["min_px"] is None or box["min_tx"] is None:
+        return open_.join(reach, F.lit(False)).select(point_id, target_id, F.lit(0.0).alias("distance"), F.lit(1).alias("place"))
+    widest = max(max(box[f"max_t{c}"], span[f"max_p{c}"]) - min(box[f"min_t{c}"], span[f"min_p{c}"]) for c in "xy")
+    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    first = Window.partitionBy(point_id).orderBy("distance", target_id)
+    done = []
+    while True:
+        last = size > widest
+        dealt = reach.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near)).withColumns({"_x": geo.cell(F.col("tx"), size) + F.col("_dx"), "_y": geo.cell(F.col("ty"), size) + F.col("_dy")}).drop("_dx", "_dy")
+        placed = open_.withColumns({"_x": geo.cell(F.col("px"), size), "_y": geo.cell(F.col("py"), size)})
+        met = placed.join(dealt, ["_x", "_y"]).withColumn("distance", F.hypot(F.col("px") - F.col("tx"), F.col("py") - F.col("ty")))
+        found = met.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k).select(point_id, target_id, "distance", "place")
+        found = shared.stored(found, "nearest")
+        if last:
+            done.append(found)
+            return reduce(DataFrame.unionByName, done)
+        sure = shared.stored(found.groupBy(point_id).agg(F.count("*").alias("n"), F.max("distance").alias("far")).where((F.col("n") == k) & (F.col("far") <= size)).select(point_id), "nearest-sure")
+        done.append(found.join(sure, point_id, "left_semi"))
+        open_ = shared.stored(open_.join(sure, point_id, "left_anti"), "nearest-open")
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        size *= 2
