@@ -6,7 +6,7 @@
    union by taking the larger registers.  A shingle whose next value is too large for the smallest register is done.
 2. Equal sets are found by a 128-bit hash; one document stands for all.
 3. Bands of ROWS registers are hashed; documents that share a band value are candidates.  Two sets of a similarity of
-   0.8 have a register in common with a probability of 0.8, and so one of BANDS bands but for one pair in 600 million.
+   0.8 have a register in common with a probability of 0.8, and so two of BANDS bands but for one pair in 25 million.
 4. For a pair of candidates the registers in which either is larger and those that are equal have a likelihood at every
    similarity, given both sets' sizes.  A pair goes if the threshold is far less likely than the best estimate.
 5. What is left is verified on the documents' full sets.
@@ -34,8 +34,8 @@ from tessera.llm.shared import dropped, stored
 
 #: Registers (a power of two), the base and the rate of their values, and the largest untruncated one.
 REGISTERS, BASE, RATE, LIMIT = 256, 1.001, 20.0, (1 << 16) - 2
-#: Registers of a band.
-ROWS = 5
+#: Registers of a band; bands of few components that a pair of the last round must share.
+ROWS, SHARED = 5, 2
 BANDS = REGISTERS // ROWS
 #: Difference of log likelihoods from which a pair goes: 5.5 standard deviations.
 UNLIKELY = 15.0
@@ -194,12 +194,16 @@ def _pivot_pairs(labelled: DataFrame, number: int, percent: int) -> DataFrame:
 
 
 def _crossing(labelled: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of documents of different components that share a band of CROWD components at most."""
+    """(a, b): pairs of documents of different components that share SHARED bands of CROWD components at most.
+
+    Similar documents that share fewer of these either share a crowded band too, and meet on their rarest shingles, or
+    share one band in all, as one pair in 25 million does.
+    """
     spread = labelled.groupBy("item", "label").count().groupBy("item").agg(F.count("*").alias("labels")).where(F.col("labels").between(2, CROWD)).select("item")
     own = stored(labelled.join(stored(spread, "sketch-open"), "item"), "sketch-open-bands")
     one, two = (own.select("item", F.col("node").alias(c), F.col("n").alias(f"{c}n"), F.col("label").alias(f"{c}_label")) for c in "ab")
     met = one.join(two, "item").where((F.col("a_label") < F.col("b_label")) & _close(percent))
-    return met.select("a", "b").distinct()
+    return met.groupBy("a", "b").agg(F.count("*").alias("met")).where(F.col("met") >= SHARED).select("a", "b")
 
 
 def _crowded(labelled: DataFrame) -> DataFrame:
