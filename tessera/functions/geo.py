@@ -98,3 +98,49 @@ def ring_length(ring: Column) -> Column:
 def compactness(ring: Column) -> Column:
     """4 pi area / length squared: 1 for a circle; null without length."""
     return F.try_divide(4 * F.pi() * ring_area(ring), F.pow(ring_length(ring), 2))
+
+
+def _turn(o: Column, a: Column, b: Column) -> Column:
+    """Positive where o, a, b turn to the left."""
+    return (a["x"] - o["x"]) * (b["y"] - o["y"]) - (a["y"] - o["y"]) * (b["x"] - o["x"])
+
+
+def hull(points: Column) -> Column:
+    """Convex hull of an array of (x, y), counter-clockwise from the leftmost point; collinear points are left out.
+
+    Two chains over the sorted points. A new point takes off the chain's end all
+    points after the last one at which the chain still turns to the left.
+    """
+    distinct = F.array_sort(F.array_distinct(points))
+
+    def add(chain: Column, p: Column) -> Column:
+        bends = F.filter(F.sequence(F.lit(1), F.size(chain)), lambda k: (k == 1) | (_turn(F.get(chain, k - 2), F.get(chain, k - 1), p) > 0))
+        return F.concat(F.slice(chain, F.lit(1), F.coalesce(F.array_max(bends), F.lit(0))), F.array(p))
+
+    def half(ordered: Column) -> Column:
+        chain = F.aggregate(F.slice(ordered, F.lit(2), F.size(ordered)), F.slice(ordered, F.lit(1), F.lit(1)), add)
+        return F.slice(chain, F.lit(1), F.size(chain) - 1)
+
+    return F.get(F.transform(F.array(distinct), lambda d: F.when(F.size(d) < 3, d).otherwise(F.concat(half(d), half(F.reverse(d))))), F.lit(0))
+
+
+def least_box_area(points: Column) -> Column:
+    """Area of the smallest rectangle at any angle around the points; one of its sides lies on the hull."""
+    outline = hull(points)
+
+    def box(ring: Column, e: Column) -> Column:
+        dx, dy = e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"]
+        along, across = (F.transform(ring, f) for f in (lambda v: v["x"] * dx + v["y"] * dy, lambda v: v["y"] * dx - v["x"] * dy))
+        return F.try_divide((F.array_max(along) - F.array_min(along)) * (F.array_max(across) - F.array_min(across)), dx * dx + dy * dy)
+
+    return F.get(F.transform(F.array(outline), lambda ring: F.array_min(F.transform(edges(ring), lambda e: box(ring, e)))), F.lit(0))
+
+
+def convexity(ring: Column) -> Column:
+    """Share of the convex hull's area that a ring fills; null without one."""
+    return F.try_divide(ring_area(ring), ring_area(hull(ring)))
+
+
+def rectangularity(ring: Column) -> Column:
+    """Share of the smallest rectangle around a ring that it fills; null without one."""
+    return F.try_divide(ring_area(ring), least_box_area(ring))
