@@ -188,28 +188,30 @@ def in_window(lng: Column, lat: Column) -> Column:
     return lng.between(west, east) & lat.between(south, north)
 
 
-def _hit(system: str, datum: Datum, at: Column, ref: Column, precision: Column, half: Column) -> Column:
+def _hit(system: Column, datum: Datum, at: Column, ref: Column, precision: Column, half: Column) -> Column:
     up = half / 111_320
     along = half / (111_320 * F.greatest(F.lit(0.2), F.cos(F.radians(at["lat"]))))
     box = ((at["lng"] - along).alias("west"), (at["lat"] - up).alias("south"), (at["lng"] + along).alias("east"), (at["lat"] + up).alias("north"))
-    return F.struct(F.lit(system).alias("system"), F.lit(datum.name).alias("datum"), at["lat"].alias("lat"), at["lng"].alias("lng"), ref.alias("ref"), precision.cast("double").alias("precision_m"), *box)
+    return F.struct(system.alias("system"), F.lit(datum.name).alias("datum"), at["lat"].alias("lat"), at["lng"].alias("lng"), ref.alias("ref"), precision.cast("double").alias("precision_m"), *box)
 
 
-def _grid_hits(system: str, candidates: Column) -> Column:
-    """Both datums' readings of structs (zone, easting, northing, band or blank, rest, precision) that lie in their zone and in the window."""
+def _grid_hits(q: Column) -> Column:
+    """Both datums' readings of grid letters or UTM, which no text is both of, that lie in their zone and in the window."""
+    none = F.array().cast("array<struct<system:string,zone:int,easting:double,northing:double,band:string,rest:string,precision:double>>")
+    candidates = F.concat(F.coalesce(_grid(q), none), F.coalesce(_utm(q), none))
 
     def read(c: Column, datum: Datum) -> Column:
         own = from_utm(c["easting"], c["northing"], c["zone"], datum)
-        band = F.when(c["band"] != "", c["band"]).otherwise(_band_of_northing(c["northing"], c["zone"]))
-        ref = F.concat(c["zone"].cast("string"), band, F.lit(" "), c["rest"])
+        ref = F.concat(c["zone"].cast("string"), c["band"], F.lit(" "), c["rest"])
         near = lambda g: F.abs(g["lng"] - central_meridian(c["zone"])) <= 3.5
         shifted = lambda g: F.when(near(g), g if datum is WGS84 else to_wgs84(g["lng"], g["lat"], datum))
-        hit = lambda w: F.when(in_window(w["lng"], w["lat"]), _hit(system, datum, w, ref, c["precision"], F.greatest(c["precision"], F.lit(60.0))))
+        hit = lambda w: F.when(in_window(w["lng"], w["lat"]), _hit(c["system"], datum, w, ref, c["precision"], F.greatest(c["precision"], F.lit(60.0))))
         return _let(_let(own, shifted), hit)
 
     # Northings that no latitude of the window has, with a margin, aren't projected.
     near_window = F.filter(candidates, lambda c: c["northing"].between(WINDOW[1] * 110_000 - 20_000, WINDOW[3] * 111_000 + 20_000))
-    both = F.transform(near_window, lambda c: F.array(read(c, INDIAN_1960), read(c, WGS84)))
+    banded = F.transform(near_window, lambda c: c.withField("band", F.when(c["band"] != "", c["band"]).otherwise(_band_of_northing(c["northing"], c["zone"]))))
+    both = F.transform(banded, lambda c: F.array(read(c, INDIAN_1960), read(c, WGS84)))
     return F.array_compact(F.flatten(both))
 
 
@@ -237,7 +239,7 @@ def _grid(q: Column) -> Column:
             def of_cycle(c: Column) -> Column:
                 northing = base + c * 2_000_000.0
                 rest = F.concat(g["column"], g["row"], F.lit(" "), first, F.lit(" "), second)
-                return F.struct(z.alias("zone"), easting.alias("easting"), northing.alias("northing"), g["band"].alias("band"), rest.alias("rest"), (unit / 2).alias("precision"))
+                return F.struct(F.lit("mgrs").alias("system"), z.alias("zone"), easting.alias("easting"), northing.alias("northing"), g["band"].alias("band"), rest.alias("rest"), (unit / 2).alias("precision"))
 
             # The row letters come again after 20 squares.
             return F.when((column > 0) & (row > 0), F.transform(F.array(*map(F.lit, range(3))), of_cycle))
@@ -245,7 +247,7 @@ def _grid(q: Column) -> Column:
         return F.flatten(F.array_compact(F.transform(zones, of_zone)))
 
     parts = F.struct(part(1).alias("zone"), part(2).alias("band"), part(3).alias("column"), part(4).alias("row"), digits.alias("digits"))
-    return F.when(F.regexp_like(q, F.lit(_GRID)), _grid_hits("mgrs", _let(parts, candidates)))
+    return F.when(F.regexp_like(q, F.lit(_GRID)), _let(parts, candidates))
 
 
 def _utm(q: Column) -> Column:
@@ -255,11 +257,11 @@ def _utm(q: Column) -> Column:
         whole = lambda c: F.floor(c + 0.5).cast("string")
         rest = F.concat(whole(g["easting"]), F.lit("E "), whole(g["northing"]), F.lit("N"))
         ok = g["zone"].between(1, 60) & g["easting"].between(100_000, 900_000)
-        one = F.struct(g["zone"].alias("zone"), g["easting"].alias("easting"), g["northing"].alias("northing"), F.lit("").alias("band"), rest.alias("rest"), F.lit(30.0).alias("precision"))
+        one = F.struct(F.lit("utm").alias("system"), g["zone"].alias("zone"), g["easting"].alias("easting"), g["northing"].alias("northing"), F.lit("").alias("band"), rest.alias("rest"), F.lit(30.0).alias("precision"))
         return F.array_compact(F.array(F.when(ok, one)))
 
     parts = F.struct(number(1, "int").alias("zone"), number(2, "double").alias("easting"), number(3, "double").alias("northing"))
-    return F.when(F.regexp_like(q, F.lit(_UTM)), _grid_hits("utm", _let(parts, candidates)))
+    return F.when(F.regexp_like(q, F.lit(_UTM)), _let(parts, candidates))
 
 
 def angle(text: Column) -> Column:
@@ -315,7 +317,7 @@ def _lat_lng(q: Column) -> Column:
 
     def hits(p: Column) -> Column:
         ref = F.concat(written_angle(p["lat"], "NS", p["dms"]), F.lit(" "), written_angle(p["lng"], "EW", p["dms"]))
-        hit = lambda d, at: _hit("latlon", d, at, ref, F.lit(0.0), F.lit(120.0))
+        hit = lambda d, at: _hit(F.lit("latlon"), d, at, ref, F.lit(0.0), F.lit(120.0))
         old = _let(to_wgs84(p["lng"], p["lat"], INDIAN_1960), lambda w: hit(INDIAN_1960, w))
         # Minutes and seconds may have been read off a sheet's edge, decimals were not.
         return F.array_compact(F.array(F.when(p["lat"].isNotNull(), hit(WGS84, p)), F.when(p["dms"] & in_window(p["lng"], p["lat"]), old)))
@@ -339,6 +341,6 @@ def positions(text: Column) -> Column:
         return own if len(kinds) == 1 else _let(own, lambda hits: F.when(F.size(hits) > 0, hits).otherwise(first_of(q, kinds[1:])))
 
     def read(q: Column) -> Column:
-        return F.when((F.length(q) <= 60) & F.regexp_like(q, F.lit(r"\d")), first_of(q, [_grid, _utm, _lat_lng])).otherwise(none)
+        return F.when((F.length(q) <= 60) & F.regexp_like(q, F.lit(r"\d")), first_of(q, [_grid_hits, _lat_lng])).otherwise(none)
 
     return F.coalesce(_let(F.regexp_replace(text, r"^\s+|\s+$", ""), read), none)
