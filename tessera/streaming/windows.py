@@ -7,10 +7,12 @@ too, so a stream's result can be compared with the batch query of its name.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -75,6 +77,82 @@ def job_states(changes: DataFrame, late: str = "1 hour") -> DataFrame:
     return changes.withWatermark("ts", late).groupBy("job").applyInPandasWithState(_advance, _OUT, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
+class LastVerdict(StatefulProcessor):
+    """The last verdict of an item and day; settled once no more can come, and forgotten then.
+
+    The state is one row for each open item: rows are folded as they come, in any order, so
+    neither a batch nor a key is held in memory.
+    """
+
+    def __init__(self, undo: str, undo_ms: int):
+        self._undo, self._undo_ms = undo, undo_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._last = handle.getValueState("last", "micros long, event long, verdict string, events long, undone long")
+
+    def _row(self, key: tuple, last: tuple, settled: bool) -> Row:
+        micros, event, verdict, events, undone = last
+        return Row(item=key[0], day=key[1], verdict=None if verdict == self._undo else verdict, micros=micros, event=event, events=events, undone=undone, settled=settled)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        last = tuple(self._last.get()) if self._last.exists() else None
+        opened = last is None
+        for r in rows:
+            micros, event, verdict, events, undone = last or (r.micros, r.event, r.verdict, 0, 0)
+            if (r.micros, r.event) > (micros, event):
+                micros, event, verdict = r.micros, r.event, r.verdict
+            last = (micros, event, verdict, events + 1, undone + (r.verdict == self._undo))
+        if last is None:
+            return
+        self._last.update(last)
+        if opened:
+            midnight = datetime(key[1].year, key[1].month, key[1].day, tzinfo=timezone.utc)
+            self._handle.registerTimer(int(midnight.timestamp() * 1000) + 86_400_000 + self._undo_ms)
+        yield self._row(key, last, False)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self._last.exists():
+            yield self._row(key, tuple(self._last.get()), True)
+            self._last.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def last_verdicts(log: DataFrame, undo: str, undo_minutes: int = 30, late: str = "2 hours") -> DataFrame:
+    """The last verdict of each item and day (UTC) from an append-only log (item, event, verdict, ts).
+
+    By ts and event the last row wins; an undo is a row of its own and leaves no verdict (null; a null verdict counts as one). In update mode every
+    batch gives its items' rows; a settled one, the last for its item and day, comes when the
+    watermark is `undo_minutes` past the day. Rows later than `late` may be left out then. Rows without item or ts are
+    left out. Needs the RocksDB state store, which `run_updates` sets.
+    """
+    rows = log.where("item IS NOT NULL AND ts IS NOT NULL AND event IS NOT NULL").withWatermark("ts", late)
+    rows = rows.select("item", F.to_date(F.to_utc_timestamp("ts", F.current_timezone())).alias("day"), "event", F.coalesce("verdict", F.lit(undo)).alias("verdict"), F.unix_micros("ts").alias("micros"), "ts")
+    item = rows.schema["item"].dataType.simpleString()
+    out = f"item {item}, day date, verdict string, micros long, event long, events long, undone long, settled boolean"
+    told = rows.groupBy("item", "day").transformWithState(LastVerdict(undo, undo_minutes * 60_000), out, "Update", "EventTime")
+    return told.select("item", "day", "verdict", F.timestamp_micros("micros").alias("decided_at"), "event", "events", "undone", "settled")
+
+
+def run_updates(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Everything that is there now in update mode, each batch's rows once in a folder `batch=N`; gives them with their batch."""
+
+    def save(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    spark = stream.sparkSession
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    return spark.read.schema(stream.schema.add("batch", "long")).option("basePath", path).parquet(f"{path}/batch=*")
+
+
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Everything that is there now, into a table in memory (for tests and small results)."""
     started = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
