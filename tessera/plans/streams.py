@@ -28,17 +28,10 @@ def _events(t: Tables) -> DataFrame:
 
 @query("SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS start, user_id, count(*) AS used, count(*) <= 2 AS allowed FROM events GROUP BY 1, 2")
 def q52_stream_quota(t: Tables) -> DataFrame:
-    """Hourly quota by user from a stream; what the watermark holds back at the end is flushed by complete mode."""
-    events = _events(t)
-    counts = events.groupBy(F.window("ts", "1 hour"), "user_id").agg(F.count("*").alias("used"))
-    rows = counts.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "user_id", "used", (F.col("used") <= 2).alias("allowed"))
-    path, checkpoint = _folder(t, "stream-out"), _folder(t, "stream-state")
-
-    def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
-
-    rows.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.schema("start string, user_id long, used long, allowed boolean").parquet(path)
+    """Hourly quota by user from a stream in update mode; the watermark bounds the state, a window's last batch has its count."""
+    told = windows.run_updates(windows.quota_counts(_events(t)), _folder(t, "stream-out"), _folder(t, "stream-state"))
+    last = told.groupBy("start", "user_id").agg(F.max_by(F.struct("used", "allowed"), "batch").alias("r"))
+    return last.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "user_id", "r.used", "r.allowed")
 
 
 @query("SELECT event_id, user_id, event_type FROM events")
