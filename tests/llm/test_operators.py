@@ -311,6 +311,15 @@ def test_suffix_dedup(docs, length, most):
     assert {i: (*g[:3], bytes(g[3])) for i, g in got.items()} == want and sum(w[1] for w in want.values()) > 1000
 
 
+def test_suffix_dedup_begins_at_400_bytes(spark):
+    """A shared passage of over 50 words stays below 400 bytes; n_bytes is the size before the cut."""
+    passage = " ".join(f"w{k:04}" for k in range(66)) + "..."
+    assert len(passage) == 398 and len(passage.split()) == 66
+    rows = [(1, f"a{passage}b"), (2, f"c{passage}d"), (3, f"e{passage.upper()}yzf"), (4, f"g{passage.upper()}yzh")]
+    got = by_id(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")), "n_bytes", "n_removed", "n_spans")
+    assert got == {1: (400, 0, 0), 2: (400, 0, 0), 3: (402, 400, 1), 4: (402, 400, 1)}
+
+
 def test_suffix_dedup_of_nothing(none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
