@@ -311,6 +311,32 @@ def test_suffix_dedup(docs, length, most):
     assert {i: (*g[:3], bytes(g[3])) for i, g in got.items()} == want and sum(w[1] for w in want.values()) > 1000
 
 
+def test_classes_wanted_in_sorting(monkeypatch):
+    """Each anchor's classes are settled where its rows pass in order; an anchor of too many rows is wanted as it is."""
+    rng = random.Random(6)
+    keys = sorted((a, rng.randrange(3)) for a in range(-40, 40) for _ in range(rng.choice((1, 1, 2, 4, 30))))
+    rows = [(a, e, k, 0, 0, 0, 0, rng.choice((suffix_dedup.FIRST, suffix_dedup.LONE))) for k, (a, e) in enumerate(keys)]
+    names = [f.split(" ")[0] for f in suffix_dedup._RUN.split(", ")]
+    want = {}
+    for a in {a for a, _ in keys}:
+        own = [r for r in rows if r[0] == a]
+        kinds = {}
+        for k, r in enumerate(own):
+            alike = [x for x in own if x[1] == r[1]]
+            kinds[r[2]] = suffix_dedup.REPEATED if k and own[k - 1][1] == r[1] else suffix_dedup.FIRST if len(alike) > 1 or r[7] == suffix_dedup.FIRST else suffix_dedup.LONE
+        if len(own) > 1 or suffix_dedup.FIRST in kinds.values():
+            classes = [k for k in kinds.values() if k > suffix_dedup.REPEATED]
+            want |= {i: (k, k > suffix_dedup.REPEATED and len(classes) > 1 and suffix_dedup.LONE in classes) for i, k in kinds.items()}
+    for size in (1, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[at : at + size]]) for c in range(8)], names=names) for at in range(0, len(rows), size)]
+        for most in (1 << 16, 5):
+            monkeypatch.setattr(suffix_dedup, "HELD_ROWS", most)
+            got = {r["doc_id"]: (r["kind"], r["wanted"]) for b in suffix_dedup._classify(iter(batches)) for r in b.to_pylist()}
+            if most > 5:
+                assert got == want
+            assert {i: k for i, (k, _) in got.items()} == {i: k for i, (k, _) in want.items()} and all(got[i][1] for i, (_, w) in want.items() if w)
+
+
 def test_suffix_dedup_begins_at_400_bytes(spark):
     """A shared passage of over 50 words stays below 400 bytes; n_bytes is the size before the cut."""
     passage = " ".join(f"w{k:04}" for k in range(66)) + "..."
