@@ -56,6 +56,11 @@ def first_of_group(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return df.withColumn("_n", F.row_number().over(window.orderBy(*order))).withColumn("others", F.count("*").over(window) - 1).where("_n = 1").drop("_n")
 
 
+def first_in_group(df: DataFrame, keys: list[str], order: list[str | Column], n: int) -> DataFrame:
+    """The first n rows of each group; a rank limit lets Spark drop rows before the shuffle."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
 def slice_groups(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """The first n rows of each group with `place` and the group's full count."""
     window = Window.partitionBy(*keys)
