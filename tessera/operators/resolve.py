@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import geo
 from tessera.operators import shared
 
 
@@ -32,7 +33,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Every node points to the smallest of itself and its neighbours, pointers are doubled up to their roots, and the
     edges between roots make the next graph.  A root to which no neighbour points has a smaller neighbour there, so
     two rounds at least halve the nodes, and the rounds don't follow the diameter.  Steps are cut from their lineage
-    by tables in the checkpoint folder.
+    by tables in the checkpoint folder.  Those tables are far larger than their files, so no join sends one to every task.
     """
     rest = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     rest = shared.stored(rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
@@ -41,15 +42,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         roots = shared.stored(_smallest_neighbours(rest))
         while not roots.where("moves").isEmpty():
             up = roots.select(F.col("node").alias("via"), F.col("root").alias("next"))
-            roots = shared.stored(roots.join(up, F.col("root") == F.col("via")).select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moves")))
+            roots = shared.stored(roots.join(up.hint("merge"), F.col("root") == F.col("via")).select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moves")))
         rounds.append(roots)
         near, far = (roots.select(F.col("node").alias(f"_{c}"), F.col("root").alias(f"{c}_root")) for c in "uv")
-        between = rest.join(near, F.col("u") == F.col("_u")).join(far, F.col("v") == F.col("_v")).where("u_root <> v_root")
+        between = rest.join(near.hint("merge"), F.col("u") == F.col("_u")).join(far.hint("merge"), F.col("v") == F.col("_v")).where("u_root <> v_root")
         rest = shared.stored(between.select(F.least("u_root", "v_root").alias("u"), F.greatest("u_root", "v_root").alias("v")).distinct())
     labels = rounds[-1].select("node", F.col("root").alias("label"))
     for roots in reversed(rounds[:-1]):
         up = labels.select(F.col("node").alias("via"), F.col("label").alias("top"))
-        labels = shared.stored(roots.join(up, F.col("root") == F.col("via"), "left").select("node", F.coalesce("top", "root").alias("label")))
+        labels = shared.stored(roots.join(up.hint("merge"), F.col("root") == F.col("via"), "left").select("node", F.coalesce("top", "root").alias("label")))
     return labels
 
 
@@ -72,14 +73,16 @@ def survivors(df: DataFrame, labels: DataFrame, id_: str, better: list[Column])
 def nearest_links(occurrences: DataFrame, sheet: str, name: str, id_: str, reach: float, x: str = "x", y: str = "y") -> DataFrame:
     """(a, b, distance): for each name on a sheet and the next one, the nearest pair of its occurrences, if within `reach`.
 
-    Occurrences meet in grid cells as wide as the reach, so a name that stands everywhere meets its neighbours only.
-    Of equal distances the smaller ids win.
+    Occurrences meet in grid cells four times as wide as the reach, so a name that stands everywhere meets its
+    surroundings only.  Of equal distances the smaller ids win.
     """
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    cell = lambda c: F.floor(F.col(c) / reach).cast("long")
-    left = occurrences.select(name, F.col(sheet).alias("sheet"), F.col(id_).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"), cell(x).alias("cx"), cell(y).alias("cy"))
-    right = occurrences.select(name, (F.col(sheet) - 1).alias("sheet"), F.col(id_).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by"), cell(x).alias("_x"), cell(y).alias("_y"))
-    right = right.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near)).withColumns({"cx": F.col("_x") + F.col("_dx"), "cy": F.col("_y") + F.col("_dy")})
-    met = left.join(right, [name, "sheet", "cx", "cy"]).withColumn("distance", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).where(F.col("distance") <= reach)
+    size = 4 * reach
+    left = occurrences.select(name, F.col(sheet).alias("sheet"), F.col(id_).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"), geo.cell(F.col(x), size).alias("cx"), geo.cell(F.col(y), size).alias("cy"))
+    right = occurrences.select(name, (F.col(sheet) - 1).alias("sheet"), F.col(id_).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by"))
+    for c in "xy":
+        right = right.withColumn(f"c{c}", F.explode(F.sequence(geo.cell(F.col(f"b{c}") - reach, size), geo.cell(F.col(f"b{c}") + reach, size))))
+    # The root of a sum of squares is the same for the same squares, which hypot() doesn't promise.
+    distance = F.sqrt((F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by")))
+    met = left.join(right.hint("merge"), [name, "sheet", "cx", "cy"]).withColumn("distance", distance).where(F.col("distance") <= reach)
     best = met.groupBy(name, "sheet").agg(F.min(F.struct("distance", "a", "b")).alias("l"))
     return best.select("l.a", "l.b", "l.distance")
