@@ -24,10 +24,10 @@ def eliminated(duels: DataFrame) -> DataFrame:
     stands = [empty]
     while not left.isEmpty():
         losses = left.groupBy(F.col("loser").alias("id")).agg(F.min("place").alias("first"))
-        dated = shared.stored(left.join(losses, left["winner"] == losses["id"], "left").select("winner", "loser", "place", (F.coalesce(F.col("first") < F.col("place"), F.lit(False))).alias("open")), "duels")
+        dated = shared.stored(left.join(losses.hint("merge"), left["winner"] == losses["id"], "left").select("winner", "loser", "place", (F.coalesce(F.col("first") < F.col("place"), F.lit(False))).alias("open")), "duels")
         stands.append(dated.where("NOT open").select(F.col("loser").alias("id"), F.col("winner").alias("by"), "place"))
         lost = stands[-1].groupBy("id").agg(F.min("place").alias("lost"))
-        rest = dated.where("open").join(lost, F.col("winner") == F.col("id"), "left").where("lost IS NULL OR lost > place")
+        rest = dated.where("open").join(lost.hint("merge"), F.col("winner") == F.col("id"), "left").where("lost IS NULL OR lost > place")
         left = shared.stored(rest.select("winner", "loser", "place"), "duels")
     return reduce(DataFrame.union, stands).groupBy("id").agg(F.min_by("by", "place").alias("by"))
 
@@ -39,4 +39,4 @@ def first_fit(rows: DataFrame, id_: str, close: DataFrame) -> DataFrame:
     """
     duels = close.where("first < later").select(F.col("first").alias("winner"), F.col("later").alias("loser"), F.struct("first", "later").alias("place")).distinct()
     joined = eliminated(duels).select(F.col("id").alias("_id"), "by")
-    return rows.join(joined, F.col(id_) == F.col("_id"), "left").select(F.col(id_), F.coalesce("by", id_).alias("leader"))
+    return rows.join(joined.hint("merge"), F.col(id_) == F.col("_id"), "left").select(F.col(id_), F.coalesce("by", id_).alias("leader"))
