@@ -42,18 +42,21 @@ def q59_count_matrix(t: Tables) -> DataFrame:
     return rows.groupBy("lang").pivot("kind", ["src1", "src2", "src3", "other"]).count().na.fill(0)
 
 
-def _boxes(t: Tables) -> DataFrame:
+def _box_tables(t: Tables) -> tuple[DataFrame, DataFrame]:
     k, c = F.col("p_partkey"), F.col("c_custkey")
     a = t.part.select((k % 10).alias("sheet"), k.alias("a_id"), (k * 37 % 2000).cast("double").alias("ax"), (k * 91 % 2000).cast("double").alias("ay"), (F.lit(40.0) + F.col("p_size")).alias("aw"), (F.lit(30.0) + F.col("p_size")).alias("ah"))
     b = t.customer.select((c % 10).alias("sheet"), c.alias("b_id"), (c * 37 % 2000 + c % 23).cast("double").alias("bx"), (c * 91 % 2000 + c % 19).cast("double").alias("by"), F.lit(60.0).alias("bw"), F.lit(50.0).alias("bh"))
-    return spatial.overlapping_boxes(a, b, 100.0, ["sheet"])
+    return a, b
+
+
+def _boxes(t: Tables) -> DataFrame:
+    return spatial.overlapping_boxes(*_box_tables(t), 100.0, ["sheet"])
 
 
 @query()
 def q60_greedy_match(t: Tables) -> DataFrame:
     """One-to-one box matches on each sheet, highest IoU first."""
-    pairs = _boxes(t).where("iou >= 0.3").select("sheet", "a_id", "b_id", F.round("iou", 9).alias("iou"))
-    return score.greedy_match(pairs, "sheet", "a_id", "b_id", "iou")
+    return score.greedy_boxes(*_box_tables(t), "sheet", "a_id", "b_id", 50.0, 0.3, 9)
 
 
 _BOXES = """
