@@ -75,8 +75,7 @@ SELECT p_partkey AS id, 'old' AS side, coalesce(class, 'gone') AS class FROM par
 """)
 def q61_change_classes(t: Tables) -> DataFrame:
     """What became of each box: unchanged, reshaped, split, merged, complex, gone or new."""
-    overlaps = _boxes(t).where("iou >= 0.1").select("a_id", "b_id", "iou")
-    return score.change_classes(overlaps, t.part.select(F.col("p_partkey").alias("a_id")), t.customer.select(F.col("c_custkey").alias("b_id")), "a_id", "b_id")
+    return score.box_changes(*_box_tables(t), "sheet", "a_id", "b_id", 50.0, 0.1)
 
 
 @query("""
