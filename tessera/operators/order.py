@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -32,6 +33,28 @@ def eliminated(duels: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, stands).groupBy("id").agg(F.min_by("by", "place").alias("by"))
 
 
+#: Shares of the rows, by their ids, after which those that are gone are left out.
+BATCHES = (0.005, 0.03, 0.15)
+
+
+def eliminated_rows(rows: DataFrame, id_: str, duels_of: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """(id, by): eliminated() over all duels of rows in the order of the smaller and then the larger id, without listing them all.
+
+    `duels_of(first, later)` gives the duels, as eliminated() takes them, of pairs whose smaller id is in `first` and whose
+    larger one is in `later`.  Rows go in batches by id: what the duels of a batch eliminate meets nobody in later
+    ones, so a batch's duels are those of rows that are still there.  The order is that of a loop, wherever batches end.
+    """
+    ends = rows.agg(F.percentile_approx(id_, [*BATCHES], 10_000)).first()[0] or []
+    left, found = rows, []
+    for high in [*ends, None]:
+        first = left if high is None else left.where(F.col(id_) <= high)
+        found.append(shared.stored(eliminated(duels_of(first, left)), "duels-lost"))
+        if high is not None:
+            gone = found[-1].select(F.col("id").alias(id_)).hint("merge")
+            left = shared.stored(left.where(F.col(id_) > high).join(gone, id_, "left_anti"), "duels-left")
+    return reduce(DataFrame.unionByName, found)
+
+
 def first_fit(rows: DataFrame, id_: str, close: DataFrame) -> DataFrame:
     """(id, leader): going through the rows by their ids, each joins the first leader that it is close to, or leads itself.
 
